@@ -1,13 +1,44 @@
 """Registered queries: each is ``(spark, sf_dir) -> DataFrame`` over the
-driver tables, running the library's operators on whole tables."""
+driver tables and runs the library's operators on whole tables.
+
+Source A is order lines (``lineitem JOIN orders JOIN part``), source B is
+``events``. Stand-in raw inputs for the ingest operators are built here by
+renaming/retyping table columns and, for the dirty-input queries, by
+injecting malformed values with a fixed rule; the operators do all the
+cleaning.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from retail_insight.functions.numeric import half_even
+from retail_insight.operators import campaigns as camp
+from retail_insight.operators import clustering as ml
+from retail_insight.operators import cohorts as coh
 from retail_insight.operators.features import compute_rfmt
-from retail_insight.operators.ingest import standardize_transactions
-from retail_insight.sources.tables import events_as_raw_transactions, orders_as_raw_transactions
+from retail_insight.operators.ingest import (
+    clean_online_retail,
+    retail_cleaning_profile,
+    standardize_transactions,
+    transactions_profile,
+)
+from retail_insight.operators.segments import segment_kpi_summary
+from retail_insight.operators.value import churn_watchlist, estimate_value, growth_targets
+from retail_insight.plans.pipeline import (
+    build_action_plan,
+    customer_intelligence,
+    customers_from_transactions,
+    process_rfm_legacy_pipeline,
+)
+from retail_insight.sources.tables import (
+    events_as_raw_transactions,
+    orders_as_raw_transactions,
+    read_table,
+)
+
+# ---------------------------------------------------------------- inputs
 
 
 def order_transactions(spark: SparkSession, sf_dir: str, with_product: bool = True) -> DataFrame:
@@ -18,6 +49,97 @@ def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardize_transactions(events_as_raw_transactions(spark, sf_dir))
 
 
+def _lines(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    o = read_table(spark, sf_dir, "orders")
+    p = read_table(spark, sf_dir, "part")
+    return (li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey))
+
+
+def dirty_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as an all-text export with alias headers and malformed
+    values: missing / padded / 'nan' customers, unparsable dates and
+    amounts, missing and zero quantities, negative amounts."""
+    k = F.col("l_orderkey")
+    ln = F.col("l_linenumber")
+    cust = F.col("o_custkey").cast("string")
+    spend = half_even(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")), 2)
+    return _lines(spark, sf_dir).select(
+        F.when(k % 17 == 0, F.lit(None).cast("string"))
+         .when(k % 23 == 0, F.lit("nan"))
+         .when(ln == 2, F.concat(F.lit("  "), cust, F.lit(" ")))
+         .otherwise(cust).alias("Client-ID"),
+        F.col("o_orderkey").cast("string").alias("Invoice"),
+        F.when(k % 19 == 0, F.lit("not a date"))
+         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("order_date"),
+        F.when(k % 29 == 0, F.lit("n/a"))
+         .when(ln == 7, (-spend).cast("string"))
+         .otherwise(spend.cast("string")).alias("Amount"),
+        F.when(k % 13 == 0, F.lit(None).cast("string"))
+         .when(k % 31 == 0, F.lit("0"))
+         .otherwise(F.col("l_quantity").cast("bigint").cast("string")).alias("Quantity"),
+        F.col("p_type").alias("Dept"),
+        F.col("p_name").alias("Item"),
+    )
+
+
+def mapped_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with names no alias list knows (needs an explicit map)."""
+    return _lines(spark, sf_dir).select(
+        F.col("o_custkey").alias("acct"),
+        F.col("o_orderdate").alias("booked_at"),
+        F.col("l_extendedprice").alias("gross"),
+        F.col("o_orderkey").alias("doc"),
+        F.col("p_brand").alias("line_group"),
+    )
+
+
+CUSTOM_MAPPING = {"CustomerID": "acct", "PurchaseDate": "booked_at", "TotalSpend": "gross",
+                  "InvoiceNo": "doc", "ProductCategory": "line_group"}
+
+
+def online_retail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines in the online-retail export layout: returned lines are
+    cancellations (``C`` invoice, negative quantity), customers with a
+    negative balance have no id, dates are ``M/d/yyyy H:mm`` text."""
+    c = read_table(spark, sf_dir, "customer")
+    n = read_table(spark, sf_dir, "nation")
+    lines = (_lines(spark, sf_dir).join(c, F.col("o_custkey") == F.col("c_custkey"))
+             .join(n, F.col("c_nationkey") == F.col("n_nationkey")))
+    ret = F.col("l_returnflag") == "R"
+    qty = F.col("l_quantity").cast("bigint")
+    return lines.select(
+        F.when(ret, F.concat(F.lit("C"), F.col("o_orderkey").cast("string")))
+         .otherwise(F.col("o_orderkey").cast("string")).alias("InvoiceNo"),
+        F.when(F.col("l_linenumber") == 3, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.col("p_name"), F.lit(" "))).alias("Description"),
+        F.when(ret, -qty).otherwise(qty).cast("string").alias("Quantity"),
+        F.date_format("o_orderdate", "M/d/yyyy H:mm").alias("InvoiceDate"),
+        F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).cast("string").alias("UnitPrice"),
+        F.when(F.col("c_acctbal") < 0, F.lit(None).cast("double"))
+         .otherwise(F.col("o_custkey").cast("double")).alias("CustomerID"),
+        F.col("n_name").alias("Country"),
+    )
+
+
+# ---------------------------------------------------------------- shared
+
+
+def _customers(spark, sf_dir):
+    return customers_from_transactions(order_transactions(spark, sf_dir))
+
+
+def _valued(spark, sf_dir):
+    return customer_intelligence(order_transactions(spark, sf_dir))
+
+
+def _retention(spark, sf_dir):
+    return coh.cohort_retention(order_transactions(spark, sf_dir, with_product=False))
+
+
+# ---------------------------------------------------------------- queries
+
+
 def q_customer_features(spark, sf_dir):
     """Snapshot, per-customer aggregates, recency/tenure, top category."""
     return compute_rfmt(order_transactions(spark, sf_dir))
@@ -28,11 +150,294 @@ def q_customer_features_events(spark, sf_dir):
     return compute_rfmt(event_transactions(spark, sf_dir))
 
 
+def q_customer_segments(spark, sf_dir):
+    """Quintile scores, RFM string, mean, segment, icon, colour."""
+    return _customers(spark, sf_dir)
+
+
+def q_customer_segments_events(spark, sf_dir):
+    return customers_from_transactions(event_transactions(spark, sf_dir))
+
+
+def q_segment_summary(spark, sf_dir):
+    """KPIs for all seven segments."""
+    return segment_kpi_summary(_customers(spark, sf_dir))
+
+
+def q_segment_summary_events(spark, sf_dir):
+    return segment_kpi_summary(customers_from_transactions(event_transactions(spark, sf_dir)))
+
+
+def q_customer_value(spark, sf_dir):
+    """V1-V9: P(alive), churn tier, 90-day forecasts."""
+    return _valued(spark, sf_dir)
+
+
+def q_customer_value_params(spark, sf_dir):
+    """30-day horizon, 50 % margin (names keep the _90d suffix)."""
+    return customer_intelligence(event_transactions(spark, sf_dir), horizon_days=30, gross_margin=0.5)
+
+
+def q_churn_watchlist(spark, sf_dir):
+    """Below 0.45 alive and at or above median spend."""
+    return churn_watchlist(_valued(spark, sf_dir))
+
+
+def q_churn_watchlist_top_quartile(spark, sf_dir):
+    """Same with the 75th percentile of spend."""
+    return churn_watchlist(_valued(spark, sf_dir), spend_quantile=0.75)
+
+
+def q_growth_targets(spark, sf_dir):
+    """Top 10 by forecast spend."""
+    return growth_targets(_valued(spark, sf_dir))
+
+
+def q_cohort_retention(spark, sf_dir):
+    """H1-H9: long-form triangle, first 13 observed month columns."""
+    return _retention(spark, sf_dir)
+
+
+def q_cohort_sizes(spark, sf_dir):
+    """H7: customers per acquisition month."""
+    return coh.cohort_sizes(order_transactions(spark, sf_dir, with_product=False))
+
+
+def q_cohort_matrix(spark, sf_dir):
+    """H6: wide retention matrix."""
+    return coh.cohort_matrix(_retention(spark, sf_dir))
+
+
+def q_cohort_heatmap(spark, sf_dir):
+    """Heatmap cell feed."""
+    return coh.heatmap_cells(_retention(spark, sf_dir))
+
+
+def q_cohort_curve(spark, sf_dir):
+    """Average retention per month index."""
+    return coh.average_retention_curve(_retention(spark, sf_dir))
+
+
+def q_cohort_benchmarks(spark, sf_dir):
+    """Month 1/3/6 mean retention."""
+    return coh.retention_benchmarks(_retention(spark, sf_dir))
+
+
+def q_cohort_retention_events(spark, sf_dir):
+    return coh.cohort_retention(event_transactions(spark, sf_dir))
+
+
+def q_global_kpis(spark, sf_dir):
+    """R1."""
+    return camp.global_kpis(_valued(spark, sf_dir))
+
+
+def q_churn_tiers(spark, sf_dir):
+    """R2."""
+    return camp.churn_tier_counts(_valued(spark, sf_dir))
+
+
+def q_churn_tiers_events(spark, sf_dir):
+    """R2 where some tiers are absent (0 rows)."""
+    return camp.churn_tier_counts(customer_intelligence(event_transactions(spark, sf_dir)))
+
+
+def q_p_alive_histogram(spark, sf_dir):
+    """R3."""
+    return camp.p_alive_histogram(_valued(spark, sf_dir))
+
+
+def q_revenue_rollup(spark, sf_dir):
+    """R4."""
+    return camp.revenue_rollup(_customers(spark, sf_dir))
+
+
+def q_revenue_share(spark, sf_dir):
+    """R5 / D6."""
+    return camp.revenue_share(segment_kpi_summary(_customers(spark, sf_dir)))
+
+
+def q_value_scatter(spark, sf_dir):
+    """R6."""
+    return camp.value_scatter(_valued(spark, sf_dir))
+
+
+def q_watchlist_display(spark, sf_dir):
+    """R7."""
+    return camp.watchlist_display(churn_watchlist(_valued(spark, sf_dir)))
+
+
+def q_campaign_roi(spark, sf_dir):
+    """Default campaign inputs, every segment."""
+    return camp.campaign_roi(_valued(spark, sf_dir))
+
+
+def q_roi_grid(spark, sf_dir):
+    """R8S: reach x conversion grid at default budget and margin."""
+    return camp.roi_grid(_valued(spark, sf_dir), budget=(3500, 3500, 500), margin=(40, 40, 5))
+
+
+def q_campaign_audience(spark, sf_dir):
+    """First 80 % of each segment in customer-id order."""
+    return camp.campaign_audience(_valued(spark, sf_dir)).select(
+        "Segment", "CustomerID", "AudienceRank", "Monetary", "AvgOrderValue")
+
+
+def q_segment_summary_display(spark, sf_dir):
+    """R10."""
+    return camp.segment_summary_display(segment_kpi_summary(_customers(spark, sf_dir)))
+
+
+def q_action_plan_core(spark, sf_dir):
+    """R11-R12 without the model columns (cluster, PCA)."""
+    cols = [c for c in camp.ACTION_PLAN_COLUMNS if c not in ("ML_Cluster", "PCA_1", "PCA_2", "PCA_3")]
+    return camp.action_plan(camp.enrich_with_playbook(_valued(spark, sf_dir)), cols)
+
+
+def q_legacy_rfm(spark, sf_dir):
+    """C3, G3, G4 (five segments), F7L, I2L, I8L."""
+    raw = orders_as_raw_transactions(spark, sf_dir)
+    _, customers = process_rfm_legacy_pipeline(raw)
+    return customers
+
+
+def q_legacy_segment_summary(spark, sf_dir):
+    """G7."""
+    _, customers = process_rfm_legacy_pipeline(orders_as_raw_transactions(spark, sf_dir))
+    return segment_kpi_summary(customers, taxonomy="five")
+
+
+def q_ingest_dirty(spark, sf_dir):
+    """Alias headers, text values, malformed rows dropped."""
+    return standardize_transactions(dirty_raw_lines(spark, sf_dir))
+
+
+def q_ingest_custom_mapping(spark, sf_dir):
+    """Explicit mapping; quantity and price defaults."""
+    return standardize_transactions(mapped_raw_lines(spark, sf_dir), CUSTOM_MAPPING)
+
+
+def q_dirty_segments(spark, sf_dir):
+    """Full customer pipeline on the dirty export."""
+    return customers_from_transactions(standardize_transactions(dirty_raw_lines(spark, sf_dir)))
+
+
+def q_retail_clean(spark, sf_dir):
+    """I13 / K5 content: online-retail cleaning, sorted by date."""
+    return clean_online_retail(online_retail_raw(spark, sf_dir)).orderBy("PurchaseDate", "InvoiceNo")
+
+
+def q_retail_profile(spark, sf_dir):
+    """Counts through the cleaning steps."""
+    return retail_cleaning_profile(online_retail_raw(spark, sf_dir))
+
+
+def q_transactions_profile(spark, sf_dir):
+    """I14 on canonical lines."""
+    return transactions_profile(order_transactions(spark, sf_dir))
+
+
+def q_zscore_features(spark, sf_dir):
+    """M1-M2: log1p + population z-scores (6 dp)."""
+    z = ml.zscore_features(compute_rfmt(order_transactions(spark, sf_dir)))
+    zc = [f"z_{c}" for c in ml.RFMT_FEATURES]
+    return z.select("CustomerID", *[F.rint(F.col(c) * F.lit(1e6)).cast("bigint").alias(c) for c in zc])
+
+
+def q_silhouette_embeddings(spark, sf_dir):
+    """M5 with fixed labels: Euclidean silhouette of ``embeddings.label``."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    sil = ml.silhouette_sampled(emb, "embedding", {"label": "label"}, "vec_id")
+    return sil.select("key", F.rint(F.col("silhouette") * F.lit(1e4)).cast("bigint").alias("silhouette_e4"))
+
+
+def q_feature_correlations(spark, sf_dir):
+    """Pairwise Pearson correlations of R, F, M, T."""
+    return camp.feature_correlations(_customers(spark, sf_dir))
+
+
+def q_segment_browser(spark, sf_dir):
+    """D3: filter to two segments, sort by spend."""
+    return camp.filter_and_sort(_customers(spark, sf_dir), ["Champions", "At-Risk VIPs"]).select(
+        "CustomerID", "Segment", "Monetary", "Recency", "Frequency")
+
+
+def q_kmeans_sweep(spark, sf_dir):
+    """Inertia and silhouette for k = 2..7 on PCA coordinates."""
+    projected, _ = ml.pca_3d(_customers(spark, sf_dir))
+    return ml.evaluate_kmeans_candidates(projected, list(ml.PCA_COLUMNS))
+
+
+def q_customer_clusters(spark, sf_dir):
+    """M3, M7, M8: k = 4 clusters on z-scores and their profile."""
+    _, _, profile = ml.perform_kmeans_clustering(_customers(spark, sf_dir), n_clusters=4)
+    return profile
+
+
+def q_pca_projection(spark, sf_dir):
+    """PCA coordinates (variance ratios in every row)."""
+    projected, evr = ml.pca_3d(_customers(spark, sf_dir))
+    return projected.select("CustomerID", "Segment", "PCA_1", "PCA_2", "PCA_3", "Monetary").withColumns(
+        {f"EVR_{i + 1}": F.lit(v) for i, v in enumerate(evr)})
+
+
+def q_action_plan(spark, sf_dir):
+    """R12 / K4 content: the full 34-column action plan."""
+    plan, _, _ = build_action_plan(_valued(spark, sf_dir))
+    return plan
+
+
 QUERIES = {
     "customer_features": q_customer_features,
     "customer_features_events": q_customer_features_events,
+    "customer_segments": q_customer_segments,
+    "customer_segments_events": q_customer_segments_events,
+    "segment_summary": q_segment_summary,
+    "segment_summary_events": q_segment_summary_events,
+    "customer_value": q_customer_value,
+    "customer_value_params": q_customer_value_params,
+    "churn_watchlist": q_churn_watchlist,
+    "churn_watchlist_top_quartile": q_churn_watchlist_top_quartile,
+    "growth_targets": q_growth_targets,
+    "cohort_retention": q_cohort_retention,
+    "cohort_retention_events": q_cohort_retention_events,
+    "cohort_sizes": q_cohort_sizes,
+    "cohort_matrix": q_cohort_matrix,
+    "cohort_heatmap": q_cohort_heatmap,
+    "cohort_curve": q_cohort_curve,
+    "cohort_benchmarks": q_cohort_benchmarks,
+    "global_kpis": q_global_kpis,
+    "churn_tiers": q_churn_tiers,
+    "churn_tiers_events": q_churn_tiers_events,
+    "p_alive_histogram": q_p_alive_histogram,
+    "revenue_rollup": q_revenue_rollup,
+    "revenue_share": q_revenue_share,
+    "value_scatter": q_value_scatter,
+    "watchlist_display": q_watchlist_display,
+    "campaign_roi": q_campaign_roi,
+    "roi_grid": q_roi_grid,
+    "campaign_audience": q_campaign_audience,
+    "segment_summary_display": q_segment_summary_display,
+    "action_plan_core": q_action_plan_core,
+    "legacy_rfm": q_legacy_rfm,
+    "legacy_segment_summary": q_legacy_segment_summary,
+    "ingest_dirty": q_ingest_dirty,
+    "ingest_custom_mapping": q_ingest_custom_mapping,
+    "dirty_segments": q_dirty_segments,
+    "retail_clean": q_retail_clean,
+    "retail_profile": q_retail_profile,
+    "transactions_profile": q_transactions_profile,
+    "zscore_features": q_zscore_features,
+    "silhouette_embeddings": q_silhouette_embeddings,
+    "feature_correlations": q_feature_correlations,
+    "segment_browser": q_segment_browser,
+    "kmeans_sweep": q_kmeans_sweep,
+    "customer_clusters": q_customer_clusters,
+    "pca_projection": q_pca_projection,
+    "action_plan": q_action_plan,
 }
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_customer_features(spark, sf_dir)
+    """The action plan: every stage from raw lines to the sorted export."""
+    return q_action_plan(spark, sf_dir)
