@@ -150,21 +150,23 @@ def silhouette_sampled(df: DataFrame, point_col: str, label_cols: Mapping[str, s
         F.collect_list(F.struct("__x", *[lab[k] for k in keys])).alias("p"),
         *[F.array_sort(F.array_distinct(F.collect_list(lab[k]))).alias(f"c{i}") for i, k in enumerate(keys)],
     ).alias("s")).scalar()
-    points = pts.getField("p")
-    dists = F.transform(points, lambda p: F.struct(
+    # The bounded sample rides along as a column; lambdas reference it.
+    with_p = sample.withColumn("__P", pts)
+    dists = F.transform(F.col("__P.p"), lambda p: F.struct(
         F.sqrt(_distance_sq(F.col("__x"), p.getField("__x"))).alias("d"),
         *[p.getField(lab[k]).alias(lab[k]) for k in keys]))
-    with_d = sample.select("__id", *[lab[k] for k in keys], dists.alias("__d"))
-    per_key = []
-    for i, k in enumerate(keys):
-        own = F.col(lab[k])
-        labels = pts.getField(f"c{i}")
-        stats = F.transform(labels, lambda c: F.struct(
-            c.alias("c"),
-            F.aggregate(F.filter(F.col("__d"), lambda e: e.getField(lab[k]) == c),
-                        F.lit(0.0), lambda s, e: s + e.getField("d")).alias("sum"),
-            F.size(F.filter(F.col("__d"), lambda e: e.getField(lab[k]) == c)).alias("n")))
-        per_key.append(stats.alias(f"__s{i}"))
+    with_d = with_p.select("__id", "__P", *[lab[k] for k in keys], dists.alias("__d"))
+    def cluster_sums(lk: str):
+        # For each label c: sum and count of distances to sample points in c.
+        def one(c):
+            members = F.filter(F.col("__d"), lambda e: e.getField(lk) == c)
+            return F.struct(c.alias("c"),
+                            F.aggregate(members, F.lit(0.0), lambda acc, e: acc + e.getField("d")).alias("sum"),
+                            F.size(members).alias("n"))
+        return one
+
+    per_key = [F.transform(F.col(f"__P.c{i}"), cluster_sums(lab[k])).alias(f"__s{i}")
+               for i, k in enumerate(keys)]
     staged = with_d.select("__id", *[lab[k] for k in keys], *per_key)
     sil_cols = []
     for i, k in enumerate(keys):
