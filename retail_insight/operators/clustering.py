@@ -3,9 +3,9 @@
 * ``zscore_features``: log1p, then z-scores with the *population* standard
   deviation (zero variance -> 0). Means and deviations come from one
   aggregate used as a scalar subquery.
-* ``kmeans_best_of``: ``n_init`` k-means|| fits with different seeds, the
-  lowest ``trainingCost`` wins. Fits run concurrently (each is a
-  distributed job); the feature table is persisted while they run.
+* ``kmeans_best_of`` / the k sweep: ``n_init`` seeded k-means++ runs per
+  k, the lowest within-cluster sum of squares wins; all runs advance
+  together, one pass over the points per iteration (see ``kmeans``).
 * ``silhouette_sampled``: mean *Euclidean* silhouette on a deterministic
   sample of at most ``sample_size`` rows (smallest ``xxhash64(id, seed)``),
   the reference's bound for this O(m^2) measure. The sample is collected
@@ -22,15 +22,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_insight.functions.numeric import MICRO, half_even
+from retail_insight.operators.kmeans import KMeansRun, assign, best_runs, fit_runs
 from retail_insight.session import materialize
 
 RFMT_FEATURES = ("Recency", "Frequency", "Monetary", "Tenure")
@@ -68,21 +66,11 @@ def assemble(df: DataFrame, cols: Sequence[str], out_col: str = "features") -> D
 
 # ---------------------------------------------------------------- k-means
 
-def _fit(points: DataFrame, k: int, seed: int, features_col: str) -> KMeansModel:
-    km = KMeans(k=k, seed=seed, initMode="k-means||", maxIter=MAX_ITER, tol=TOL,
-                featuresCol=features_col, predictionCol="prediction")
-    return km.fit(points)
-
-
 def kmeans_best_of(points: DataFrame, k: int, n_init: int = FINAL_N_INIT, seed: int = DEFAULT_SEED,
-                   features_col: str = "features", parallelism: int = 4) -> KMeansModel:
-    """Best (lowest within-cluster sum of squares) of ``n_init`` seeded fits."""
-    seeds = [seed + i for i in range(n_init)]
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as pool:
-        models = list(pool.map(lambda s: _fit(points, k, s, features_col), seeds))
-    costs = [m.summary.trainingCost for m in models]
-    best = min(range(len(models)), key=lambda i: (costs[i], i))
-    return models[best]
+                   point_col: str = "__pt", id_col: str = "CustomerID") -> KMeansRun:
+    """Best (lowest within-cluster sum of squares) of ``n_init`` seeded runs."""
+    runs = fit_runs(points, id_col, point_col, [k], n_init, seed, MAX_ITER, TOL)
+    return best_runs(runs)[k]
 
 
 def canonical_cluster_names(pred: DataFrame, prediction_col: str = "prediction",
@@ -125,17 +113,13 @@ def cluster_profile(clustered: DataFrame, cluster_col: str = "ML_Cluster") -> Da
 
 # ---------------------------------------------------------------- silhouette
 
-def _distance_sq(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-
-
 def silhouette_sampled(df: DataFrame, point_col: str, label_cols: Mapping[str, str],
                        id_col: str, sample_size: int = SILHOUETTE_SAMPLE,
                        seed: int = DEFAULT_SEED) -> DataFrame:
     """Mean Euclidean silhouette per label column, on the sample.
 
-    ``point_col`` is an ``array<double>`` column; ``label_cols`` maps an
-    output key (e.g. ``"3"``) to an integer label column. Returns rows
+    ``point_col`` is an array of numbers; ``label_cols`` maps an output key
+    (e.g. ``"3"``) to an integer label column. Returns rows
     ``(key, silhouette)``; null when the sample has fewer than 2 labels.
     Points in singleton clusters score 0.
     """
@@ -146,49 +130,45 @@ def silhouette_sampled(df: DataFrame, point_col: str, label_cols: Mapping[str, s
               .orderBy(F.xxhash64(F.col("__id"), F.lit(seed)), F.col("__id"))
               .limit(sample_size))
     sample = materialize(sample)
-    pts = sample.select(F.struct(
-        F.collect_list(F.struct("__x", *[lab[k] for k in keys])).alias("p"),
-        *[F.array_sort(F.array_distinct(F.collect_list(lab[k]))).alias(f"c{i}") for i, k in enumerate(keys)],
-    ).alias("s")).scalar()
-    # The bounded sample rides along as a column; lambdas reference it.
-    with_p = sample.withColumn("__P", pts)
-    dists = F.transform(F.col("__P.p"), lambda p: F.struct(
-        F.sqrt(_distance_sq(F.col("__x"), p.getField("__x"))).alias("d"),
-        *[p.getField(lab[k]).alias(lab[k]) for k in keys]))
-    with_d = with_p.select("__id", "__P", *[lab[k] for k in keys], dists.alias("__d"))
-    def cluster_sums(lk: str):
-        # For each label c: sum and count of distances to sample points in c.
-        def one(c):
-            members = F.filter(F.col("__d"), lambda e: e.getField(lk) == c)
-            return F.struct(c.alias("c"),
-                            F.aggregate(members, F.lit(0.0), lambda acc, e: acc + e.getField("d")).alias("sum"),
-                            F.size(members).alias("n"))
-        return one
-
-    per_key = [F.transform(F.col(f"__P.c{i}"), cluster_sums(lab[k])).alias(f"__s{i}")
-               for i, k in enumerate(keys)]
-    staged = with_d.select("__id", *[lab[k] for k in keys], *per_key)
-    sil_cols = []
-    for i, k in enumerate(keys):
-        st, own = F.col(f"__s{i}"), F.col(lab[k])
-        mine = F.element_at(F.filter(st, lambda s: s.getField("c") == own), 1)
-        a = mine.getField("sum") / F.greatest(mine.getField("n") - F.lit(1), F.lit(1))
-        others = F.transform(F.filter(st, lambda s: s.getField("c") != own),
-                             lambda s: s.getField("sum") / s.getField("n"))
-        b = F.array_min(others)
-        denom = F.greatest(a, b)
-        s = F.when(mine.getField("n") <= 1, F.lit(0.0)) \
-            .when(denom == 0, F.lit(0.0)) \
-            .otherwise((b - a) / denom)
-        sil_cols.append(s.alias(f"__sil{i}"))
-        sil_cols.append(F.size(st).alias(f"__nl{i}"))
-    per_point = staged.select(*sil_cols)
-    agg = per_point.agg(*[F.struct(F.avg(f"__sil{i}").alias("v"), F.max(f"__nl{i}").alias("nl"))
-                          .alias(f"r{i}") for i in range(len(keys))])
-    rows = F.array(*[F.struct(F.lit(k).alias("key"),
-                              F.when(F.col(f"r{i}.nl") >= 2, F.col(f"r{i}.v")).alias("silhouette"))
-                     for i, k in enumerate(keys)])
-    return agg.select(F.explode(rows).alias("r")).select("r.*")
+    # The sample is bounded by ``sample_size``: every task gets all of it.
+    rows = sample.select("__x", *[lab[k] for k in keys]).collect()
+    ref_x = [list(r["__x"]) for r in rows]
+    ref_l = {k: [r[lab[k]] for r in rows] for k in keys}
+
+    def per_point(batches):
+        import numpy as np
+        import pandas as pd
+        ref = np.asarray(ref_x, dtype=np.float64)
+        ref_lab = {k: np.asarray(v) for k, v in ref_l.items()}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["__x"].to_numpy()).astype(np.float64)
+            d = np.sqrt(((x[:, None, :] - ref[None, :, :]) ** 2).sum(axis=2))
+            out_k, out_s, out_nl = [], [], []
+            for k in keys:
+                labels = ref_lab[k]
+                uniq = np.unique(labels)
+                own = pdf[lab[k]].to_numpy()
+                sums = np.stack([d[:, labels == c].sum(axis=1) for c in uniq], axis=1)
+                counts = np.array([(labels == c).sum() for c in uniq], dtype=np.float64)
+                pos = np.searchsorted(uniq, own)
+                n_own = counts[pos]
+                a = sums[np.arange(len(x)), pos] / np.maximum(n_own - 1, 1)
+                means = sums / counts[None, :]
+                means[np.arange(len(x)), pos] = np.inf
+                b = means.min(axis=1) if len(uniq) > 1 else np.full(len(x), np.nan)
+                denom = np.maximum(a, b)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sil = np.where((n_own <= 1) | (denom == 0), 0.0, (b - a) / denom)
+                out_k += [k] * len(x)
+                out_s += sil.tolist()
+                out_nl += [len(uniq)] * len(x)
+            yield pd.DataFrame({"key": out_k, "s": out_s, "nl": out_nl})
+
+    scored = sample.mapInPandas(per_point, "key string, s double, nl int")
+    return (scored.groupBy("key")
+            .agg(F.when(F.max("nl") >= 2, F.avg("s")).alias("silhouette")))
 
 
 # ---------------------------------------------------------------- sweep
@@ -196,27 +176,24 @@ def silhouette_sampled(df: DataFrame, point_col: str, label_cols: Mapping[str, s
 def evaluate_kmeans_candidates(points: DataFrame, feature_cols: Sequence[str], id_col: str = "CustomerID",
                                min_k: int = 2, max_k: int = 7, n_init: int = SWEEP_N_INIT,
                                seed: int = DEFAULT_SEED, sample_size: int = SILHOUETTE_SAMPLE) -> DataFrame:
-    """Rows (k, Inertia 2 dp, Silhouette_Score 4 dp) for k in [min_k, max_k]."""
+    """Rows (k, Inertia 2 dp, Silhouette_Score 4 dp) for k in [min_k, max_k]:
+    all k x n_init runs fitted together, the best run per k labels every
+    point, and the silhouette of all k is computed in one sampled pass."""
     spark = points.sparkSession
-    base = assemble(points.select(id_col, *feature_cols), feature_cols, "__v").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        labelled = base
-        inertia = {}
-        for k in range(min_k, max_k + 1):
-            model = kmeans_best_of(base, k, n_init, seed, "__v")
-            inertia[k] = round(float(model.summary.trainingCost), 2)
-            labelled = model.setPredictionCol(f"__k{k}").transform(labelled)
-        labelled = labelled.withColumn("__pt", F.array(*[F.col(c).cast("double") for c in feature_cols]))
-        sil = silhouette_sampled(labelled, "__pt", {str(k): f"__k{k}" for k in inertia}, id_col,
-                                 sample_size, seed)
-        # One row per candidate k, from the fitted models' costs.
-        costs = spark.createDataFrame([(str(k), int(k), float(v)) for k, v in inertia.items()],
-                                      "key string, k int, Inertia double")
-        result = (costs.join(sil, "key", "left")
-                  .select("k", "Inertia", half_even(F.col("silhouette"), 4).alias("Silhouette_Score")))
-        return materialize(result)
-    finally:
-        base.unpersist()
+    pt = F.array(*[F.col(c).cast("double") for c in feature_cols])
+    base = points.select(id_col, pt.alias("__pt"))
+    ks = list(range(min_k, max_k + 1))
+    best = best_runs(fit_runs(base, id_col, "__pt", ks, n_init, seed, MAX_ITER, TOL))
+    labelled = base
+    for k in ks:
+        labelled = assign(labelled, F.col("__pt"), best[k], f"__k{k}")
+    sil = silhouette_sampled(labelled, "__pt", {str(k): f"__k{k}" for k in ks}, id_col, sample_size, seed)
+    # One row per candidate k, from the fitted runs' inertia.
+    costs = spark.createDataFrame([(str(k), int(k), round(best[k].inertia, 2)) for k in ks],
+                                  "key string, k int, Inertia double")
+    result = (costs.join(sil, "key", "left")
+              .select("k", "Inertia", half_even(F.col("silhouette"), 4).alias("Silhouette_Score")))
+    return materialize(result)
 
 
 def optimal_k(evaluation: DataFrame) -> int:
@@ -228,16 +205,16 @@ def optimal_k(evaluation: DataFrame) -> int:
 
 def perform_kmeans_clustering(customers: DataFrame, n_clusters: int = 4, seed: int = DEFAULT_SEED,
                               n_init: int = FINAL_N_INIT, feature_cols: Sequence[str] = RFMT_FEATURES
-                              ) -> tuple[DataFrame, KMeansModel, DataFrame]:
+                              ) -> tuple[DataFrame, KMeansRun, DataFrame]:
     """Cluster on z-scored log1p features; returns (customers + ML_Cluster,
-    model, cluster profile)."""
+    best run, cluster profile)."""
     z = zscore_features(customers, feature_cols)
     zcols = [f"z_{c}" for c in feature_cols]
-    vec = assemble(z, zcols, "__v").persist(StorageLevel.MEMORY_AND_DISK)
-    model = kmeans_best_of(vec, n_clusters, n_init, seed, "__v")
-    pred = model.setPredictionCol("__pred").transform(vec)
-    named = canonical_cluster_names(pred, "__pred").drop("__pred", "__v", *zcols)
-    return named, model, cluster_profile(named)
+    pts = z.withColumn("__pt", F.array(*[F.col(c) for c in zcols]))
+    run = kmeans_best_of(pts, n_clusters, n_init, seed, "__pt", "CustomerID")
+    pred = assign(pts, F.col("__pt"), run, "__pred")
+    named = canonical_cluster_names(pred, "__pred").drop("__pred", "__pt", *zcols)
+    return named, run, cluster_profile(named)
 
 
 # ---------------------------------------------------------------- PCA

@@ -1,0 +1,239 @@
+"""Many k-means runs in one set of passes over the data.
+
+The clustering stage needs, per candidate k, the best of ``n_init`` seeded
+runs (60 runs for the k = 2..7 sweep, 15 for the final fit). Fitting them
+one by one costs ~20 passes each. Here every run advances together:
+
+* seeding is k-means++ (each next center drawn with probability
+  proportional to the squared distance to the run's nearest center),
+  batched over runs: one pass per seeding step draws one point per run with
+  the exponential-key method (``min(-ln(u) / d^2)`` per run, ``u`` from a
+  hash of (point id, run seed, step), so the draw is deterministic); each
+  task proposes its best key per run and a ``groupBy(run)`` keeps the min;
+* each Lloyd iteration is one pass: a ``mapInPandas`` task assigns its
+  partition's points to the nearest center of every active run with
+  vectorised numpy (the centers, at most sum(k) x n_init small vectors,
+  travel with the task) and emits only per-(run, cluster) partial sums;
+  ``groupBy(run, cluster)`` combines them, and only the new centers
+  (bounded by the number of runs and k, not by the data) reach the driver.
+  This is the per-partition-partial-sum pattern of Spark's own k-means,
+  with all restarts sharing each pass;
+* a run stops when the total squared center shift is within ``tol`` times
+  the mean per-feature variance; an empty cluster keeps its center.
+
+The points are read from a persisted (or checkpointed) table of
+``array<double>`` coordinates.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass
+class KMeansRun:
+    run: int
+    k: int
+    seed: int
+    centers: list[list[float]] = field(default_factory=list)
+    inertia: float = math.inf
+    n_iter: int = 0
+    converged: bool = False
+
+
+def _dist2(x: Column, c: Column) -> Column:
+    return F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+
+def nearest_center(x: Column, centers: list[list[float]]) -> tuple[Column, Column]:
+    """(0-based index of the nearest center, squared distance), first index
+    on ties; ``centers`` become a literal array (used once per labelling)."""
+    d2 = F.transform(F.lit([[float(v) for v in c] for c in centers]), lambda c: _dist2(x, c))
+    m = F.array_min(d2)
+    return (F.array_position(d2, m) - F.lit(1)).cast("int"), m
+
+
+_MASK64 = (1 << 64) - 1
+
+
+def _mix64(z):
+    """splitmix64 finaliser on uint64 numpy arrays (deterministic hashing)."""
+    import numpy as np
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _batch_points(pdf):
+    import numpy as np
+    x = np.stack(pdf["__x"].to_numpy()) if len(pdf) else np.zeros((0, 0))
+    return x.astype(np.float64, copy=False), pdf["__h"].to_numpy().astype(np.int64).view(np.uint64)
+
+
+def _nearest_np(x, centers):
+    import numpy as np
+    c = np.asarray(centers, dtype=np.float64)
+    d2 = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+    j = d2.argmin(axis=1)
+    return j, d2[np.arange(len(x)), j]
+
+
+def _seed_step(points: DataFrame, runs: list[KMeansRun], step: int, dim: int) -> None:
+    """Draw one new center for every run that still needs one."""
+    active = [(r.run, r.seed, [list(c) for c in r.centers]) for r in runs if len(r.centers) < r.k]
+    if not active:
+        return
+
+    def propose(batches):
+        import numpy as np
+        import pandas as pd
+        best = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, h = _batch_points(pdf)
+            for run, seed, centers in active:
+                salt = np.uint64((seed * 1_000_003 + step * 7919 + 1) & _MASK64)
+                u = (_mix64(h ^ salt) >> np.uint64(11)).astype(np.float64)
+                u = (u + 0.5) / float(2 ** 53)
+                if centers:
+                    _, d2 = _nearest_np(x, centers)
+                    with np.errstate(divide="ignore"):
+                        key = np.where(d2 > 0, -np.log(u) / d2, np.inf)
+                else:
+                    key = -np.log(u)
+                i = int(key.argmin())
+                if np.isfinite(key[i]) and (run not in best or key[i] < best[run][0]):
+                    best[run] = (float(key[i]), x[i].tolist())
+        yield pd.DataFrame({"run": list(best), "key": [v[0] for v in best.values()],
+                            "x": [v[1] for v in best.values()]})
+
+    drawn = (points.mapInPandas(propose, "run int, key double, x array<double>")
+             .groupBy("run").agg(F.min_by("x", "key").alias("x")))
+    chosen = {row["run"]: list(row["x"]) for row in drawn.collect()}   # one row per run
+    for r in runs:
+        if len(r.centers) >= r.k:
+            continue
+        if r.run in chosen:
+            r.centers.append(chosen[r.run])
+        elif r.centers:                      # fewer distinct points than k
+            r.centers.append(list(r.centers[-1]))
+
+
+def _lloyd_pass(points: DataFrame, runs: list[KMeansRun], dim: int) -> dict[tuple[int, int], tuple]:
+    """Assign every point for every run; per (run, cluster): count, sums of
+    coordinates, sum of squared distances."""
+    active = [(r.run, [list(c) for c in r.centers]) for r in runs]
+
+    def partial_sums(batches):
+        import numpy as np
+        import pandas as pd
+        acc = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, _ = _batch_points(pdf)
+            for run, centers in active:
+                j, d2 = _nearest_np(x, centers)
+                k = len(centers)
+                n = np.bincount(j, minlength=k)
+                sums = np.zeros((k, x.shape[1]))
+                np.add.at(sums, j, x)
+                dsum = np.bincount(j, weights=d2, minlength=k)
+                for c in np.nonzero(n)[0]:
+                    key = (run, int(c))
+                    prev = acc.get(key)
+                    if prev is None:
+                        acc[key] = [int(n[c]), sums[c].copy(), float(dsum[c])]
+                    else:
+                        prev[0] += int(n[c]); prev[1] += sums[c]; prev[2] += float(dsum[c])
+        rows = {"run": [], "j": [], "n": [], "d2": []}
+        for i in range(dim):
+            rows[f"s{i}"] = []
+        for (run, c), (n, sums, dsum) in acc.items():
+            rows["run"].append(run); rows["j"].append(c); rows["n"].append(n); rows["d2"].append(dsum)
+            for i in range(dim):
+                rows[f"s{i}"].append(float(sums[i]))
+        yield pd.DataFrame(rows)
+
+    schema = "run int, j int, n long, d2 double, " + ", ".join(f"s{i} double" for i in range(dim))
+    agg = (points.mapInPandas(partial_sums, schema)
+           .groupBy("run", "j")
+           .agg(F.sum("n").alias("n"), F.sum("d2").alias("d2"),
+                *[F.sum(f"s{i}").alias(f"s{i}") for i in range(dim)]))
+    return {(row["run"], row["j"]): (row["n"], [row[f"s{i}"] for i in range(dim)], row["d2"])
+            for row in agg.collect()}
+
+
+def fit_runs(points: DataFrame, id_col: str, point_col: str, ks: Sequence[int], n_init: int,
+             seed: int, max_iter: int = 300, tol: float = 1e-4) -> list[KMeansRun]:
+    """Run ``n_init`` seeded k-means runs for every k in ``ks`` together.
+    Returns all runs with their final centers and inertia."""
+    pts = (points.select(F.xxhash64(F.col(id_col)).alias("__h"),
+                         F.col(point_col).cast("array<double>").alias("__x"))
+           .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        return _fit_runs(pts, ks, n_init, seed, max_iter, tol)
+    finally:
+        pts.unpersist()
+
+
+def _fit_runs(pts: DataFrame, ks: Sequence[int], n_init: int, seed: int, max_iter: int,
+              tol: float) -> list[KMeansRun]:
+    first = pts.select(F.size("__x").alias("d")).first()
+    if first is None:
+        return []
+    dim = int(first["d"])
+    var_row = pts.agg(*[F.var_pop(F.col("__x")[i]).alias(f"v{i}") for i in range(dim)]).first()
+    tol_abs = tol * (sum(float(var_row[f"v{i}"] or 0.0) for i in range(dim)) / dim)
+
+    runs = [KMeansRun(run=i, k=k, seed=seed + s) for i, (k, s) in
+            enumerate((k, s) for k in ks for s in range(n_init))]
+    for step in range(max(ks)):
+        _seed_step(pts, runs, step, dim)
+
+    active = list(runs)
+    for it in range(max_iter):
+        if not active:
+            break
+        stats = _lloyd_pass(pts, active, dim)
+        still = []
+        for r in active:
+            new, shift = [], 0.0
+            for j, c in enumerate(r.centers):
+                n, s, _ = stats.get((r.run, j), (0, None, 0.0))
+                nc = [v / n for v in s] if n else list(c)
+                shift += sum((a - b) ** 2 for a, b in zip(nc, c))
+                new.append(nc)
+            r.centers = new
+            r.n_iter = it + 1
+            if shift <= tol_abs:
+                r.converged = True
+            else:
+                still.append(r)
+        active = still
+
+    final = _lloyd_pass(pts, runs, dim)         # inertia at the final centers
+    for r in runs:
+        r.inertia = float(sum(final.get((r.run, j), (0, None, 0.0))[2] or 0.0 for j in range(r.k)))
+    return runs
+
+
+def best_runs(runs: Sequence[KMeansRun]) -> dict[int, KMeansRun]:
+    """Lowest-inertia run per k (first seed on ties)."""
+    best: dict[int, KMeansRun] = {}
+    for r in runs:
+        if r.k not in best or r.inertia < best[r.k].inertia:
+            best[r.k] = r
+    return best
+
+
+def assign(df: DataFrame, point: Column, run: KMeansRun, out_col: str) -> DataFrame:
+    j, _ = nearest_center(point.cast("array<double>"), run.centers)
+    return df.withColumn(out_col, j)
