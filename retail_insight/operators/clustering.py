@@ -181,7 +181,7 @@ def evaluate_kmeans_candidates(points: DataFrame, feature_cols: Sequence[str], i
     point, and the silhouette of all k is computed in one sampled pass."""
     spark = points.sparkSession
     pt = F.array(*[F.col(c).cast("double") for c in feature_cols])
-    base = points.select(id_col, pt.alias("__pt"))
+    base = materialize(points.select(id_col, pt.alias("__pt")))     # narrow: id + coordinates
     ks = list(range(min_k, max_k + 1))
     best = best_runs(fit_runs(base, id_col, "__pt", ks, n_init, seed, MAX_ITER, TOL))
     labelled = base
@@ -209,24 +209,27 @@ def perform_kmeans_clustering(customers: DataFrame, n_clusters: int = 4, seed: i
     """Cluster on z-scored log1p features; returns (customers + ML_Cluster,
     best run, cluster profile)."""
     z = zscore_features(customers, feature_cols)
-    zcols = [f"z_{c}" for c in feature_cols]
-    pts = z.withColumn("__pt", F.array(*[F.col(c) for c in zcols]))
-    run = kmeans_best_of(pts, n_clusters, n_init, seed, "__pt", "CustomerID")
-    pred = assign(pts, F.col("__pt"), run, "__pred")
-    named = canonical_cluster_names(pred, "__pred").drop("__pred", "__pt", *zcols)
-    return named, run, cluster_profile(named)
+    named, run = cluster_zscored(z, n_clusters, seed, n_init, feature_cols)
+    return named.drop(*[f"z_{c}" for c in feature_cols]), run, cluster_profile(named)
+
+
+def cluster_zscored(z: DataFrame, n_clusters: int, seed: int = DEFAULT_SEED, n_init: int = FINAL_N_INIT,
+                    feature_cols: Sequence[str] = RFMT_FEATURES) -> tuple[DataFrame, KMeansRun]:
+    """Fit on existing ``z_`` columns and add canonical ``ML_Cluster``."""
+    pt = F.array(*[F.col(f"z_{c}") for c in feature_cols])
+    run = kmeans_best_of(z.withColumn("__pt", pt), n_clusters, n_init, seed, "__pt", "CustomerID")
+    pred = assign(z, pt, run, "__pred")
+    return canonical_cluster_names(pred, "__pred").drop("__pred"), run
 
 
 # ---------------------------------------------------------------- PCA
 
-def pca_3d(customers: DataFrame, feature_cols: Sequence[str] = RFMT_FEATURES, n_components: int = 3
-           ) -> tuple[DataFrame, list[float]]:
-    """Add PCA_1..3 (4 dp) from z-scored log1p features; also return the
-    explained-variance ratios in percent (2 dp)."""
-    z = zscore_features(customers, feature_cols)
+def pca_fit(z: DataFrame, feature_cols: Sequence[str] = RFMT_FEATURES, n_components: int = 3
+            ) -> tuple[dict[str, Column], list[float]]:
+    """Fit PCA on existing ``z_`` columns; return the coordinate columns
+    (sign-fixed, 4 dp, as expressions) and explained-variance % (2 dp)."""
     zcols = [f"z_{c}" for c in feature_cols]
-    vec = assemble(z, zcols, "__v")
-    model = PCA(k=n_components, inputCol="__v", outputCol="__pca").fit(vec)
+    model = PCA(k=n_components, inputCol="__v", outputCol="__pca").fit(assemble(z, zcols, "__v"))
     pc = model.pc.toArray()                # d x n_components loadings (model parameters)
     cols = {}
     for j in range(n_components):
@@ -238,4 +241,13 @@ def pca_3d(customers: DataFrame, feature_cols: Sequence[str] = RFMT_FEATURES, n_
             expr = term if expr is None else expr + term
         cols[PCA_COLUMNS[j] if j < 3 else f"PCA_{j + 1}"] = half_even(expr, 4)
     evr = [round(float(v) * 100.0, 2) for v in model.explainedVariance.toArray()]
-    return z.withColumns(cols).drop(*zcols), evr
+    return cols, evr
+
+
+def pca_3d(customers: DataFrame, feature_cols: Sequence[str] = RFMT_FEATURES, n_components: int = 3
+           ) -> tuple[DataFrame, list[float]]:
+    """Add PCA_1..3 (4 dp) from z-scored log1p features; also return the
+    explained-variance ratios in percent (2 dp)."""
+    z = zscore_features(customers, feature_cols)
+    cols, evr = pca_fit(z, feature_cols, n_components)
+    return z.withColumns(cols).drop(*[f"z_{c}" for c in feature_cols]), evr

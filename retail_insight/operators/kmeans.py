@@ -171,13 +171,22 @@ def _lloyd_pass(points: DataFrame, runs: list[KMeansRun], dim: int) -> dict[tupl
             for row in agg.collect()}
 
 
+ROWS_PER_PARTITION = 100_000
+
+
 def fit_runs(points: DataFrame, id_col: str, point_col: str, ks: Sequence[int], n_init: int,
              seed: int, max_iter: int = 300, tol: float = 1e-4) -> list[KMeansRun]:
     """Run ``n_init`` seeded k-means runs for every k in ``ks`` together.
-    Returns all runs with their final centers and inertia."""
-    pts = (points.select(F.xxhash64(F.col(id_col)).alias("__h"),
-                         F.col(point_col).cast("array<double>").alias("__x"))
-           .persist(StorageLevel.MEMORY_AND_DISK))
+    Returns all runs with their final centers and inertia.
+
+    The points are persisted for the passes, in ``ceil(n / 100k)``
+    partitions: every pass is one task per partition, so tiny tables do
+    not pay for idle tasks and large ones still spread over the cluster.
+    """
+    pts = points.select(F.xxhash64(F.col(id_col)).alias("__h"),
+                        F.col(point_col).cast("array<double>").alias("__x"))
+    n = pts.count()
+    pts = pts.repartition(max(1, -(-n // ROWS_PER_PARTITION))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _fit_runs(pts, ks, n_init, seed, max_iter, tol)
     finally:

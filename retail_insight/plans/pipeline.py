@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from retail_insight.operators.campaigns import action_plan, enrich_with_playbook
 from retail_insight.operators.clustering import (
     PCA_COLUMNS,
+    RFMT_FEATURES,
+    cluster_zscored,
     evaluate_kmeans_candidates,
     optimal_k,
-    pca_3d,
-    perform_kmeans_clustering,
+    pca_fit,
+    zscore_features,
 )
+from retail_insight.session import materialize
 from retail_insight.operators.features import compute_rfm_legacy, compute_rfmt
 from retail_insight.operators.ingest import standardize_transactions, standardize_transactions_legacy
 from retail_insight.operators.scoring import calculate_rfm_scores_legacy, calculate_rfmt_scores
@@ -52,13 +55,17 @@ def build_action_plan(valued: DataFrame, n_clusters: int | None = None, playbook
     """Cluster, project and enrich the customer table into the 34-column
     plan. k is chosen by the best silhouette on the 3-D PCA coordinates
     unless ``n_clusters`` is given; clusters are fitted on the 4-D
-    z-scores. Returns (plan, k evaluation, explained variance %)."""
-    projected, _ = pca_3d(valued)
+    z-scores. The z-scores and the PCA fit are computed once and the
+    customer table is materialised once for all model passes. Returns
+    (plan, k evaluation, explained variance %)."""
+    zcols = [f"z_{c}" for c in RFMT_FEATURES]
+    z = materialize(zscore_features(valued))
+    pca_cols, evr = pca_fit(z)
+    projected = materialize(z.withColumns(pca_cols))
     evaluation = evaluate_kmeans_candidates(projected, list(PCA_COLUMNS), "CustomerID", min_k, max_k)
     k = n_clusters or optimal_k(evaluation)
-    clustered, _model, _profile = perform_kmeans_clustering(valued, n_clusters=k)
-    final, evr = pca_3d(clustered)
-    plan = action_plan(enrich_with_playbook(final, playbooks))
+    clustered, _run = cluster_zscored(projected, k)
+    plan = action_plan(enrich_with_playbook(clustered.drop(*zcols), playbooks))
     return plan, evaluation, evr
 
 
