@@ -13,9 +13,10 @@
   each sample row then computes its distances to that array with
   higher-order functions, once for all label columns. No cross join and no
   pair rows are produced. Labels come from the full-data models.
-* ``pca_3d``: ``pyspark.ml.feature.PCA`` (distributed Gramian); signs are
-  fixed so the largest-magnitude loading of each component is positive,
-  and coordinates are computed as plain column arithmetic.
+* ``pca_3d``: covariance matrix from one aggregate, d x d eigen-decomposition
+  on the driver (the same computation as ``pyspark.ml.feature.PCA``); signs
+  are fixed so the largest-magnitude loading of each component is
+  positive, and coordinates are plain column arithmetic.
 * Cluster names are canonical: ``Cluster 1`` has the highest mean Monetary.
 """
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,20 +228,40 @@ def cluster_zscored(z: DataFrame, n_clusters: int, seed: int = DEFAULT_SEED, n_i
 def pca_fit(z: DataFrame, feature_cols: Sequence[str] = RFMT_FEATURES, n_components: int = 3
             ) -> tuple[dict[str, Column], list[float]]:
     """Fit PCA on existing ``z_`` columns; return the coordinate columns
-    (sign-fixed, 4 dp, as expressions) and explained-variance % (2 dp)."""
+    (sign-fixed, 4 dp, as expressions) and explained-variance % (2 dp).
+
+    The covariance matrix comes from one aggregate (count, d sums and
+    d(d+1)/2 cross sums); its d x d eigen-decomposition is done on the
+    driver. Components are sign-fixed so the largest-magnitude loading is
+    positive; coordinates are plain column arithmetic on the (centred)
+    z-scores.
+    """
+    import numpy as np
     zcols = [f"z_{c}" for c in feature_cols]
-    model = PCA(k=n_components, inputCol="__v", outputCol="__pca").fit(assemble(z, zcols, "__v"))
-    pc = model.pc.toArray()                # d x n_components loadings (model parameters)
+    d = len(zcols)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    row = z.agg(F.count(F.lit(1)).alias("n"),
+                *[F.sum(F.col(c)).alias(f"s{i}") for i, c in enumerate(zcols)],
+                *[F.sum(F.col(zcols[i]) * F.col(zcols[j])).alias(f"p{i}_{j}") for i, j in pairs]).first()
+    n = float(row["n"])
+    mean = np.array([row[f"s{i}"] / n for i in range(d)])
+    cov = np.zeros((d, d))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = (row[f"p{i}_{j}"] - n * mean[i] * mean[j]) / max(n - 1.0, 1.0)
+    w, v = np.linalg.eigh(cov)
+    order = np.argsort(w)[::-1]
+    w, v = np.clip(w[order], 0.0, None), v[:, order]
     cols = {}
     for j in range(n_components):
-        col = pc[:, j]
-        sign = 1.0 if col[abs(col).argmax()] >= 0 else -1.0
+        col = v[:, j]
+        sign = 1.0 if col[np.abs(col).argmax()] >= 0 else -1.0
         expr = None
         for i, zc in enumerate(zcols):
             term = F.col(zc) * F.lit(float(sign * col[i]))
             expr = term if expr is None else expr + term
         cols[PCA_COLUMNS[j] if j < 3 else f"PCA_{j + 1}"] = half_even(expr, 4)
-    evr = [round(float(v) * 100.0, 2) for v in model.explainedVariance.toArray()]
+    total = float(w.sum()) or 1.0
+    evr = [round(float(x) / total * 100.0, 2) for x in w[:n_components]]
     return cols, evr
 
 

@@ -163,8 +163,21 @@ def _lloyd_pass(points: DataFrame, runs: list[KMeansRun], dim: int) -> dict[tupl
         yield pd.DataFrame(rows)
 
     schema = "run int, j int, n long, d2 double, " + ", ".join(f"s{i} double" for i in range(dim))
-    agg = (points.mapInPandas(partial_sums, schema)
-           .groupBy("run", "j")
+    partials = points.mapInPandas(partial_sums, schema)
+    out: dict[tuple[int, int], tuple] = {}
+    if points.rdd.getNumPartitions() <= DRIVER_COMBINE_MAX_PARTITIONS:
+        # At most partitions x runs x k partial rows: combine them here and
+        # skip a shuffle stage per pass.
+        for row in partials.collect():
+            key = (row["run"], row["j"])
+            s_row = [row[f"s{i}"] for i in range(dim)]
+            if key in out:
+                n0, s0, d0 = out[key]
+                out[key] = (n0 + row["n"], [a + b for a, b in zip(s0, s_row)], d0 + row["d2"])
+            else:
+                out[key] = (row["n"], s_row, row["d2"])
+        return out
+    agg = (partials.groupBy("run", "j")
            .agg(F.sum("n").alias("n"), F.sum("d2").alias("d2"),
                 *[F.sum(f"s{i}").alias(f"s{i}") for i in range(dim)]))
     return {(row["run"], row["j"]): (row["n"], [row[f"s{i}"] for i in range(dim)], row["d2"])
@@ -172,6 +185,7 @@ def _lloyd_pass(points: DataFrame, runs: list[KMeansRun], dim: int) -> dict[tupl
 
 
 ROWS_PER_PARTITION = 100_000
+DRIVER_COMBINE_MAX_PARTITIONS = 64
 
 
 def fit_runs(points: DataFrame, id_col: str, point_col: str, ks: Sequence[int], n_init: int,
