@@ -13,18 +13,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
-# Date layouts tried, in order, after ISO-8601 casting.
-DEFAULT_DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy",
-    "d.M.yyyy H:mm",
-    "d.M.yyyy",
+# Date layouts tried after ISO-8601 casting, grouped by a
+# shape test so that a value is only handed to layouts it can match (a
+# failed layout parse is costly; garbage skips them all).
+DATE_LAYOUTS = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}", ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")),
+    (r"^\d{4}/\d{1,2}/\d{1,2}", ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd")),
+    (r"^\d{1,2}/\d{1,2}/\d{4}", ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy")),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}", ("d.M.yyyy H:mm", "d.M.yyyy")),
 )
 
 
@@ -43,12 +39,12 @@ def month_index(start_month, end_month) -> Column:
     return ((F.year(e) - F.year(s)) * 12 + (F.month(e) - F.month(s))).cast("int")
 
 
-def parse_timestamp(c, dtype=None, formats=DEFAULT_DATE_FORMATS) -> Column:
+def parse_timestamp(c, dtype=None, layouts=DATE_LAYOUTS) -> Column:
     """Coerce a column to ``timestamp_ntz``; unparsable values become null.
 
     ``dtype`` is the column's Spark type when known (from ``df.schema``): a
     timestamp or date column is only re-typed, strings go through ISO casting
-    and then each layout in ``formats``.
+    and then the layouts whose shape test they pass.
     """
     c = _col(c)
     if isinstance(dtype, TimestampNTZType):
@@ -58,5 +54,7 @@ def parse_timestamp(c, dtype=None, formats=DEFAULT_DATE_FORMATS) -> Column:
     s = c if (dtype is None or isinstance(dtype, StringType)) else c.cast("string")
     s = F.trim(s)
     tries = [s.try_cast("timestamp_ntz")]
-    tries += [F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats]
+    for shape, fmts in layouts:
+        fits = s.rlike(shape)
+        tries += [F.when(fits, F.try_to_timestamp(s, F.lit(fmt))).cast("timestamp_ntz") for fmt in fmts]
     return F.coalesce(*tries)
