@@ -17,7 +17,7 @@ from retail_insight.functions.numeric import half_even
 from retail_insight.operators import campaigns as camp
 from retail_insight.operators import clustering as ml
 from retail_insight.operators import cohorts as coh
-from retail_insight.operators.features import compute_rfmt
+from retail_insight.operators.features import compute_rfmt, snapshot_next_midnight
 from retail_insight.operators.ingest import (
     clean_online_retail,
     retail_cleaning_profile,
@@ -150,6 +150,12 @@ def q_customer_features_events(spark, sf_dir):
     return compute_rfmt(event_transactions(spark, sf_dir))
 
 
+def q_customer_features_dashboard_snapshot(spark, sf_dir):
+    """F1A: snapshot = midnight after the latest raw date (events keep time of day)."""
+    raw = events_as_raw_transactions(spark, sf_dir)
+    return compute_rfmt(standardize_transactions(raw), snapshot_next_midnight(raw, "PurchaseDate"))
+
+
 def q_customer_segments(spark, sf_dir):
     """Quintile scores, RFM string, mean, segment, icon, colour."""
     return _customers(spark, sf_dir)
@@ -390,6 +396,7 @@ def q_action_plan(spark, sf_dir):
 QUERIES = {
     "customer_features": q_customer_features,
     "customer_features_events": q_customer_features_events,
+    "customer_features_dashboard_snapshot": q_customer_features_dashboard_snapshot,
     "customer_segments": q_customer_segments,
     "customer_segments_events": q_customer_segments_events,
     "segment_summary": q_segment_summary,

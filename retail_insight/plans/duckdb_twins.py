@@ -407,6 +407,10 @@ def twins() -> dict[str, str]:
     out = {
         "customer_features": with_ctes(TX_ORDERS, FEATURES, select="SELECT * FROM features"),
         "customer_features_events": with_ctes(TX_EVENTS, FEATURES, select="SELECT * FROM features"),
+        "customer_features_dashboard_snapshot": with_ctes(TX_EVENTS, FEATURES.replace(
+            "snap AS (SELECT max(LastPurchase) + INTERVAL 1 DAY AS s FROM cust_agg)",
+            "snap AS (SELECT date_trunc('day', max(ts) + INTERVAL 1 DAY) AS s FROM events)"),
+            select="SELECT * FROM features"),
         "customer_segments": with_ctes(*A, select="SELECT * FROM customers"),
         "customer_segments_events": with_ctes(*B, select="SELECT * FROM customers"),
         "segment_summary": with_ctes(*A, SUMMARY_SELECT, select="SELECT * FROM summary2"),

@@ -36,10 +36,10 @@ def read_transactions_csv(spark: SparkSession, path: str | Sequence[str],
           .option("multiLine", False)
           .option("mode", "PERMISSIVE")
           .csv(paths))
-    if any(p.endswith(".gz") for p in paths):
-        n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(n)
-    return df
+    if num_partitions:
+        return df.repartition(num_partitions)
+    from retail_insight.sources.tables import spread
+    return spread(df)        # e.g. one unsplittable .csv.gz file
 
 
 def read_transactions_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

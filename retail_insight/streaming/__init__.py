@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analytics this library rebuilds read whole files in batch; none of them
+consumes a stream, keeps state across arrivals or handles late data, so
+there is no streaming operator here. A pipeline that receives new export
+files re-runs the batch operators over the full history (they are lazy
+DataFrames and read only the columns they need).
+"""
