@@ -99,10 +99,15 @@ def _customer_aggregate(tx: DataFrame, item: str, weight: str) -> DataFrame:
 
 def _with_snapshot(tx: DataFrame, agg: DataFrame, snapshot_date) -> tuple[DataFrame, Column]:
     """Materialise the customer aggregate when the snapshot is derived from
-    the data, so the snapshot scalar reads the aggregate files instead of
-    re-running the scan, joins and shuffles of the transactions."""
+    the data, and read the snapshot (one value) from the aggregate files
+    instead of re-running the scan, joins and shuffles of the transactions;
+    it then enters the plan as a literal."""
     if snapshot_date is None:
         agg = materialize(agg)
+        latest = agg.agg(F.max("LastPurchase").alias("m")).first()["m"]
+        if latest is None:
+            return agg, F.lit(None).cast("timestamp_ntz")
+        return agg, F.lit(latest + _dt.timedelta(days=1)).cast("timestamp_ntz")
     return agg, _snapshot_column(tx, agg, snapshot_date)
 
 
