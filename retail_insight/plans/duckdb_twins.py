@@ -65,7 +65,7 @@ tx AS (
 TX_EVENTS = """
 tx AS (
   SELECT CAST(user_id AS VARCHAR) AS CustomerID, CAST(event_id AS VARCHAR) AS InvoiceNo,
-         ts AS PurchaseDate, value AS TotalSpend, 1.0 AS Quantity,
+         ts AS PurchaseDate, value AS TotalSpend, 1.0::DOUBLE AS Quantity,
          coalesce(value, 0.0) / 1.0 AS UnitPrice, 'Catalog Product' AS Product,
          event_type AS ProductCategory
   FROM events
@@ -110,7 +110,7 @@ tx AS (
 MAPPED_TX = LINES + """,
 tx AS (
   SELECT trim(CAST(o_custkey AS VARCHAR)) AS CustomerID, CAST(o_orderkey AS VARCHAR) AS InvoiceNo,
-         o_orderdate AS PurchaseDate, l_extendedprice AS TotalSpend, 1.0 AS Quantity,
+         o_orderdate AS PurchaseDate, l_extendedprice AS TotalSpend, 1.0::DOUBLE AS Quantity,
          coalesce(l_extendedprice, 0.0) / 1.0 AS UnitPrice, 'Catalog Product' AS Product,
          p_brand AS ProductCategory
   FROM lines
