@@ -21,16 +21,18 @@ from pyspark.sql import functions as F
 from retail_insight.functions.numeric import half_even
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+def spread(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Redistribute a source that has fewer input splits than the cluster
     has task slots (a single-row-group parquet file, an unsplittable gzip
-    file), so the stages after the scan use every core. Hash partitioning on
-    ``key`` (default: the first column, the table key) is deterministic and
+    file), so the stages after the scan use every core. Hash partitioning
+    on ``keys`` (default: the first two columns, i.e. the table key and the
+    next field, so one hot key value is still split) is deterministic and
     needs no local sort. A large input already has many splits and is
     returned unchanged (no extra shuffle)."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots, F.col(f"`{key or df.columns[0]}`"))
+        cols = keys or df.columns[:2]
+        return df.repartition(slots, *[F.col(f"`{c}`") for c in cols])
     return df
 
 
