@@ -64,7 +64,9 @@ def distributed_rank(df: DataFrame, order_by: Sequence, tie_breaker: str | Seque
     keys = ([F.col(c).asc() for c in partition_by]
             + [_sort_expr(s) for s in order_by]
             + [F.col(c).asc() for c in ties])
-    p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As many ranges as the input has partitions: the input is usually an
+    # AQE-coalesced (size-proportional) shuffle output or a checkpoint of one.
+    p = num_partitions or max(1, df.rdd.getNumPartitions())
 
     ordered = (df.repartitionByRange(p, *keys)
                .sortWithinPartitions(*keys)
