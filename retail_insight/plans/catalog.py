@@ -20,6 +20,7 @@ from retail_insight.operators import cohorts as coh
 from retail_insight.operators.features import compute_rfmt, snapshot_next_midnight
 from retail_insight.operators.ingest import (
     clean_online_retail,
+    picker_mapping,
     retail_cleaning_profile,
     standardize_transactions,
     transactions_profile,
@@ -94,6 +95,38 @@ def mapped_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def picker_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines under headers that only the keyword picker resolves
+    (by substring: client -> customer, time -> date, price -> spend,
+    dept -> category), plus an exact ``Order_ID`` and an unmapped ``Qty``."""
+    return _lines(spark, sf_dir).select(
+        F.col("o_custkey").alias("Client Name"),
+        F.col("o_orderdate").alias("Order Time"),
+        F.col("l_extendedprice").alias("Sale Price"),
+        F.col("l_orderkey").alias("Order_ID"),
+        F.col("p_brand").alias("Product Dept"),
+        F.col("l_quantity").alias("Qty"),
+    )
+
+
+def unpriced_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with quantity and unit price but no spend column."""
+    return _lines(spark, sf_dir).select(
+        F.col("o_custkey").alias("CustomerID"),
+        F.col("o_orderkey").alias("InvoiceNo"),
+        F.col("o_orderdate").alias("PurchaseDate"),
+        F.col("l_quantity").alias("Quantity"),
+        F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("UnitPrice"),
+        F.col("p_type").alias("ProductCategory"),
+    )
+
+
+def uninvoiced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without an event id: every line becomes its own invoice."""
+    return read_table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("user_id"), F.col("ts").alias("timestamp"), F.col("value").alias("amount"))
+
+
 CUSTOM_MAPPING = {"CustomerID": "acct", "PurchaseDate": "booked_at", "TotalSpend": "gross",
                   "InvoiceNo": "doc", "ProductCategory": "line_group"}
 
@@ -323,6 +356,22 @@ def q_ingest_custom_mapping(spark, sf_dir):
     return standardize_transactions(mapped_raw_lines(spark, sf_dir), CUSTOM_MAPPING)
 
 
+def q_ingest_keyword_picker(spark, sf_dir):
+    """I3 -> I1: keyword picker chooses the mapping, then standardise."""
+    raw = picker_raw_lines(spark, sf_dir)
+    return standardize_transactions(raw, picker_mapping(raw.columns))
+
+
+def q_ingest_spend_from_price(spark, sf_dir):
+    """I8: spend = quantity x unit price at 2 dp when there is no spend column."""
+    return standardize_transactions(unpriced_raw_lines(spark, sf_dir))
+
+
+def q_customer_features_no_invoice(spark, sf_dir):
+    """I4: generated one-line invoices (Frequency = lines)."""
+    return compute_rfmt(standardize_transactions(uninvoiced_events(spark, sf_dir)))
+
+
 def q_dirty_segments(spark, sf_dir):
     """Full customer pipeline on the dirty export."""
     return customers_from_transactions(standardize_transactions(dirty_raw_lines(spark, sf_dir)))
@@ -362,6 +411,24 @@ def q_feature_correlations(spark, sf_dir):
     return camp.feature_correlations(_customers(spark, sf_dir))
 
 
+def q_watchlist_top3(spark, sf_dir):
+    """Console digest, three highest-spend watchlist accounts."""
+    return churn_watchlist(_valued(spark, sf_dir)).limit(3).select(
+        "CustomerID", "Monetary", "Recency", "P_Alive_Pct")
+
+
+def q_feature_scatter(spark, sf_dir):
+    """R/F/M/T scatter-matrix feed."""
+    return camp.feature_scatter(_customers(spark, sf_dir))
+
+
+def q_customer_lookup(spark, sf_dir):
+    """D3: one customer's full row (the customer with the largest spend)."""
+    customers = _customers(spark, sf_dir)
+    top_id = customers.orderBy(F.col("Monetary").desc(), F.col("CustomerID")).select("CustomerID").first()[0]
+    return camp.customer_lookup(customers, top_id)
+
+
 def q_segment_browser(spark, sf_dir):
     """D3: filter to two segments, sort by spend."""
     return camp.filter_and_sort(_customers(spark, sf_dir), ["Champions", "At-Risk VIPs"]).select(
@@ -430,6 +497,9 @@ QUERIES = {
     "legacy_segment_summary": q_legacy_segment_summary,
     "ingest_dirty": q_ingest_dirty,
     "ingest_custom_mapping": q_ingest_custom_mapping,
+    "ingest_keyword_picker": q_ingest_keyword_picker,
+    "ingest_spend_from_price": q_ingest_spend_from_price,
+    "customer_features_no_invoice": q_customer_features_no_invoice,
     "dirty_segments": q_dirty_segments,
     "retail_clean": q_retail_clean,
     "retail_profile": q_retail_profile,
@@ -438,6 +508,9 @@ QUERIES = {
     "silhouette_embeddings": q_silhouette_embeddings,
     "feature_correlations": q_feature_correlations,
     "segment_browser": q_segment_browser,
+    "watchlist_top3": q_watchlist_top3,
+    "feature_scatter": q_feature_scatter,
+    "customer_lookup": q_customer_lookup,
     "kmeans_sweep": q_kmeans_sweep,
     "customer_clusters": q_customer_clusters,
     "pca_projection": q_pca_projection,

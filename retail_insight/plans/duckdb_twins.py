@@ -118,6 +118,43 @@ tx AS (
     AND trim(CAST(o_custkey AS VARCHAR)) NOT IN ('', 'nan', 'None') AND l_extendedprice > 0
 )"""
 
+PICKER_TX = LINES + """,
+tx AS (
+  SELECT trim(CAST(o_custkey AS VARCHAR)) AS CustomerID, CAST(l_orderkey AS VARCHAR) AS InvoiceNo,
+         o_orderdate AS PurchaseDate, l_extendedprice AS TotalSpend, 1.0::DOUBLE AS Quantity,
+         coalesce(l_extendedprice, 0.0) / 1.0 AS UnitPrice, 'Catalog Product' AS Product,
+         p_brand AS ProductCategory
+  FROM lines
+  WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL AND l_extendedprice IS NOT NULL
+    AND trim(CAST(o_custkey AS VARCHAR)) NOT IN ('', 'nan', 'None') AND l_extendedprice > 0
+)"""
+
+UNPRICED_TX = LINES + """,
+tx AS (
+  SELECT trim(CAST(o_custkey AS VARCHAR)) AS CustomerID, CAST(o_orderkey AS VARCHAR) AS InvoiceNo,
+         o_orderdate AS PurchaseDate,
+         round_even(coalesce(l_quantity, 1.0) * coalesce(l_extendedprice / nullif(l_quantity, 0), 0.0), 2)
+           AS TotalSpend,
+         coalesce(l_quantity, 1.0) AS Quantity,
+         coalesce(l_extendedprice / nullif(l_quantity, 0), 0.0) AS UnitPrice,
+         'Catalog Product' AS Product, p_type AS ProductCategory
+  FROM lines
+  WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL
+    AND trim(CAST(o_custkey AS VARCHAR)) NOT IN ('', 'nan', 'None')
+    AND round_even(coalesce(l_quantity, 1.0) * coalesce(l_extendedprice / nullif(l_quantity, 0), 0.0), 2) > 0
+    AND coalesce(l_quantity, 1.0) > 0
+)"""
+
+UNINVOICED_TX = """
+tx AS (
+  SELECT CAST(user_id AS VARCHAR) AS CustomerID, CAST(row_number() OVER () AS VARCHAR) AS InvoiceNo,
+         ts AS PurchaseDate, value AS TotalSpend, 1.0::DOUBLE AS Quantity,
+         coalesce(value, 0.0) / 1.0 AS UnitPrice, 'Catalog Product' AS Product,
+         'General Merchandise' AS ProductCategory
+  FROM events
+  WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL AND value > 0
+)"""
+
 RETAIL_RAW = LINES + """,
 retail_raw AS (
   SELECT CASE WHEN l_returnflag = 'R' THEN 'C' || CAST(o_orderkey AS VARCHAR)
@@ -572,5 +609,15 @@ def twins() -> dict[str, str]:
             for b in ("Recency", "Frequency", "Monetary", "Tenure")[i:])),
         "segment_browser": with_ctes(*A, select="""SELECT CustomerID, Segment, Monetary, Recency, Frequency
             FROM customers WHERE Segment IN ('Champions', 'At-Risk VIPs')"""),
+        "ingest_keyword_picker": with_ctes(PICKER_TX, select="SELECT * FROM tx"),
+        "ingest_spend_from_price": with_ctes(UNPRICED_TX, select="SELECT * FROM tx"),
+        "customer_features_no_invoice": with_ctes(UNINVOICED_TX, FEATURES, select="SELECT * FROM features"),
+        "watchlist_top3": with_ctes(*A, VALUED, select=f"""SELECT CustomerID, Monetary, Recency, P_Alive_Pct
+            FROM valued WHERE P_Alive < 0.45 AND Monetary >= {_quantile_sql(0.5)}
+            ORDER BY Monetary DESC, CustomerID ASC LIMIT 3"""),
+        "feature_scatter": with_ctes(*A, select="""SELECT CustomerID, Segment, Recency, Frequency, Monetary, Tenure
+            FROM customers"""),
+        "customer_lookup": with_ctes(*A, select="""SELECT * FROM customers
+            ORDER BY Monetary DESC, CustomerID ASC LIMIT 1"""),
     }
     return out
