@@ -11,8 +11,9 @@ Plan: transactions are first reduced to distinct (customer, month) pairs
 a customer has at most one row per calendar month, so no customer's group
 grows with the data). Active counts per (cohort, index) are a plain
 aggregate over those pairs with at most months x months output rows; the
-cohort size, the first-13-observed-columns cut and the percentages work on
-that small table.
+cohort size (window per cohort), the first-13-observed-columns cut (dense
+rank over that table) and the percentages work on that small table, so the
+transactions are read once.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from retail_insight.functions.dates import month_index
 from retail_insight.functions.numeric import half_even
+from retail_insight.session import materialize
 
 MAX_COLUMNS = 13  # Fixed value: month 0 .. month 12 when all are observed
 
@@ -43,14 +45,15 @@ def cohort_retention(tx: DataFrame, max_columns: int = MAX_COLUMNS) -> DataFrame
     observed month indices; cohort sizes come from month 0 (uncut)."""
     cm = customer_months(tx)
     cells = cm.groupBy("CohortStart", "CohortIndex").agg(F.count(F.lit(1)).alias("ActiveCustomers"))
-    # cells has at most (#months)^2 rows; these windows are over that table.
+    # cells has at most (#months)^2 rows, so both windows below run over a
+    # table bounded by the calendar span, not by the data volume; computing
+    # the observed-column position here keeps the input to a single pass.
     size = F.max(F.when(F.col("CohortIndex") == 0, F.col("ActiveCustomers"))) \
         .over(Window.partitionBy("CohortStart"))
-    cells = cells.withColumn("CohortSize", size)
-    observed = cells.select("CohortIndex").distinct()
-    keep = (observed.withColumn("__pos", F.dense_rank().over(Window.orderBy("CohortIndex")))
-            .where(F.col("__pos") <= max_columns).select("CohortIndex"))
-    cells = cells.join(F.broadcast(keep), "CohortIndex", "left_semi")
+    position = F.dense_rank().over(Window.orderBy("CohortIndex"))
+    cells = (cells.withColumn("CohortSize", size)
+             .withColumn("__pos", position)
+             .where(F.col("__pos") <= max_columns))
     pct = F.col("ActiveCustomers") / F.col("CohortSize") * F.lit(100.0)
     pct = F.when(F.col("CohortIndex") == 0, F.lit(100.0)).otherwise(pct)
     pct = half_even(F.least(F.greatest(pct, F.lit(0.0)), F.lit(100.0)), 1)
@@ -74,7 +77,10 @@ def cohort_sizes(tx: DataFrame) -> DataFrame:
 def cohort_matrix(retention: DataFrame, value_col: str = "RetentionPct") -> DataFrame:
     """Wide view: one row per cohort, one column per kept month index
     (``Month_<i>``), absent cells null. The pivot values are the kept
-    indices (at most ``MAX_COLUMNS`` small integers, read from the data)."""
+    indices (at most ``MAX_COLUMNS`` small integers, read from the data);
+    the (months x 13 bounded) retention table is materialised first so the
+    input is not read twice."""
+    retention = materialize(retention)
     idx = sorted(r[0] for r in retention.select("CohortIndex").distinct().collect())
     wide = (retention.groupBy("CohortMonth").pivot("CohortIndex", idx)
             .agg(F.first(value_col)))
