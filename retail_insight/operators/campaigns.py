@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from retail_insight.functions.numeric import MICRO, half_even
 from retail_insight.operators.ranking import distributed_rank
-from retail_insight.operators.segments import SEGMENTS, playbook_table, segment_dim
+from retail_insight.operators.segments import playbook_table, segment_dim
 from retail_insight.operators.value import TIERS
 
 # Campaign model defaults and the empty-segment order value.
@@ -297,5 +297,3 @@ def filter_and_sort(customers: DataFrame, segments: Sequence[str] | None = None,
     keys = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in sort_by] + [F.col("CustomerID").asc()]
     return out.orderBy(*keys)
 
-
-__all__ = [name for name in dir() if not name.startswith("_")] + ["SEGMENTS"]

@@ -26,7 +26,7 @@ from retail_insight.operators.ingest import (
     transactions_profile,
 )
 from retail_insight.operators.segments import segment_kpi_summary
-from retail_insight.operators.value import churn_watchlist, estimate_value, growth_targets
+from retail_insight.operators.value import churn_watchlist, growth_targets
 from retail_insight.plans.pipeline import (
     build_action_plan,
     customer_intelligence,

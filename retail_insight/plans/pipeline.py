@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from retail_insight.operators.campaigns import action_plan, enrich_with_playbook
 from retail_insight.operators.clustering import (
@@ -79,5 +78,3 @@ def watchlist_digest(valued: DataFrame, top: int = 3) -> DataFrame:
     from retail_insight.operators.value import churn_watchlist
     return churn_watchlist(valued).limit(top)
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"F", "DataFrame", "Mapping"}]
