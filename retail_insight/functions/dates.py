@@ -1,10 +1,11 @@
 """Timestamp helpers.
 
 Day counts in the results are whole 24-hour spans (``floor(delta / 24h)``),
-not calendar-day differences: ``timestamp_diff(DAY, a, b)`` counts elapsed
-whole days (47h59m -> 1, where ``datediff`` says 2). It truncates toward
-zero, which equals the floor for every non-negative span; callers clip
-negative spans anyway.
+not calendar-day differences: the DAY field of ``b - a`` on
+``timestamp_ntz`` values (a day-time interval, independent of the session
+time zone and of DST) counts elapsed whole days (47h59m -> 1, where
+``datediff`` says 2). It truncates toward zero, which equals the floor for
+every non-negative span; callers clip negative spans anyway.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ def _col(c) -> Column:
 
 
 def floor_days(start, end) -> Column:
-    """Whole days elapsed from ``start`` to ``end`` (int)."""
-    return F.timestamp_diff("DAY", _col(start), _col(end)).cast("int")
+    """Whole days elapsed from ``start`` to ``end`` (int), for
+    ``timestamp_ntz`` inputs."""
+    span = _col(end).cast("timestamp_ntz") - _col(start).cast("timestamp_ntz")
+    return F.extract(F.lit("DAY"), span).cast("int")
 
 
 def month_index(start_month, end_month) -> Column:

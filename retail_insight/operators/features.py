@@ -107,7 +107,8 @@ def _with_snapshot(tx: DataFrame, agg: DataFrame, snapshot_date) -> tuple[DataFr
         latest = agg.agg(F.max("LastPurchase").alias("m")).first()["m"]
         if latest is None:
             return agg, F.lit(None).cast("timestamp_ntz")
-        return agg, F.lit(latest + _dt.timedelta(days=1)).cast("timestamp_ntz")
+        snap = (latest + _dt.timedelta(days=1)).isoformat(sep=" ")
+        return agg, F.lit(snap).cast("timestamp_ntz")
     return agg, _snapshot_column(tx, agg, snapshot_date)
 
 
