@@ -198,12 +198,14 @@ def best_scenarios(grid: DataFrame) -> DataFrame:
 def campaign_audience(customers: DataFrame, reach_pct: float = DEFAULT_REACH_PCT,
                       segments: Sequence[str] | None = None) -> DataFrame:
     """First int(size x reach %) customers of each segment in customer-id
-    order (the exported target list)."""
+    order (the exported target list). Ranks a narrow (id, segment)
+    projection and joins the selected ids back to the full rows."""
     base = customers if not segments else customers.where(F.col("Segment").isin(*segments))
-    ranked = distributed_rank(base, [], "CustomerID", rank_col="AudienceRank",
-                              total_col="__seg_n", partition_by=["Segment"])
+    ranked = distributed_rank(base.select("CustomerID", "Segment"), [], "CustomerID",
+                              rank_col="AudienceRank", total_col="__seg_n", partition_by=["Segment"])
     limit = F.floor(F.col("__seg_n") * F.lit(float(reach_pct) / 100.0))
-    return ranked.where(F.col("AudienceRank") <= limit).drop("__seg_n")
+    chosen = ranked.where(F.col("AudienceRank") <= limit).select("CustomerID", "AudienceRank")
+    return base.join(chosen, "CustomerID", "inner")
 
 
 # Display names of the segment summary columns.
