@@ -1,4 +1,4 @@
-"""Unsupervised learning on customer features (``pyspark.ml``).
+"""Unsupervised learning on customer features.
 
 * ``zscore_features``: log1p, then z-scores with the *population* standard
   deviation (zero variance -> 0). Means and deviations come from one
@@ -8,11 +8,12 @@
   together, one pass over the points per iteration (see ``kmeans``).
 * ``silhouette_sampled``: mean *Euclidean* silhouette on a deterministic
   sample of at most ``sample_size`` rows (smallest ``xxhash64(id, seed)``),
-  the reference's bound for this O(m^2) measure. The sample is collected
-  into one array (a scalar subquery of at most ``sample_size`` elements);
-  each sample row then computes its distances to that array with
-  higher-order functions, once for all label columns. No cross join and no
-  pair rows are produced. Labels come from the full-data models.
+  the reference's bound for this O(m^2) measure. The sample (at most
+  ``sample_size`` rows) is materialised, read once on the driver and
+  shipped to the tasks; a ``mapInPandas`` pass over the sample rows then
+  computes each row's distances to the sample with numpy, once for all
+  label columns, and Spark averages the per-row values. No cross join and
+  no pair rows are produced. Labels come from the full-data models.
 * ``pca_3d``: covariance matrix from one aggregate, d x d eigen-decomposition
   on the driver (the same computation as ``pyspark.ml.feature.PCA``); signs
   are fixed so the largest-magnitude loading of each component is
@@ -24,7 +25,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,10 +61,6 @@ def zscore_features(df: DataFrame, cols: Sequence[str] = RFMT_FEATURES, log1p: b
     return df.withColumns(out)
 
 
-def assemble(df: DataFrame, cols: Sequence[str], out_col: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=out_col).transform(df)
-
-
 # ---------------------------------------------------------------- k-means
 
 def kmeans_best_of(points: DataFrame, k: int, n_init: int = FINAL_N_INIT, seed: int = DEFAULT_SEED,
