@@ -1,7 +1,7 @@
 """Time the headline queries; print one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS
-(default 4 -> local[4]). Each query runs to completion through the
+(default 4 -> local[4]), BENCH_SHUFFLE_PARTITIONS (default 2 x cpus). Each query runs to completion through the
 ``noop`` sink (full execution, nothing collected). Before the timings, the
 code paths are warmed up once (JVM class loading / JIT, Python workers) by
 running three of the queries on the smallest table set, untimed.
@@ -39,7 +39,8 @@ def main() -> None:
     from retail_insight.plans.catalog import QUERIES
     from retail_insight.session import get_session
 
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=max(4, 2 * cpus),
+    shuffle = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(4, 2 * cpus))))
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=shuffle,
                         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")})
 
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
