@@ -36,8 +36,15 @@ def spread(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df
 
 
+FACT_TABLES = ("lineitem", "events")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """Read one driver table; fact tables (the line-level inputs) are spread
+    when they arrive in fewer splits than task slots, dimension tables are
+    left for Catalyst/AQE to broadcast or shuffle as measured."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in FACT_TABLES else df
 
 
 def orders_as_raw_transactions(spark: SparkSession, sf_dir: str,
