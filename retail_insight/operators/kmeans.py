@@ -126,7 +126,8 @@ def _seed_step(points: DataFrame, runs: list[KMeansRun], step: int, dim: int) ->
             r.centers.append(list(r.centers[-1]))
 
 
-def _lloyd_pass(points: DataFrame, runs: list[KMeansRun], dim: int) -> dict[tuple[int, int], tuple]:
+def _lloyd_pass(points: DataFrame, runs: list[KMeansRun], dim: int,
+                n_parts: int | None = None) -> dict[tuple[int, int], tuple]:
     """Assign every point for every run; per (run, cluster): count, sums of
     coordinates, sum of squared distances."""
     active = [(r.run, [list(c) for c in r.centers]) for r in runs]
@@ -165,7 +166,7 @@ def _lloyd_pass(points: DataFrame, runs: list[KMeansRun], dim: int) -> dict[tupl
     schema = "run int, j int, n long, d2 double, " + ", ".join(f"s{i} double" for i in range(dim))
     partials = points.mapInPandas(partial_sums, schema)
     out: dict[tuple[int, int], tuple] = {}
-    if points.rdd.getNumPartitions() <= DRIVER_COMBINE_MAX_PARTITIONS:
+    if (n_parts or points.rdd.getNumPartitions()) <= DRIVER_COMBINE_MAX_PARTITIONS:
         # At most partitions x runs x k partial rows: combine them here and
         # skip a shuffle stage per pass.
         for row in partials.collect():
@@ -221,11 +222,12 @@ def _fit_runs(pts: DataFrame, ks: Sequence[int], n_init: int, seed: int, max_ite
     for step in range(max(ks)):
         _seed_step(pts, runs, step, dim)
 
+    n_parts = pts.rdd.getNumPartitions()
     active = list(runs)
     for it in range(max_iter):
         if not active:
             break
-        stats = _lloyd_pass(pts, active, dim)
+        stats = _lloyd_pass(pts, active, dim, n_parts)
         still = []
         for r in active:
             new, shift = [], 0.0
@@ -242,7 +244,7 @@ def _fit_runs(pts: DataFrame, ks: Sequence[int], n_init: int, seed: int, max_ite
                 still.append(r)
         active = still
 
-    final = _lloyd_pass(pts, runs, dim)         # inertia at the final centers
+    final = _lloyd_pass(pts, runs, dim, n_parts)         # inertia at the final centers
     for r in runs:
         r.inertia = float(sum(final.get((r.run, j), (0, None, 0.0))[2] or 0.0 for j in range(r.k)))
     return runs
