@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from retail_insight.llm import license_scan, secret_scan, source_mix, token_counts
+from retail_insight.llm import decontaminate, fingerprints, license_scan, secret_scan, source_mix, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op4_license_scan": license_scan.op4_license_scan,
     "op6_source_mix": source_mix.op6_source_mix,
+    "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
