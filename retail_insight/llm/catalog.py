@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from retail_insight.llm import decontaminate, fingerprints, license_scan, secret_scan, source_mix, token_counts
+from retail_insight.llm import decontaminate, fingerprints, jaccard_join, license_scan, line_dedup, secret_scan, source_mix, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_license_scan": license_scan.op4_license_scan,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
@@ -14,5 +16,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_license_scan": license_scan.oracle(),
 }

@@ -31,7 +31,7 @@ PLAIN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
 def plain_words(hasher: WordHasher, text) -> np.ndarray:
-    return hasher.one(text.encode("utf-8").translate(PLAIN).lower()) if isinstance(text, str) and text else np.empty(0, dtype=np.uint64)
+    return hasher.one(text.lower().encode("utf-8").translate(PLAIN)) if isinstance(text, str) and text else np.empty(0, dtype=np.uint64)
 
 
 class ItemBlock:
