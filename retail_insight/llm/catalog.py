@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from retail_insight.llm import decontaminate, fingerprints, jaccard_join, license_scan, line_dedup, secret_scan, source_mix, token_counts
+from retail_insight.llm import decontaminate, fingerprints, jaccard_join, license_scan, line_dedup, quality, secret_scan, source_mix, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_source_mix": source_mix.op6_source_mix,
