@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from retail_insight.llm import decontaminate, fingerprints, jaccard_join, license_scan, line_dedup, quality, secret_scan, source_mix, token_counts
+from retail_insight.llm import decontaminate, fingerprints, jaccard_join, license_scan, line_dedup, lm_score, quality, secret_scan, source_mix, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op10_lm_scores": lm_score.op10_lm_scores,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
