@@ -220,23 +220,24 @@ def dedup_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NEAR_W
     copies will do. An empty table gives an empty result. Columns of the
     names n_lines, n_exact and n_near are replaced, all others kept.
     """
-    found = (duplicate_lines(documents, least, near).groupBy(F.col("doc").alias("_doc"))
-             .agg(F.collect_list(F.struct("line", "crc", "near")).alias("_gone")))
+    found = (duplicate_lines(documents, least, near).groupBy(F.col("doc").alias("id"))
+             .agg(F.collect_list(F.struct("line", "crc", "near")).alias("gone")))
     kept = [c for c in documents.columns if c not in ("n_lines", "n_exact", "n_near")]
-    rows = documents.select(*[F.col(f"`{c}`") for c in kept])
-    joined = rows.join(found, F.col("doc_id") == F.col("_doc"), "left")
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("int").alias("line"), F.crc32(x).alias("crc"), x.alias("x")))
-    gone = F.transform("_gone", lambda g: F.struct(g["line"].alias("line"), g["crc"].alias("crc")))
-    stay = F.filter(F.col("_lines"), lambda v: ~F.array_contains(gone, F.struct(v["line"].alias("line"), v["crc"].alias("crc"))))
-    of = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines))
-    none = F.col("_gone").isNull() | F.col("text").isNull()
-    text = F.when(none, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda v: v["x"]), "\n"))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    here = F.filter("_gone", lambda g: F.exists(F.col("_lines"), lambda v: (v["line"] == g["line"]) & (v["crc"] == g["crc"])))
-    counted = of.withColumns({"n_lines": n_lines, "_here": F.when(none, F.array().cast("array<struct<line:int,crc:bigint,near:boolean>>")).otherwise(here), "_new": text})
-    return counted.select(*[F.col("_new").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], "n_lines",
-                          F.size(F.filter("_here", lambda g: ~g["near"])).cast("long").alias("n_exact"),
-                          F.size(F.filter("_here", lambda g: g["near"])).cast("long").alias("n_near"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    old = F.col("row.text")
+    split = F.transform(F.split(old, "\n"), lambda x, i: F.struct(i.cast("int").alias("line"), F.crc32(x).alias("crc"), x.alias("x")))
+    seen = rows.join(found, F.col("row.doc_id") == F.col("id"), "left").select("row", "gone", F.when(F.col("gone").isNotNull(), split).alias("lines"))
+    gone = F.transform("gone", lambda g: F.struct(g["line"].alias("line"), g["crc"].alias("crc")))
+    stay = F.filter("lines", lambda v: ~F.array_contains(gone, F.struct(v["line"].alias("line"), v["crc"].alias("crc"))))
+    here = F.filter("gone", lambda g: F.exists("lines", lambda v: (v["line"] == g["line"]) & (v["crc"] == g["crc"])))
+    text = F.when(F.col("lines").isNull(), old).otherwise(F.array_join(F.transform(stay, lambda v: v["x"]), "\n"))
+    done = seen.select("row", text.alias("text"), F.when(F.col("lines").isNull(), F.array().cast(
+        "array<struct<line:int,crc:bigint,near:boolean>>")).otherwise(here).alias("here"))
+    return done.select(
+        *[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in kept],
+        F.when(old.isNull(), F.lit(0)).otherwise(F.size(F.split(old, "\n"))).cast("long").alias("n_lines"),
+        F.size(F.filter("here", lambda g: ~g["near"])).cast("long").alias("n_exact"),
+        F.size(F.filter("here", lambda g: g["near"])).cast("long").alias("n_near"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
