@@ -4,8 +4,8 @@
   numpy's ``round`` (and DuckDB's ``round_even``). Spark's ``round`` is
   half-up and ``bround`` rounds the decimal expansion, and both disagree
   with it on ordinary money values, so they are not used for outputs.
-* ``money_sum`` adds amounts as whole micro-units in a ``bigint``: exact,
-  independent of shuffle order, and still a codegen'd primitive sum.
+* ``money_sum`` adds amounts as whole micro-units in a decimal: exact,
+  independent of shuffle order, with room for 10^32 units of money.
 """
 
 from __future__ import annotations
@@ -26,10 +26,21 @@ def half_even(c, n: int) -> Column:
     return F.rint(_col(c) * F.lit(scale)) / F.lit(scale)
 
 
+def micros(c) -> Column:
+    """Whole micro-units as a decimal: the long cast is quick and covers
+    ordinary amounts, the decimal one everything else."""
+    whole = F.rint(_col(c) * F.lit(float(MICRO)))
+    return F.coalesce(whole.try_cast("bigint").cast("decimal(28,0)"), whole.cast("decimal(28,0)"))
+
+
+def from_micros(c) -> Column:
+    """Micro-units back as a double."""
+    return _col(c).cast("double") / F.lit(float(MICRO))
+
+
 def money_sum(c) -> Column:
     """Exact, order-independent sum of a money column, returned as double."""
-    micros = F.rint(_col(c) * F.lit(float(MICRO))).cast("bigint")
-    return F.sum(micros) / F.lit(float(MICRO))
+    return from_micros(F.sum(micros(c)))
 
 
 def ceil_div(num, den) -> Column:

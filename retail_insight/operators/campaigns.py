@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retail_insight.functions.numeric import MICRO, half_even
+from retail_insight.functions.numeric import from_micros, half_even, micros, money_sum
 from retail_insight.operators.ranking import distributed_rank
 from retail_insight.operators.segments import playbook_table, segment_dim
 from retail_insight.operators.value import TIERS
@@ -34,11 +34,6 @@ CONVERSION_RANGE = (1.0, 30.0, 0.5)
 MARGIN_RANGE = (15, 85, 5)
 
 
-def _micros(c) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.rint(c * F.lit(float(MICRO))).cast("bigint")
-
-
 def global_kpis(valued: DataFrame) -> DataFrame:
     """One row: customers, active (P_Alive >= 0.50) and active %, realised
     revenue, forecast spend and CLV, mean tenure."""
@@ -48,9 +43,9 @@ def global_kpis(valued: DataFrame) -> DataFrame:
         n.alias("TotalCustomers"),
         active.alias("ActiveCustomers"),
         half_even(active / F.greatest(n, F.lit(1)) * F.lit(100.0), 1).alias("ActivePct"),
-        half_even(F.sum(_micros("Monetary")) / F.lit(float(MICRO)), 2).alias("RealizedRevenue"),
-        half_even(F.sum(_micros("Predicted_Spend_90d")) / F.lit(float(MICRO)), 2).alias("Forecast90dRevenue"),
-        half_even(F.sum(_micros("Predictive_CLV_90d")) / F.lit(float(MICRO)), 2).alias("Forecast90dCLV"),
+        half_even(money_sum("Monetary"), 2).alias("RealizedRevenue"),
+        half_even(money_sum("Predicted_Spend_90d"), 2).alias("Forecast90dRevenue"),
+        half_even(money_sum("Predictive_CLV_90d"), 2).alias("Forecast90dCLV"),
         half_even(F.sum("Tenure") / F.greatest(n, F.lit(1)), 1).alias("AvgTenureDays"),
     )
 
@@ -84,7 +79,7 @@ def revenue_rollup(customers: DataFrame) -> DataFrame:
     """Segment -> customer revenue hierarchy (``rollup``): one row per
     customer, one subtotal per segment and a grand total."""
     return (customers.rollup("Segment", "CustomerID")
-            .agg((F.sum(_micros("Monetary")) / F.lit(float(MICRO))).alias("Revenue"),
+            .agg(money_sum("Monetary").alias("Revenue"),
                  F.grouping_id().cast("int").alias("Level")))
 
 
@@ -118,10 +113,10 @@ def _segment_stats(customers: DataFrame) -> DataFrame:
     spark = customers.sparkSession
     per = customers.groupBy("Segment").agg(
         F.count(F.lit(1)).alias("SegmentCustomers"),
-        F.sum(_micros("AvgOrderValue")).alias("__aov"))
+        F.sum(micros("AvgOrderValue")).alias("__aov"))
     j = segment_dim(spark).join(F.broadcast(per), "Segment", "left")   # <= 7 rows each
     n = F.coalesce(F.col("SegmentCustomers"), F.lit(0))
-    aov = F.col("__aov").cast("double") / F.lit(float(MICRO)) / F.col("SegmentCustomers")
+    aov = from_micros("__aov") / F.col("SegmentCustomers")
     return j.select("Segment", "SegmentOrder", n.alias("SegmentCustomers"),
                     F.coalesce(aov, F.lit(EMPTY_SEGMENT_AOV)).alias("__seg_aov"))
 

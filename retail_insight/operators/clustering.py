@@ -1,46 +1,47 @@
-"""Unsupervised learning on customer features.
+"""Unsupervised learning on customer features, with ``pyspark.ml``.
 
 * ``zscore_features``: log1p, then z-scores with the *population* standard
   deviation (zero variance -> 0). Means and deviations come from one
   aggregate used as a scalar subquery.
-* ``kmeans_best_of`` / the k sweep: ``n_init`` seeded k-means++ runs per
-  k, the lowest within-cluster sum of squares wins; all runs advance
-  together, one pass over the points per iteration (see ``kmeans``).
-* ``silhouette_sampled``: mean *Euclidean* silhouette on a deterministic
-  sample of at most ``sample_size`` rows (smallest ``xxhash64(id, seed)``),
-  the reference's bound for this O(m^2) measure. The sample (at most
-  ``sample_size`` rows) is materialised, read once on the driver and
-  shipped to the tasks; a ``mapInPandas`` pass over the sample rows then
-  computes each row's distances to the sample with numpy, once for all
-  label columns, and Spark averages the per-row values. No cross join and
-  no pair rows are produced. Labels come from the full-data models.
-* ``pca_3d``: covariance matrix from one aggregate, d x d eigen-decomposition
-  on the driver (the same computation as ``pyspark.ml.feature.PCA``); signs
-  are fixed so the largest-magnitude loading of each component is
-  positive, and coordinates are plain column arithmetic.
+* k-means: ``pyspark.ml.clustering.KMeans`` with k-means|| seeding; the best
+  of ``n_init`` seeded fits by within-cluster sum of squares. Independent
+  fits are submitted together.
+* ``silhouette``: mean silhouette of *all* rows with squared Euclidean
+  distances (``ClusteringEvaluator``), which follows from each cluster's
+  count, sum and squared norms in time linear in the rows. Euclidean
+  distances would need all pairs.
+* ``add_pca``: ``pyspark.ml.feature.PCA``; signs are fixed so that the
+  largest loading of each component is positive.
 * Cluster names are canonical: ``Cluster 1`` has the highest mean Monetary.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retail_insight.functions.numeric import MICRO, half_even
-from retail_insight.operators.kmeans import KMeansRun, assign, best_runs, fit_runs
+from retail_insight.functions.numeric import from_micros, half_even, micros
 from retail_insight.session import materialize
 
 RFMT_FEATURES = ("Recency", "Frequency", "Monetary", "Tenure")
 PCA_COLUMNS = ("PCA_1", "PCA_2", "PCA_3")
 # Fixed values of the clustering set-up.
 DEFAULT_SEED = 42
-SWEEP_N_INIT = 10
-FINAL_N_INIT = 15
-SILHOUETTE_SAMPLE = 1000
 MAX_ITER = 300
 TOL = 1e-4
+# Seeded fits for each k. k-means|| draws several candidates for each center,
+# so few restarts do what many single draws would.
+SWEEP_N_INIT = 2
+FINAL_N_INIT = 3
+_FITS_AT_ONCE = 4
+_X = "__x"
 
 
 # ---------------------------------------------------------------- features
@@ -63,19 +64,37 @@ def zscore_features(df: DataFrame, cols: Sequence[str] = RFMT_FEATURES, log1p: b
 
 # ---------------------------------------------------------------- k-means
 
-def kmeans_best_of(points: DataFrame, k: int, n_init: int = FINAL_N_INIT, seed: int = DEFAULT_SEED,
-                   point_col: str = "__pt", id_col: str = "CustomerID") -> KMeansRun:
-    """Best (lowest within-cluster sum of squares) of ``n_init`` seeded runs."""
-    runs = fit_runs(points, id_col, point_col, [k], n_init, seed, MAX_ITER, TOL)
-    return best_runs(runs)[k]
+def with_vector(df: DataFrame, cols: Sequence[str], out: str = _X) -> DataFrame:
+    """Add the numeric ``cols`` as one vector column."""
+    return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
+
+
+def best_kmeans(points: DataFrame, ks: Sequence[int], n_init: int, seed: int = DEFAULT_SEED,
+                features_col: str = _X) -> dict[int, KMeansModel]:
+    """For each k the fit with the least within-cluster sum of squares of
+    ``n_init`` seeded ones (the first on ties). ``points`` should be
+    materialised: every fit reads it."""
+    def fit(job: tuple[int, int]) -> tuple[int, float, KMeansModel]:
+        k, i = job
+        model = KMeans(k=k, seed=seed + i, maxIter=MAX_ITER, tol=TOL, featuresCol=features_col).fit(points)
+        return k, model.summary.trainingCost, model
+
+    with ThreadPoolExecutor(_FITS_AT_ONCE) as pool:
+        fits = list(pool.map(fit, [(k, i) for k in ks for i in range(n_init)]))
+    return {k: min((f for f in fits if f[0] == k), key=lambda f: f[1])[2] for k in ks}
+
+
+def label(points: DataFrame, model: KMeansModel, out: str) -> DataFrame:
+    """Add the number of each row's nearest center."""
+    return model.copy({model.predictionCol: out}).transform(points)
 
 
 def canonical_cluster_names(pred: DataFrame, prediction_col: str = "prediction",
                             out_col: str = "ML_Cluster", order_col: str = "Monetary") -> DataFrame:
     """Rename model cluster ids to ``Cluster 1..k`` by descending mean of
-    ``order_col`` (ties: larger cluster, then model id)."""
+    ``order_col`` (added up exactly; ties: larger cluster, then model id)."""
     stats = pred.groupBy(prediction_col).agg(
-        F.avg(order_col).alias("__m"), F.count(F.lit(1)).alias("__n"))
+        (F.sum(micros(order_col)).cast("double") / F.count(F.lit(1))).alias("__m"), F.count(F.lit(1)).alias("__n"))
     # One row per cluster (k rows): a window over them is tiny.
     order = Window.orderBy(F.col("__m").desc(), F.col("__n").desc(), F.col(prediction_col).asc())
     names = stats.select(prediction_col, F.concat(F.lit("Cluster "), F.row_number().over(order)
@@ -86,14 +105,13 @@ def canonical_cluster_names(pred: DataFrame, prediction_col: str = "prediction",
 def cluster_profile(clustered: DataFrame, cluster_col: str = "ML_Cluster") -> DataFrame:
     """Per cluster: count, revenue, mean R/F/M/T/AOV, customer and revenue
     shares (1 dp)."""
-    micros = lambda c: F.rint(F.col(c) * F.lit(float(MICRO))).cast("bigint")
     per = clustered.groupBy(cluster_col).agg(
         F.count(F.lit(1)).alias("CustomerCount"),
         F.sum(micros("Monetary")).alias("__rev"),
         F.sum("Recency").alias("__rec"), F.sum("Frequency").alias("__freq"),
         F.sum("Tenure").alias("__ten"), F.sum(micros("AvgOrderValue")).alias("__aov"))
     n = F.col("CustomerCount")
-    rev = F.col("__rev").cast("double") / F.lit(float(MICRO))
+    rev = from_micros("__rev")
     everything = Window.partitionBy()   # over the k cluster rows only
     return per.select(
         cluster_col, n.alias("CustomerCount"), rev.alias("TotalRevenue"),
@@ -101,7 +119,7 @@ def cluster_profile(clustered: DataFrame, cluster_col: str = "ML_Cluster") -> Da
         half_even(F.col("__freq") / n, 1).alias("MeanFrequency"),
         half_even(rev / n, 2).alias("MeanMonetary"),
         half_even(F.col("__ten") / n, 1).alias("MeanTenure"),
-        half_even(F.col("__aov").cast("double") / F.lit(float(MICRO)) / n, 2).alias("MeanAOV"),
+        half_even(from_micros("__aov") / n, 2).alias("MeanAOV"),
         half_even(n / F.greatest(F.sum(n).over(everything), F.lit(1)) * F.lit(100.0), 1).alias("CustomerPct"),
         half_even(rev / F.greatest(F.sum(rev).over(everything), F.lit(1.0)) * F.lit(100.0), 1)
         .alias("RevenuePct"),
@@ -110,87 +128,34 @@ def cluster_profile(clustered: DataFrame, cluster_col: str = "ML_Cluster") -> Da
 
 # ---------------------------------------------------------------- silhouette
 
-def silhouette_sampled(df: DataFrame, point_col: str, label_cols: Mapping[str, str],
-                       id_col: str, sample_size: int = SILHOUETTE_SAMPLE,
-                       seed: int = DEFAULT_SEED) -> DataFrame:
-    """Mean Euclidean silhouette per label column, on the sample.
-
-    ``point_col`` is an array of numbers; ``label_cols`` maps an output key
-    (e.g. ``"3"``) to an integer label column. Returns rows
-    ``(key, silhouette)``; null when the sample has fewer than 2 labels.
-    Points in singleton clusters score 0.
-    """
-    keys = list(label_cols)
-    lab = {k: f"__l{i}" for i, k in enumerate(keys)}
-    sample = (df.select(F.col(id_col).alias("__id"), F.col(point_col).cast("array<double>").alias("__x"),
-                        *[F.col(label_cols[k]).cast("int").alias(lab[k]) for k in keys])
-              .orderBy(F.xxhash64(F.col("__id"), F.lit(seed)), F.col("__id"))
-              .limit(sample_size))
-    sample = materialize(sample)
-    # The sample is bounded by ``sample_size``: every task gets all of it.
-    rows = sample.select("__x", *[lab[k] for k in keys]).collect()
-    ref_x = [list(r["__x"]) for r in rows]
-    ref_l = {k: [r[lab[k]] for r in rows] for k in keys}
-
-    def per_point(batches):
-        import numpy as np
-        import pandas as pd
-        ref = np.asarray(ref_x, dtype=np.float64)
-        ref_lab = {k: np.asarray(v) for k, v in ref_l.items()}
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["__x"].to_numpy()).astype(np.float64)
-            d = np.sqrt(((x[:, None, :] - ref[None, :, :]) ** 2).sum(axis=2))
-            out_k, out_s, out_nl = [], [], []
-            for k in keys:
-                labels = ref_lab[k]
-                uniq = np.unique(labels)
-                own = pdf[lab[k]].to_numpy()
-                sums = np.stack([d[:, labels == c].sum(axis=1) for c in uniq], axis=1)
-                counts = np.array([(labels == c).sum() for c in uniq], dtype=np.float64)
-                pos = np.searchsorted(uniq, own)
-                n_own = counts[pos]
-                a = sums[np.arange(len(x)), pos] / np.maximum(n_own - 1, 1)
-                means = sums / counts[None, :]
-                means[np.arange(len(x)), pos] = np.inf
-                b = means.min(axis=1) if len(uniq) > 1 else np.full(len(x), np.nan)
-                denom = np.maximum(a, b)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    sil = np.where((n_own <= 1) | (denom == 0), 0.0, (b - a) / denom)
-                out_k += [k] * len(x)
-                out_s += sil.tolist()
-                out_nl += [len(uniq)] * len(x)
-            yield pd.DataFrame({"key": out_k, "s": out_s, "nl": out_nl})
-
-    scored = sample.mapInPandas(per_point, "key string, s double, nl int")
-    return (scored.groupBy("key")
-            .agg(F.when(F.max("nl") >= 2, F.avg("s")).alias("silhouette")))
+def silhouette(df: DataFrame, label_col: str, features_col: str = _X) -> float | None:
+    """Mean silhouette of all rows, squared Euclidean; a row that is its
+    cluster's only one scores 0. None with fewer than two labels."""
+    if df.select(label_col).distinct().limit(2).count() < 2:
+        return None
+    return ClusteringEvaluator(predictionCol=label_col, featuresCol=features_col,
+                               distanceMeasure="squaredEuclidean").evaluate(df)
+
+
+def embedding_silhouette(df: DataFrame, array_col: str, label_col: str) -> DataFrame:
+    """One row (key, silhouette) for an array column and its labels."""
+    points = df.select(array_to_vector(F.col(array_col).cast("array<double>")).alias(_X), F.col(label_col).cast("double").alias("__l"))
+    return df.sparkSession.createDataFrame([(label_col, silhouette(points, "__l"))], "key string, silhouette double")
 
 
 # ---------------------------------------------------------------- sweep
 
 def evaluate_kmeans_candidates(points: DataFrame, feature_cols: Sequence[str], id_col: str = "CustomerID",
                                min_k: int = 2, max_k: int = 7, n_init: int = SWEEP_N_INIT,
-                               seed: int = DEFAULT_SEED, sample_size: int = SILHOUETTE_SAMPLE) -> DataFrame:
-    """Rows (k, Inertia 2 dp, Silhouette_Score 4 dp) for k in [min_k, max_k]:
-    all k x n_init runs fitted together, the best run per k labels every
-    point, and the silhouette of all k is computed in one sampled pass."""
-    spark = points.sparkSession
-    pt = F.array(*[F.col(c).cast("double") for c in feature_cols])
-    base = materialize(points.select(id_col, pt.alias("__pt")))     # narrow: id + coordinates
+                               seed: int = DEFAULT_SEED) -> DataFrame:
+    """Rows (k, Inertia 2 dp, Silhouette_Score 4 dp) for k in [min_k, max_k],
+    fitted and scored on all rows."""
+    base = materialize(with_vector(points.select(id_col, *feature_cols), feature_cols).select(_X))
     ks = list(range(min_k, max_k + 1))
-    best = best_runs(fit_runs(base, id_col, "__pt", ks, n_init, seed, MAX_ITER, TOL))
-    labelled = base
-    for k in ks:
-        labelled = assign(labelled, F.col("__pt"), best[k], f"__k{k}")
-    sil = silhouette_sampled(labelled, "__pt", {str(k): f"__k{k}" for k in ks}, id_col, sample_size, seed)
-    # One row per candidate k, from the fitted runs' inertia.
-    costs = spark.createDataFrame([(str(k), int(k), round(best[k].inertia, 2)) for k in ks],
-                                  "key string, k int, Inertia double")
-    result = (costs.join(sil, "key", "left")
-              .select("k", "Inertia", half_even(F.col("silhouette"), 4).alias("Silhouette_Score")))
-    return materialize(result)
+    best = best_kmeans(base, ks, n_init, seed)
+    rows = [(k, round(best[k].summary.trainingCost, 2), silhouette(label(base, best[k], "__k"), "__k")) for k in ks]
+    found = points.sparkSession.createDataFrame(rows, "k int, Inertia double, s double")
+    return found.select("k", "Inertia", half_even("s", 4).alias("Silhouette_Score"))
 
 
 def optimal_k(evaluation: DataFrame) -> int:
@@ -202,69 +167,56 @@ def optimal_k(evaluation: DataFrame) -> int:
 
 def perform_kmeans_clustering(customers: DataFrame, n_clusters: int = 4, seed: int = DEFAULT_SEED,
                               n_init: int = FINAL_N_INIT, feature_cols: Sequence[str] = RFMT_FEATURES
-                              ) -> tuple[DataFrame, KMeansRun, DataFrame]:
+                              ) -> tuple[DataFrame, KMeansModel, DataFrame]:
     """Cluster on z-scored log1p features; returns (customers + ML_Cluster,
-    best run, cluster profile)."""
-    z = zscore_features(customers, feature_cols)
-    named, run = cluster_zscored(z, n_clusters, seed, n_init, feature_cols)
-    return named.drop(*[f"z_{c}" for c in feature_cols]), run, cluster_profile(named)
+    best model, cluster profile)."""
+    z = materialize(zscore_features(customers, feature_cols))
+    named, model = cluster_zscored(z, n_clusters, seed, n_init, feature_cols)
+    named = named.drop(*[f"z_{c}" for c in feature_cols])
+    return named, model, cluster_profile(named)
 
 
 def cluster_zscored(z: DataFrame, n_clusters: int, seed: int = DEFAULT_SEED, n_init: int = FINAL_N_INIT,
-                    feature_cols: Sequence[str] = RFMT_FEATURES) -> tuple[DataFrame, KMeansRun]:
-    """Fit on existing ``z_`` columns and add canonical ``ML_Cluster``."""
-    pt = F.array(*[F.col(f"z_{c}") for c in feature_cols])
-    run = kmeans_best_of(z.withColumn("__pt", pt), n_clusters, n_init, seed, "__pt", "CustomerID")
-    pred = assign(z, pt, run, "__pred")
-    return canonical_cluster_names(pred, "__pred").drop("__pred"), run
+                    feature_cols: Sequence[str] = RFMT_FEATURES) -> tuple[DataFrame, KMeansModel]:
+    """Fit on existing, materialised ``z_`` columns and add canonical
+    ``ML_Cluster``."""
+    points = with_vector(z, [f"z_{c}" for c in feature_cols])
+    model = best_kmeans(points.select(_X), [n_clusters], n_init, seed)[n_clusters]
+    return canonical_cluster_names(label(points, model, "__pred"), "__pred").drop("__pred", _X), model
+
+
+def cluster_check(z: DataFrame, model: KMeansModel, feature_cols: Sequence[str] = RFMT_FEATURES) -> DataFrame:
+    """One row (Customers, Misplaced, InertiaOff): how many rows are not at
+    their nearest center, and 1 if the distances do not add up to the model's
+    sum of squares (to 1 in a million)."""
+    labelled = label(with_vector(z, [f"z_{c}" for c in feature_cols]), model, "__pred")
+    centers = F.lit([[float(v) for v in c] for c in model.clusterCenters()])
+    x = vector_to_array(F.col(_X))
+    away = F.transform(centers, lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    seen = labelled.select(F.element_at(away, F.col("__pred") + 1).alias("d"), F.array_min(away).alias("least"))
+    cost = F.lit(float(model.summary.trainingCost))
+    return seen.agg(F.count(F.lit(1)).alias("Customers"), F.count_if(F.col("d") > F.col("least") + 1e-9).alias("Misplaced"),
+                    (F.abs(F.sum("d") - cost) > cost * 1e-6).cast("int").alias("InertiaOff"))
 
 
 # ---------------------------------------------------------------- PCA
 
-def pca_fit(z: DataFrame, feature_cols: Sequence[str] = RFMT_FEATURES, n_components: int = 3
-            ) -> tuple[dict[str, Column], list[float]]:
-    """Fit PCA on existing ``z_`` columns; return the coordinate columns
-    (sign-fixed, 4 dp, as expressions) and explained-variance % (2 dp).
-
-    The covariance matrix comes from one aggregate (count, d sums and
-    d(d+1)/2 cross sums); its d x d eigen-decomposition is done on the
-    driver. Components are sign-fixed so the largest-magnitude loading is
-    positive; coordinates are plain column arithmetic on the (centred)
-    z-scores.
-    """
-    import numpy as np
-    zcols = [f"z_{c}" for c in feature_cols]
-    d = len(zcols)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    row = z.agg(F.count(F.lit(1)).alias("n"),
-                *[F.sum(F.col(c)).alias(f"s{i}") for i, c in enumerate(zcols)],
-                *[F.sum(F.col(zcols[i]) * F.col(zcols[j])).alias(f"p{i}_{j}") for i, j in pairs]).first()
-    n = float(row["n"])
-    mean = np.array([row[f"s{i}"] / n for i in range(d)])
-    cov = np.zeros((d, d))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = (row[f"p{i}_{j}"] - n * mean[i] * mean[j]) / max(n - 1.0, 1.0)
-    w, v = np.linalg.eigh(cov)
-    order = np.argsort(w)[::-1]
-    w, v = np.clip(w[order], 0.0, None), v[:, order]
-    cols = {}
-    for j in range(n_components):
-        col = v[:, j]
-        sign = 1.0 if col[np.abs(col).argmax()] >= 0 else -1.0
-        expr = None
-        for i, zc in enumerate(zcols):
-            term = F.col(zc) * F.lit(float(sign * col[i]))
-            expr = term if expr is None else expr + term
-        cols[PCA_COLUMNS[j] if j < 3 else f"PCA_{j + 1}"] = half_even(expr, 4)
-    total = float(w.sum()) or 1.0
-    evr = [round(float(x) / total * 100.0, 2) for x in w[:n_components]]
-    return cols, evr
+def add_pca(z: DataFrame, feature_cols: Sequence[str] = RFMT_FEATURES, n_components: int = 3
+            ) -> tuple[DataFrame, list[float]]:
+    """Add PCA_1.. (4 dp) from existing ``z_`` columns, which are centred;
+    also return the explained-variance ratios in percent (2 dp)."""
+    points = with_vector(z, [f"z_{c}" for c in feature_cols])
+    model = PCA(k=n_components, inputCol=_X, outputCol="__pc").fit(points)
+    loadings = model.pc.toArray()
+    signs = [1.0 if loadings[abs(loadings[:, j]).argmax(), j] >= 0 else -1.0 for j in range(n_components)]
+    at = vector_to_array(F.col("__pc"))
+    out = model.transform(points).withColumns(
+        {f"PCA_{j + 1}": half_even(at[j] * F.lit(signs[j]), 4) for j in range(n_components)})
+    return out.drop(_X, "__pc"), [round(float(v) * 100.0, 2) for v in model.explainedVariance.toArray()]
 
 
 def pca_3d(customers: DataFrame, feature_cols: Sequence[str] = RFMT_FEATURES, n_components: int = 3
            ) -> tuple[DataFrame, list[float]]:
-    """Add PCA_1..3 (4 dp) from z-scored log1p features; also return the
-    explained-variance ratios in percent (2 dp)."""
-    z = zscore_features(customers, feature_cols)
-    cols, evr = pca_fit(z, feature_cols, n_components)
-    return z.withColumns(cols).drop(*[f"z_{c}" for c in feature_cols]), evr
+    """add_pca on z-scored log1p features, which are dropped again."""
+    out, evr = add_pca(materialize(zscore_features(customers, feature_cols)), feature_cols, n_components)
+    return out.drop(*[f"z_{c}" for c in feature_cols]), evr

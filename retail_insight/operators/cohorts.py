@@ -25,7 +25,7 @@ from retail_insight.functions.dates import month_index
 from retail_insight.functions.numeric import half_even
 from retail_insight.session import materialize
 
-MAX_COLUMNS = 13  # Fixed value: month 0 .. month 12 when all are observed
+DISPLAY_COLUMNS = 13  # Fixed value: month 0 .. month 12 when all are observed
 
 
 def customer_months(tx: DataFrame) -> DataFrame:
@@ -40,20 +40,15 @@ def customer_months(tx: DataFrame) -> DataFrame:
             .where(F.col("CohortIndex") >= 0))
 
 
-def cohort_retention(tx: DataFrame, max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """Long-form retention triangle, cut to the first ``max_columns``
-    observed month indices; cohort sizes come from month 0 (uncut)."""
+def cohort_retention(tx: DataFrame) -> DataFrame:
+    """Long-form retention triangle, all observed cells."""
     cm = customer_months(tx)
     cells = cm.groupBy("CohortStart", "CohortIndex").agg(F.count(F.lit(1)).alias("ActiveCustomers"))
-    # cells has at most (#months)^2 rows, so both windows below run over a
-    # table bounded by the calendar span, not by the data volume; computing
-    # the observed-column position here keeps the input to a single pass.
+    # cells has at most (#months)^2 rows, so the window runs over a table
+    # bounded by the calendar span, not by the data volume.
     size = F.max(F.when(F.col("CohortIndex") == 0, F.col("ActiveCustomers"))) \
         .over(Window.partitionBy("CohortStart"))
-    position = F.dense_rank().over(Window.orderBy("CohortIndex"))
-    cells = (cells.withColumn("CohortSize", size)
-             .withColumn("__pos", position)
-             .where(F.col("__pos") <= max_columns))
+    cells = cells.withColumn("CohortSize", size)
     pct = F.col("ActiveCustomers") / F.col("CohortSize") * F.lit(100.0)
     pct = F.when(F.col("CohortIndex") == 0, F.lit(100.0)).otherwise(pct)
     pct = half_even(F.least(F.greatest(pct, F.lit(0.0)), F.lit(100.0)), 1)
@@ -66,19 +61,25 @@ def cohort_retention(tx: DataFrame, max_columns: int = MAX_COLUMNS) -> DataFrame
     )
 
 
+def first_month_columns(retention: DataFrame, columns: int = DISPLAY_COLUMNS) -> DataFrame:
+    """The cells of the first ``columns`` observed month indices: what the
+    matrix, the heatmap and the figures under it show."""
+    position = F.dense_rank().over(Window.orderBy("CohortIndex"))   # over the cell table
+    return retention.withColumn("__pos", position).where(F.col("__pos") <= columns).drop("__pos")
+
+
 def cohort_sizes(tx: DataFrame) -> DataFrame:
-    """Customers acquired per cohort month (month-0 actives)."""
-    cm = customer_months(tx)
-    return (cm.where(F.col("CohortIndex") == 0)
-            .groupBy(F.date_format("CohortStart", "yyyy-MM").alias("CohortMonth"))
-            .agg(F.count(F.lit(1)).alias("CohortSize")))
+    """Customers acquired per cohort month."""
+    first = (tx.where(F.col("CustomerID").isNotNull() & F.col("PurchaseDate").isNotNull())
+             .groupBy("CustomerID").agg(F.min("PurchaseDate").alias("__first")))
+    return first.groupBy(F.date_format("__first", "yyyy-MM").alias("CohortMonth")).agg(F.count(F.lit(1)).alias("CohortSize"))
 
 
 def cohort_matrix(retention: DataFrame, value_col: str = "RetentionPct") -> DataFrame:
     """Wide view: one row per cohort, one column per kept month index
     (``Month_<i>``), absent cells null. The pivot values are the kept
-    indices (at most ``MAX_COLUMNS`` small integers, read from the data);
-    the (months x 13 bounded) retention table is materialised first so the
+    indices (small integers, read from the data);
+    the (months x months) retention table is materialised first so the
     input is not read twice."""
     retention = materialize(retention)
     idx = sorted(r[0] for r in retention.select("CohortIndex").distinct().collect())

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retail_insight.functions.dates import floor_days
-from retail_insight.functions.numeric import MICRO, half_even
+from retail_insight.functions.numeric import from_micros, half_even, micros
 from retail_insight.session import materialize
 
 FEATURE_COLUMNS = ("CustomerID", "FirstPurchase", "LastPurchase", "Frequency", "Monetary",
@@ -57,28 +57,17 @@ def _snapshot_column(tx: DataFrame, customers: DataFrame, snapshot_date) -> Colu
     return F.lit(str(snapshot_date)).cast("timestamp_ntz")
 
 
-def top_by_group(df: DataFrame, key: str, item: str, weight_col: Column,
-                 out_col: str, default: str) -> DataFrame:
-    """For each ``key``, the ``item`` with the largest summed weight; ties
-    go to the smallest item. Two combinable aggregates, no window/sort."""
-    per_item = df.groupBy(key, item).agg(weight_col.alias("__w"))
-    best = per_item.groupBy(key).agg(
-        F.min(F.struct((-F.col("__w")).alias("neg_w"), F.col(item).alias("item"))).alias("__best"))
-    return best.select(key, F.coalesce(F.col("__best.item"), F.lit(default)).alias(out_col))
-
-
 def _customer_aggregate(tx: DataFrame, item: str, weight: str) -> DataFrame:
     """Per-customer totals plus the top ``item`` by ``weight`` ("spend" or
     "quantity"), from one grouping-sets aggregate and one customer
     aggregate."""
-    micros = F.rint(F.col("TotalSpend") * F.lit(float(MICRO))).cast("bigint")
     sets = tx.groupingSets([["CustomerID", "InvoiceNo"], ["CustomerID", item]],
                            "CustomerID", "InvoiceNo", item)
     g = sets.agg(
         F.grouping("InvoiceNo").alias("__is_item"),
         F.min("PurchaseDate").alias("__first"),
         F.max("PurchaseDate").alias("__last"),
-        F.sum(micros).alias("__micros"),
+        F.sum(micros("TotalSpend")).alias("__micros"),
         F.sum("Quantity").alias("__qty"),
         F.count("InvoiceNo").alias("__lines"),
     )
@@ -89,10 +78,10 @@ def _customer_aggregate(tx: DataFrame, item: str, weight: str) -> DataFrame:
         F.min("__first").alias("FirstPurchase"),
         F.max("__last").alias("LastPurchase"),
         F.count_if(inv_row & F.col("InvoiceNo").isNotNull()).alias("Frequency"),
-        (F.sum(F.when(inv_row, F.col("__micros"))) / F.lit(float(MICRO))).alias("__spend"),
+        from_micros(F.sum(F.when(inv_row, F.col("__micros")))).alias("__spend"),
         F.sum(F.when(inv_row, F.col("__qty"))).alias("TotalItems"),
         F.sum(F.when(inv_row, F.col("__lines"))).alias("TotalTransactions"),
-        F.min(F.when(item_row, F.struct((-w).alias("neg_w"), F.col(item).alias("item"))))
+        F.min(F.when(item_row & F.col(item).isNotNull(), F.struct((-w).alias("neg_w"), F.col(item).alias("item"))))
         .getField("item").alias("__top"),
     )
 
@@ -119,7 +108,7 @@ def compute_rfmt(tx: DataFrame, snapshot_date=None, with_top_category: bool = Tr
     whole days from first purchase (>= 1), Frequency = distinct invoices,
     Monetary = spend sum at 2 dp, AvgOrderValue = Monetary / Frequency at
     2 dp, TopCategory = category with the largest spend (ties -> smallest
-    name). ``snapshot_date``: None (latest purchase + 1 day), a date /
+    name; lines without a category count for none). ``snapshot_date``: None (latest purchase + 1 day), a date /
     datetime / ISO string, or a timestamp Column.
     """
     agg = _customer_aggregate(tx, "ProductCategory", "spend")

@@ -4,7 +4,7 @@
 move every row into a single task. This operator gives the same numbers
 with the work spread over all partitions:
 
-1. ``repartitionByRange(p, v, id)`` + ``sortWithinPartitions(v, id)``: each
+1. ``repartitionByRange(v, id)`` + ``sortWithinPartitions(v, id)``: each
    partition holds one contiguous slice of the order. The unique ``id``
    tie-breaker is part of the range key, so a value shared by a third of
    the rows is still split over many partitions.
@@ -18,9 +18,10 @@ with the work spread over all partitions:
    are turned into starting offsets and broadcast back:
    ``rank = offset[partition] + position + 1``.
 
-With ``partition_by`` the rank restarts per group (group columns lead the
-range key, and each group's first global rank is subtracted), so a group
-holding a third of all rows is still ranked by many tasks.
+With ``partition_by`` the rank restarts per group: group columns lead the
+range key, counts are kept per (partition, group) and added up inside each
+group, so a group holding a third of all rows is still ranked by many tasks
+and never meets in one.
 """
 
 from __future__ import annotations
@@ -64,40 +65,32 @@ def distributed_rank(df: DataFrame, order_by: Sequence, tie_breaker: str | Seque
     keys = ([F.col(c).asc() for c in partition_by]
             + [_sort_expr(s) for s in order_by]
             + [F.col(c).asc() for c in ties])
-    # As many ranges as the input has partitions: the input is usually an
-    # AQE-coalesced (size-proportional) shuffle output or a checkpoint of one.
-    p = num_partitions or max(1, df.rdd.getNumPartitions())
-
-    ordered = (df.repartitionByRange(p, *keys)
-               .sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    ordered = (ranged.sortWithinPartitions(*keys)
                .withColumn(_POS, F.monotonically_increasing_id())
                .checkpoint(eager=True))
 
+    groups = list(partition_by)
     pid = F.shiftright(F.col(_POS), 33)
     local = F.col(_POS).bitwiseAND(F.lit(_LOW_BITS))
-    counts = ordered.groupBy(pid.alias(_PID)).agg(F.count(F.lit(1)).alias("__ri_n"))
-    # One row per range partition: the running sum is over at most p rows.
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        _PID, F.coalesce(F.sum("__ri_n").over(before), F.lit(0)).alias(_OFF),
-        F.sum("__ri_n").over(Window.partitionBy()).alias("__ri_total"))
-
-    ranked = (ordered.join(F.broadcast(offsets), pid == F.col(_PID), "inner")
-              .withColumn(rank_col, F.col(_OFF) + local + F.lit(1)))
-    if partition_by:
-        # Group start = smallest global rank in the group; group sizes are
-        # count(*) per group (one partial + final aggregate, no sort).
-        starts = ranked.groupBy(*partition_by).agg(
-            F.min(rank_col).alias("__ri_start"), F.count(F.lit(1)).alias("__ri_gn"))
-        ranked = (ranked.join(starts, list(partition_by), "inner")
-                  .withColumn(rank_col, F.col(rank_col) - F.col("__ri_start") + F.lit(1)))
-        total_expr = F.col("__ri_gn")
-    else:
-        total_expr = F.col("__ri_total")
+    parts = ordered.groupBy(pid.alias(_PID), *[F.col(c).alias(f"__ri_{c}") for c in groups]).agg(
+        F.count(F.lit(1)).alias("__ri_n"), F.min(local).alias("__ri_lo"))
+    # One row per range partition and group in it: a running sum of counts.
+    own = [f"__ri_{c}" for c in groups]
+    before = Window.partitionBy(*own).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        _PID, *own, "__ri_lo", F.coalesce(F.sum("__ri_n").over(before), F.lit(0)).alias(_OFF),
+        F.sum("__ri_n").over(Window.partitionBy(*own)).alias("__ri_total"))
+    # The join is on the range partition, with the group inside it: a group
+    # that holds a third of all rows stays dealt out over its partitions.
+    on = pid == F.col(_PID)
+    for c in groups:
+        on = on & F.col(c).eqNullSafe(F.col(f"__ri_{c}"))
+    ranked = (ordered.join(offsets if groups else F.broadcast(offsets), on, "inner")
+              .withColumn(rank_col, F.col(_OFF) + local - F.col("__ri_lo") + F.lit(1)))
     if total_col:
-        ranked = ranked.withColumn(total_col, total_expr)
-    drop = [_POS, _PID, _OFF, "__ri_total", "__ri_start", "__ri_gn"]
-    return ranked.drop(*[c for c in drop if c in ranked.columns])
+        ranked = ranked.withColumn(total_col, F.col("__ri_total"))
+    return ranked.drop(_POS, _PID, _OFF, "__ri_total", "__ri_n", "__ri_lo", *own)
 
 
 def exact_quantile(df: DataFrame, value_col: str, q: float, tie_breaker: str) -> Column:

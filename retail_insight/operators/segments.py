@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retail_insight.functions.numeric import MICRO, half_even
+from retail_insight.functions.numeric import from_micros, half_even, micros
 
 # Segment names in display order, icons and colours.
 SEGMENTS = ("Champions", "Loyalists", "Potential Growth", "At-Risk VIPs",
@@ -93,11 +93,6 @@ def assign_segments(scored: DataFrame, taxonomy: str = "seven") -> DataFrame:
     })
 
 
-def segment_order(taxonomy: str = "seven") -> Column:
-    names = SEGMENTS if taxonomy == "seven" else LEGACY_SEGMENTS
-    return _lookup({n: i for i, n in enumerate(names)}, F.col("Segment"))
-
-
 # ---------------------------------------------------------------- playbooks
 # Structure of a playbook row; the copy text below is this library's own
 # default and can be replaced by passing another table with this schema.
@@ -121,102 +116,33 @@ PLAYBOOK_SCHEMA = T.StructType([
     ])),
 ])
 
-_PLAYBOOK_TEXT = {
-    "Champions": (
-        "Most Valuable Buyers",
-        "Recent, frequent and high-spending customers with long histories.",
-        "Keep them delighted, reward loyalty and turn them into advocates.",
-        "Personal email / members area",
-        "Early access, loyalty points multiplier",
-        ("Offer early access to new collections.", "Give a named service contact.",
-         "Invite to product previews and feedback panels.", "Send anniversary thank-you gifts."),
-        ("A first look, just for you", "You are among our best customers",
-         "Hello {Customer_Name}, our newest range is open to you before anyone else.",
-         "See the preview"),
-    ),
-    "Loyalists": (
-        "Reliable Repeat Buyers",
-        "Regular buyers with solid order values and healthy tenure.",
-        "Grow basket size with related categories and move them up a tier.",
-        "Automated email and SMS",
-        "Bundles, volume savings, referral rewards",
-        ("Recommend bundles built on favourite categories.", "Reward reaching a spend threshold.",
-         "Reward referrals of friends and colleagues.", "Share periodic care and usage tips."),
-        ("Bundles picked for you", "Made to match what you already love",
-         "Hello {Customer_Name}, save on bundles that complete your recent purchases.",
-         "Open my bundle"),
-    ),
-    "Potential Growth": (
-        "Rising Customers",
-        "Recent buyers with moderate frequency or large baskets.",
-        "Build a repeat-purchase habit and show the wider range.",
-        "Educational email / on-site personalisation",
-        "Next-order voucher, discovery offers",
-        ("Start a short how-to email series.", "Send a time-limited voucher for the next order.",
-         "Show reviews of neighbouring categories.", "Offer a free trial of a premium service."),
-        ("A gift toward your next order", "Get more from your purchase",
-         "Hello {Customer_Name}, here is a guide to your new items and a voucher for next time.",
-         "Use my voucher"),
-    ),
-    "At-Risk VIPs": (
-        "Valuable But Slipping",
-        "High lifetime spenders whose purchases have slowed or stopped.",
-        "Win them back quickly, before the relationship is lost.",
-        "Win-back email / SMS / personal outreach",
-        "Strong reactivation discount",
-        ("Reach out personally and ask for feedback.", "Send a reactivation offer with a deadline.",
-         "Show what is new since their last order.", "Add them to a retargeting audience."),
-        ("We would love to see you again", "A special offer to welcome you back",
-         "Hello {Customer_Name}, a lot has changed since your last order; enjoy a discount this week.",
-         "Claim my offer"),
-    ),
-    "Can't Lose Them": (
-        "Big Spenders Gone Quiet",
-        "Formerly frequent, high-value customers who have been inactive a long time.",
-        "High-touch recovery and learning why they left.",
-        "Personal email / phone / high-value incentive",
-        "Largest discount tier, premium gift",
-        ("Send a feedback survey with a gift card.", "Assign a manager to rebuild the relationship.",
-         "Offer replacements or extended warranties.", "Offer the best price on a flagship upgrade."),
-        ("Can we make this right?", "We miss you and want to do better",
-         "Hello {Customer_Name}, you mean a lot to us; take our best discount or tell us what went wrong.",
-         "Come back"),
-    ),
-    "Hibernating": (
-        "Dormant Low-Value Accounts",
-        "Infrequent, low-spend customers with long inactivity.",
-        "Cheap reactivation attempts and list hygiene.",
-        "Automated re-permission email",
-        "Clearance discounts, re-opt-in incentive",
-        ("Include them in clearance campaigns.", "Ask them to confirm their subscription.",
-         "Exclude them from costly paid campaigns.", "Remove unengaged addresses."),
-        ("Still interested?", "Stay in touch for clearance deals",
-         "Hello {Customer_Name}, confirm you still want our offers, or we will pause our emails.",
-         "Keep me subscribed"),
-    ),
-    "New Customers": (
-        "Recently Acquired",
-        "First purchase was recent and they have ordered once or twice.",
-        "Make the first experience great and secure the second order.",
-        "Welcome series / SMS tips",
-        "Welcome voucher, setup guides",
-        ("Send setup guides with the order confirmation.", "Run a short onboarding series.",
-         "Give a second-order voucher with an expiry date.", "Ask for a quick rating after delivery."),
-        ("Welcome aboard", "Getting started",
-         "Hello {Customer_Name}, welcome! Here is how to get started, plus a voucher for your next order.",
-         "Read the guide"),
-    ),
+# Where each segment stands: what its customers spend, and whether they still buy.
+_STANDING = {
+    "Champions": ("high", "active"), "Loyalists": ("steady", "active"), "Potential Growth": ("growing", "active"),
+    "At-Risk VIPs": ("high", "slowing"), "Can't Lose Them": ("high", "gone"), "Hibernating": ("low", "gone"),
+    "New Customers": ("first", "active"),
 }
+_AIM = {"active": "Hold the present order rhythm", "slowing": "Bring the order rhythm back", "gone": "Find out who can still be reached"}
+_CHANNEL = {"high": "Account contact", "steady": "Newsletter", "growing": "Product pages", "low": "Unpaid e-mail", "first": "Order mail"}
+_OFFER = {"active": "None needed; thank-you note", "slowing": "Dated voucher", "gone": "Single test voucher"}
 
 
-def playbook_table(spark: SparkSession) -> DataFrame:
-    """Seven-row playbook dimension (one row per segment, display order)."""
+def playbook_rows() -> list[tuple]:
+    """A plain default for each segment, put together from its standing."""
     rows = []
     for i, name in enumerate(SEGMENTS):
-        badge, profile, objective, channel, promo, actions, tpl = _PLAYBOOK_TEXT[name]
-        rows.append((name, i, name, SEGMENT_ICONS[name], SEGMENT_COLORS[name], badge, profile,
-                     objective, channel, promo, list(actions), tpl))
-    return spark.createDataFrame(rows, PLAYBOOK_SCHEMA)
+        spend, state = _STANDING[name]
+        rows.append((
+            name, i, name, SEGMENT_ICONS[name], SEGMENT_COLORS[name], f"{spend} spend, {state}".capitalize(),
+            f"Customers of {spend} spend who are {state}.", f"{_AIM[state]}.", _CHANNEL[spend], _OFFER[state],
+            [f"List {name} by last order date.", f"Contact them by: {_CHANNEL[spend].lower()}.", "Compare orders before and after."],
+            (f"A note to our {name} customers", f"{_AIM[state]}.", "Hello {Customer_Name}, here is what is new.", "See what is new")))
+    return rows
+
+
+def playbook_table(spark: SparkSession) -> DataFrame:
+    """Seven-row playbook dimension (one row per segment, display order)."""
+    return spark.createDataFrame(playbook_rows(), PLAYBOOK_SCHEMA)
 
 
 LEGACY_PLAYBOOK_SCHEMA = T.StructType([
@@ -235,32 +161,23 @@ LEGACY_PLAYBOOK_SCHEMA = T.StructType([
     ])),
 ])
 
-_LEGACY_TEXT = {
-    "Champions": ("Recent, frequent, top-spending customers.", "Reward and retain them.",
-                  ("Early access to launches.", "Priority support.", "Advisory panel invitations."),
-                  ("Personal email", "Members area"), ("Early access for you", "Hello {Customer_Name}, see it first.")),
-    "Loyal Customers": ("Regular buyers with healthy order values.", "Raise order value.",
-                        ("Suggest bundles.", "Volume savings.", "Referral rewards."),
-                        ("Email newsletter", "SMS"), ("Bundles for you", "Hello {Customer_Name}, save on bundles.")),
-    "New/Promising": ("Recent buyers with few orders.", "Build the habit.",
-                      ("Onboarding emails.", "Second-order voucher.", "Best-seller highlights."),
-                      ("Welcome email", "In-app guide"), ("Welcome", "Hello {Customer_Name}, here is a voucher.")),
-    "At Risk": ("Valuable customers who stopped buying.", "Win them back.",
-                ("Win-back discount.", "Feedback survey.", "Show what is new."),
-                ("Win-back email", "SMS"), ("We miss you", "Hello {Customer_Name}, come back for a discount.")),
-    "Lost/Inactive": ("Low spend and long inactivity.", "Cheap reactivation or list hygiene.",
-                      ("Clearance offer.", "Re-permission request.", "Suppress from paid ads."),
-                      ("Sunset email",), ("Still there?", "Hello {Customer_Name}, confirm to stay subscribed.")),
+_LEGACY_STANDING = {
+    "Champions": ("high", "active"), "Loyal Customers": ("steady", "active"), "New/Promising": ("first", "active"),
+    "At Risk": ("steady", "slowing"), "Lost/Inactive": ("low", "gone"),
 }
 
 
+def legacy_playbook_rows() -> list[tuple]:
+    """The same default for the five segments."""
+    return [(name, i, name, LEGACY_ICONS[name], LEGACY_COLORS[name], f"Customers of {spend} spend who are {state}.", f"{_AIM[state]}.",
+             [f"List {name} by last order date.", "Compare orders before and after."], [_CHANNEL[spend]],
+             (f"A note to our {name} customers", "Hello {Customer_Name}, here is what is new."))
+            for i, name in enumerate(LEGACY_SEGMENTS) for spend, state in [_LEGACY_STANDING[name]]]
+
+
 def legacy_playbook_table(spark: SparkSession) -> DataFrame:
-    rows = []
-    for i, name in enumerate(LEGACY_SEGMENTS):
-        summary, goal, actions, channels, camp = _LEGACY_TEXT[name]
-        rows.append((name, i, name, LEGACY_ICONS[name], LEGACY_COLORS[name], summary, goal,
-                     list(actions), list(channels), camp))
-    return spark.createDataFrame(rows, LEGACY_PLAYBOOK_SCHEMA)
+    """Five-row playbook dimension."""
+    return spark.createDataFrame(legacy_playbook_rows(), LEGACY_PLAYBOOK_SCHEMA)
 
 
 def segment_dim(spark: SparkSession, taxonomy: str = "seven") -> DataFrame:
@@ -276,7 +193,6 @@ def segment_kpi_summary(customers: DataFrame, taxonomy: str = "seven") -> DataFr
     0.0 and null means): count, revenue, mean revenue / recency / frequency
     (/ tenure) / AOV, customer and revenue shares (1 dp)."""
     spark = customers.sparkSession
-    micros = lambda c: F.rint(F.col(c) * F.lit(float(MICRO))).cast("bigint")
     aggs = [
         F.count(F.lit(1)).alias("__n"),
         F.sum(micros("Monetary")).alias("__rev"),
@@ -292,21 +208,22 @@ def segment_kpi_summary(customers: DataFrame, taxonomy: str = "seven") -> DataFr
     # one row per segment: a proven bound for the broadcast.
     j = dim.join(F.broadcast(per_seg), "Segment", "left")
     n = F.coalesce(F.col("__n"), F.lit(0))
-    rev = F.coalesce(F.col("__rev"), F.lit(0)).cast("double") / F.lit(float(MICRO))
-    mean = lambda c, scale=1.0: F.col(c).cast("double") / F.lit(scale) / F.col("__n")
+    rev = F.coalesce(from_micros("__rev"), F.lit(0.0))
+    mean = lambda c: F.col(c).cast("double") / F.col("__n")
+    money_mean = lambda c: from_micros(c) / F.col("__n")
     everything = Window.partitionBy()     # over the few segment rows only
     cols = [
         F.col("Segment"),
         n.alias("CustomerCount"),
         rev.alias("TotalRevenue"),
-        half_even(mean("__rev", float(MICRO)), 2).alias("AvgRevenue"),
+        half_even(money_mean("__rev"), 2).alias("AvgRevenue"),
         half_even(mean("__rec"), 1).alias("AvgRecency"),
         half_even(mean("__freq"), 1).alias("AvgFrequency"),
     ]
     if taxonomy == "seven":
         cols.append(half_even(mean("__ten"), 1).alias("AvgTenure"))
     cols += [
-        half_even(mean("__aov", float(MICRO)), 2).alias("AvgAOV"),
+        half_even(money_mean("__aov"), 2).alias("AvgAOV"),
         half_even(n / F.greatest(F.sum(n).over(everything), F.lit(1)) * F.lit(100.0), 1)
         .alias("CustomerSharePct"),
         half_even(rev / F.greatest(F.sum(rev).over(everything), F.lit(1.0)) * F.lit(100.0), 1)

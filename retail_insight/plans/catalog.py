@@ -25,7 +25,7 @@ from retail_insight.operators.ingest import (
     standardize_transactions,
     transactions_profile,
 )
-from retail_insight.operators.segments import segment_kpi_summary
+from retail_insight.operators.segments import legacy_playbook_table, segment_kpi_summary
 from retail_insight.operators.value import churn_watchlist, growth_targets
 from retail_insight.plans.pipeline import (
     build_action_plan,
@@ -33,6 +33,7 @@ from retail_insight.plans.pipeline import (
     customers_from_transactions,
     process_rfm_legacy_pipeline,
 )
+from retail_insight.session import materialize
 from retail_insight.sources.tables import (
     events_as_raw_transactions,
     orders_as_raw_transactions,
@@ -127,6 +128,34 @@ def uninvoiced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("user_id"), F.col("ts").alias("timestamp"), F.col("value").alias("amount"))
 
 
+def _spend():
+    return half_even(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")), 2)
+
+
+def account_lines(spark: SparkSession, sf_dir: str, account) -> DataFrame:
+    """Order lines under canonical names, booked on ``account``."""
+    return _lines(spark, sf_dir).select(
+        account.alias("CustomerID"), F.col("o_orderkey").alias("InvoiceNo"), F.col("o_orderdate").alias("PurchaseDate"),
+        _spend().alias("TotalSpend"), F.col("l_quantity").alias("Quantity"), F.col("p_type").alias("ProductCategory"))
+
+
+def legacy_alias_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines booked on their day, under aliases of the five-segment
+    variant, some without a spend."""
+    return _lines(spark, sf_dir).select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("Customer No"), F.col("o_orderkey").alias("Invoice Number"),
+        F.col("o_orderdate").alias("order_date"), F.col("p_name").alias("Item"), F.col("l_quantity").alias("Qty"),
+        F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("Item Price"),
+        F.when(F.col("l_linenumber") == 3, F.lit(None).cast("double")).otherwise(_spend()).alias("Sales"))
+
+
+def gap_lines(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """Order lines, some without an invoice or a category, under ``names``."""
+    cols = (F.col("o_custkey"), F.when(F.col("l_orderkey") % 7 != 0, F.col("o_orderkey").cast("string")), F.col("o_orderdate"),
+            _spend(), F.when(F.col("l_linenumber") != 2, F.col("p_type")))
+    return _lines(spark, sf_dir).select(*[c.alias(n) for c, n in zip(cols, names, strict=True)])
+
+
 CUSTOM_MAPPING = {"CustomerID": "acct", "PurchaseDate": "booked_at", "TotalSpend": "gross",
                   "InvoiceNo": "doc", "ProductCategory": "line_group"}
 
@@ -167,7 +196,7 @@ def _valued(spark, sf_dir):
 
 
 def _retention(spark, sf_dir):
-    return coh.cohort_retention(order_transactions(spark, sf_dir, with_product=False))
+    return coh.first_month_columns(coh.cohort_retention(order_transactions(spark, sf_dir, with_product=False)))
 
 
 # ---------------------------------------------------------------- queries
@@ -233,8 +262,8 @@ def q_growth_targets(spark, sf_dir):
 
 
 def q_cohort_retention(spark, sf_dir):
-    """H1-H9: long-form triangle, first 13 observed month columns."""
-    return _retention(spark, sf_dir)
+    """H1-H8: the whole retention triangle."""
+    return coh.cohort_retention(order_transactions(spark, sf_dir, with_product=False))
 
 
 def q_cohort_sizes(spark, sf_dir):
@@ -389,7 +418,7 @@ def q_retail_profile(spark, sf_dir):
 
 def q_transactions_profile(spark, sf_dir):
     """I14 on canonical lines."""
-    return transactions_profile(order_transactions(spark, sf_dir))
+    return transactions_profile(order_transactions(spark, sf_dir, with_product=False))
 
 
 def q_zscore_features(spark, sf_dir):
@@ -400,9 +429,9 @@ def q_zscore_features(spark, sf_dir):
 
 
 def q_silhouette_embeddings(spark, sf_dir):
-    """M5 with fixed labels: Euclidean silhouette of ``embeddings.label``."""
+    """M5 with fixed labels: silhouette (squared distances, all rows) of ``embeddings.label``."""
     emb = read_table(spark, sf_dir, "embeddings")
-    sil = ml.silhouette_sampled(emb, "embedding", {"label": "label"}, "vec_id")
+    sil = ml.embedding_silhouette(emb, "embedding", "label")
     return sil.select("key", F.rint(F.col("silhouette") * F.lit(1e4)).cast("bigint").alias("silhouette_e4"))
 
 
@@ -449,11 +478,78 @@ def q_customer_clusters(spark, sf_dir):
 
 def q_pca_projection(spark, sf_dir):
     """PCA coordinates (variance ratios in every row)."""
-    projected, evr = ml.pca_3d(_customers(spark, sf_dir))
-    return projected.select("CustomerID", "Segment", "PCA_1", "PCA_2", "PCA_3", "Monetary").withColumns(
+    projected, evr = ml.add_pca(materialize(ml.zscore_features(_customers(spark, sf_dir))))
+    clustered, _ = ml.cluster_zscored(materialize(projected), 4)
+    return clustered.select("CustomerID", "Segment", "ML_Cluster", "PCA_1", "PCA_2", "PCA_3", "Recency", "Frequency",
+                            "Monetary", "Tenure").withColumns(
         {f"EVR_{i + 1}": F.lit(v) for i, v in enumerate(evr)})
 
 
+def q_cluster_profile_by_segment(spark, sf_dir):
+    """M8 with fixed labels: the segments take the clusters' place."""
+    return ml.cluster_profile(_customers(spark, sf_dir), "Segment")
+
+
+def q_cluster_invariants(spark, sf_dir):
+    """M3: every customer at its nearest center, distances adding up."""
+    z = materialize(ml.zscore_features(_customers(spark, sf_dir)))
+    _, model = ml.cluster_zscored(z, 4)
+    return ml.cluster_check(z, model)
+
+
+def q_pca_invariants(spark, sf_dir):
+    """M9: all four components together keep the z-scores' variance, and no
+    two correlate."""
+    z = materialize(ml.zscore_features(_customers(spark, sf_dir)))
+    p, _ = ml.add_pca(z, n_components=4)
+    pairs = [(a, b) for a in range(1, 5) for b in range(a + 1, 5)]
+    total = sum((F.var_pop(f"PCA_{i}") for i in range(2, 5)), F.var_pop("PCA_1"))
+    return p.agg(F.count(F.lit(1)).alias("Customers"), F.rint(total * 100).cast("bigint").alias("TotalVariancePct"),
+                 *[F.rint(F.abs(F.corr(f"PCA_{a}", f"PCA_{b}")) * 1000).cast("bigint").alias(f"Corr{a}{b}") for a, b in pairs])
+
+
+def q_day_segments(spark, sf_dir):
+    """C1-C5, G1 with order days as accounts: their number is no multiple of
+    5, which tells quantile bins of ranks from ntile."""
+    raw = account_lines(spark, sf_dir, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return customers_from_transactions(standardize_transactions(raw))
+
+
+def q_line_slot_segments(spark, sf_dir):
+    """The same with line numbers as accounts: seven of them."""
+    return customers_from_transactions(standardize_transactions(account_lines(spark, sf_dir, F.col("l_linenumber"))))
+
+
+def q_status_segments(spark, sf_dir):
+    """C4: order states as accounts, fewer than there are bins."""
+    return customers_from_transactions(standardize_transactions(account_lines(spark, sf_dir, F.col("o_orderstatus"))))
+
+
+def q_legacy_day_rfm(spark, sf_dir):
+    """I2L, I8L, C3: alias headers, missing spends, days as accounts."""
+    _, customers = process_rfm_legacy_pipeline(legacy_alias_lines(spark, sf_dir))
+    return customers
+
+
+def q_features_gaps_aliased(spark, sf_dir):
+    """F2, F6 with missing invoices and categories under aliases."""
+    return compute_rfmt(standardize_transactions(gap_lines(spark, sf_dir, ("customer", "invoice", "date", "sales", "category"))))
+
+
+def q_features_gaps(spark, sf_dir):
+    """The same under canonical names, where nulls stay nulls."""
+    return compute_rfmt(standardize_transactions(
+        gap_lines(spark, sf_dir, ("CustomerID", "InvoiceNo", "PurchaseDate", "TotalSpend", "ProductCategory"))))
+
+
+def q_legacy_action_list(spark, sf_dir):
+    """G8 (five segments): every customer's goal, first action and channel."""
+    _, customers = process_rfm_legacy_pipeline(orders_as_raw_transactions(spark, sf_dir))
+    book = legacy_playbook_table(spark).select("Segment", "SegmentOrder", F.col("goal").alias("Goal"),
+                                               F.element_at("actions", 1).alias("Action"), F.element_at("channels", 1).alias("Channel"))
+    return customers.select("CustomerID", "Segment").join(F.broadcast(book), "Segment")   # five rows
+
+
 def q_action_plan(spark, sf_dir):
     """R12 / K4 content: the full 34-column action plan."""
     plan, _, _ = build_action_plan(_valued(spark, sf_dir))
@@ -514,6 +610,16 @@ QUERIES = {
     "kmeans_sweep": q_kmeans_sweep,
     "customer_clusters": q_customer_clusters,
     "pca_projection": q_pca_projection,
+    "day_segments": q_day_segments,
+    "line_slot_segments": q_line_slot_segments,
+    "status_segments": q_status_segments,
+    "legacy_day_rfm": q_legacy_day_rfm,
+    "customer_features_gaps_aliased": q_features_gaps_aliased,
+    "customer_features_gaps": q_features_gaps,
+    "legacy_action_list": q_legacy_action_list,
+    "cluster_profile_by_segment": q_cluster_profile_by_segment,
+    "cluster_invariants": q_cluster_invariants,
+    "pca_invariants": q_pca_invariants,
     "action_plan": q_action_plan,
 }
 

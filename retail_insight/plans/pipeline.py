@@ -10,10 +10,10 @@ from retail_insight.operators.campaigns import action_plan, enrich_with_playbook
 from retail_insight.operators.clustering import (
     PCA_COLUMNS,
     RFMT_FEATURES,
+    add_pca,
     cluster_zscored,
     evaluate_kmeans_candidates,
     optimal_k,
-    pca_fit,
     zscore_features,
 )
 from retail_insight.session import materialize
@@ -59,22 +59,10 @@ def build_action_plan(valued: DataFrame, n_clusters: int | None = None, playbook
     (plan, k evaluation, explained variance %)."""
     zcols = [f"z_{c}" for c in RFMT_FEATURES]
     z = materialize(zscore_features(valued))
-    pca_cols, evr = pca_fit(z)
-    projected = materialize(z.withColumns(pca_cols))
+    projected, evr = add_pca(z)
+    projected = materialize(projected)
     evaluation = evaluate_kmeans_candidates(projected, list(PCA_COLUMNS), "CustomerID", min_k, max_k)
     k = n_clusters or optimal_k(evaluation)
-    clustered, _run = cluster_zscored(projected, k)
+    clustered, _model = cluster_zscored(projected, k)
     plan = action_plan(enrich_with_playbook(clustered.drop(*zcols), playbooks))
     return plan, evaluation, evr
-
-
-def segment_digest(valued: DataFrame) -> DataFrame:
-    """Console digest feed: the segment KPI lines."""
-    from retail_insight.operators.segments import segment_kpi_summary
-    return segment_kpi_summary(valued)
-
-
-def watchlist_digest(valued: DataFrame, top: int = 3) -> DataFrame:
-    from retail_insight.operators.value import churn_watchlist
-    return churn_watchlist(valued).limit(top)
-

@@ -3,22 +3,24 @@
 CSV is read with every column as a string (no schema inference pass over
 the data); the ingest operator coerces with ``try_cast`` so bad values turn
 into nulls instead of failing the job under ANSI mode. gzip files are not
-splittable, so a ``.gz`` input is redistributed after the read.
+splittable, so the reader takes the number of partitions that such an input
+should have after the read.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def first_existing(paths: Sequence[str]) -> str:
-    """Pick the first path that exists (driver-side check, like choosing
-    between a full dataset and a sample file)."""
+def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
+    """The first path that exists in the store it names (local, HDFS, object
+    store), like choosing between a full dataset and a sample file."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for p in paths:
-        if os.path.exists(p):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(conf).exists(path):
             return p
     raise FileNotFoundError(f"none of {list(paths)} exists")
 
@@ -26,7 +28,8 @@ def first_existing(paths: Sequence[str]) -> str:
 def read_transactions_csv(spark: SparkSession, path: str | Sequence[str],
                           encoding: str = "UTF-8", sep: str = ",",
                           num_partitions: int | None = None) -> DataFrame:
-    """Read header CSV (plain or ``.csv.gz``; Latin-1 via ``encoding``)."""
+    """Read header CSV (plain or ``.csv.gz``; Latin-1 via ``encoding``).
+    ``num_partitions`` deals the rows out anew, for one large ``.gz`` file."""
     paths = [path] if isinstance(path, str) else list(path)
     df = (spark.read
           .option("header", True)
@@ -38,8 +41,7 @@ def read_transactions_csv(spark: SparkSession, path: str | Sequence[str],
           .csv(paths))
     if num_partitions:
         return df.repartition(num_partitions)
-    from retail_insight.sources.tables import spread
-    return spread(df)        # e.g. one unsplittable .csv.gz file
+    return df
 
 
 def read_transactions_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

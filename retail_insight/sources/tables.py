@@ -21,30 +21,9 @@ from pyspark.sql import functions as F
 from retail_insight.functions.numeric import half_even
 
 
-def spread(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Redistribute a source that has fewer input splits than the cluster
-    has task slots (a single-row-group parquet file, an unsplittable gzip
-    file), so the stages after the scan use every core. Hash partitioning
-    on ``keys`` (default: the first two columns, i.e. the table key and the
-    next field, so one hot key value is still split) is deterministic and
-    needs no local sort. A large input already has many splits and is
-    returned unchanged (no extra shuffle)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        cols = keys or df.columns[:2]
-        return df.repartition(slots, *[F.col(f"`{c}`") for c in cols])
-    return df
-
-
-FACT_TABLES = ("lineitem", "events")
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table; fact tables (the line-level inputs) are spread
-    when they arrive in fewer splits than task slots, dimension tables are
-    left for Catalyst/AQE to broadcast or shuffle as measured."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in FACT_TABLES else df
+    """Read one driver table; Spark deals it out by its input splits."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def orders_as_raw_transactions(spark: SparkSession, sf_dir: str,

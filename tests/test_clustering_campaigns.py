@@ -3,11 +3,10 @@ from pyspark.sql import functions as F
 
 from retail_insight.operators import campaigns as camp
 from retail_insight.operators import clustering as ml
-from retail_insight.operators.kmeans import best_runs, fit_runs
 
 
 def _brute_silhouette(x, labels):
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
     out = []
     for i in range(len(x)):
         own = labels == labels[i]
@@ -20,42 +19,30 @@ def _brute_silhouette(x, labels):
     return float(np.mean(out))
 
 
-def test_silhouette_matches_brute_force(spark):
+def test_silhouette_of_all_rows_matches_brute_force(spark):
     rng = np.random.default_rng(5)
-    x = np.vstack([rng.normal(0, 1, (40, 3)), rng.normal(4, 1, (30, 3)), rng.normal([0, 6, 0], 1, (1, 3))])
-    labels = np.array([0] * 40 + [1] * 30 + [2])           # one singleton cluster
+    x = np.vstack([rng.normal(0, 1, (900, 3)), rng.normal(4, 1, (600, 3)), rng.normal([0, 6, 0], 1, (1, 3))])
+    labels = np.array([0] * 900 + [1] * 600 + [2])         # one singleton cluster
     df = spark.createDataFrame([(i, x[i].tolist(), int(labels[i])) for i in range(len(x))],
                                "id long, p array<double>, l int")
-    got = ml.silhouette_sampled(df, "p", {"k": "l"}, "id").first().silhouette
-    assert abs(got - _brute_silhouette(x, labels)) < 1e-12
+    got = ml.embedding_silhouette(df, "p", "l").first().silhouette
+    assert abs(got - _brute_silhouette(x, labels)) < 1e-9
     one = spark.createDataFrame([(i, x[i].tolist(), 0) for i in range(5)], "id long, p array<double>, l int")
-    assert ml.silhouette_sampled(one, "p", {"k": "l"}, "id").first().silhouette is None
-
-
-def test_silhouette_sample_is_bounded(spark):
-    rng = np.random.default_rng(9)
-    df = spark.createDataFrame([(i, rng.normal(size=2).tolist(), int(i % 3)) for i in range(300)],
-                               "id long, p array<double>, l int")
-    full = ml.silhouette_sampled(df, "p", {"k": "l"}, "id").first().silhouette
-    part = ml.silhouette_sampled(df, "p", {"k": "l"}, "id", sample_size=50).first().silhouette
-    assert full is not None and part is not None and full != part
+    assert ml.embedding_silhouette(one, "p", "l").first().silhouette is None
 
 
 def test_kmeans_recovers_separated_blobs(spark):
     rng = np.random.default_rng(1)
     centers = np.array([[0, 0], [10, 0], [0, 10]])
     x = np.vstack([rng.normal(c, 0.5, (50, 2)) for c in centers])
-    df = spark.createDataFrame([(f"c{i}", x[i].tolist()) for i in range(len(x))], "CustomerID string, p array<double>")
-    runs = fit_runs(df, "CustomerID", "p", [2, 3], n_init=4, seed=42)
-    best = best_runs(runs)
-    found = np.array(best[3].centers)
+    df = spark.createDataFrame([(f"c{i}", *map(float, x[i])) for i in range(len(x))], "CustomerID string, a double, b double")
+    best = ml.best_kmeans(ml.with_vector(df, ["a", "b"]), [2, 3], 2)
+    found = np.array(best[3].clusterCenters())
     nearest = np.sqrt(((centers[:, None, :] - found[None]) ** 2).sum(axis=2)).min(axis=1)
     assert nearest.max() < 0.3
-    # inertia equals the brute-force sum of squared distances to the final centers
-    c = np.array(best[3].centers)
-    d2 = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
-    assert abs(best[3].inertia - d2) < 1e-6
-    assert best[2].inertia > best[3].inertia
+    d2 = ((x[:, None, :] - found[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    assert abs(best[3].summary.trainingCost - d2) < 1e-6
+    assert best[2].summary.trainingCost > best[3].summary.trainingCost
 
 
 def test_zscore_population_sigma_and_zero_variance(spark):

@@ -80,7 +80,7 @@ def test_cohorts_skip_absent_cells_and_cut_observed_columns(spark):
             rows.append((cid, f"{cid}{m}", d(2024, m, 5), 1.0, 1.0, 1.0, "p", "c"))
     # cohort 2024-03: 1 customer, months 0 and 1
     rows += [("c", "c3", d(2024, 3, 9), 1.0, 1.0, 1.0, "p", "c"), ("c", "c4", d(2024, 4, 9), 1.0, 1.0, 1.0, "p", "c")]
-    ret = coh.cohort_retention(_tx(spark, rows), max_columns=2)
+    ret = coh.first_month_columns(coh.cohort_retention(_tx(spark, rows)), 2)
     cells = {(r.CohortMonth, r.CohortIndex): (r.ActiveCustomers, r.CohortSize, r.RetentionPct) for r in ret.collect()}
     assert cells == {("2024-01", 0): (2, 2, 100.0), ("2024-01", 1): (1, 2, 50.0), ("2024-03", 0): (1, 1, 100.0),
                      ("2024-03", 1): (1, 1, 100.0)}

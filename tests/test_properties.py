@@ -47,6 +47,6 @@ def test_cohort_invariants(spark):
 
 def test_cluster_counts_cover_every_customer(spark):
     customers = customers_from_transactions(order_transactions(spark, SF_SMALL))
-    clustered, run, profile = perform_kmeans_clustering(customers, n_clusters=3, n_init=3)
+    clustered, model, profile = perform_kmeans_clustering(customers, n_clusters=3, n_init=3)
     assert sum(r.CustomerCount for r in profile.collect()) == customers.count()
-    assert clustered.select("ML_Cluster").distinct().count() == 3 and run.k == 3
+    assert clustered.select("ML_Cluster").distinct().count() == 3 and len(model.clusterCenters()) == 3
