@@ -34,8 +34,8 @@ RECALL = 0.99
 SLOTS = 96
 #: Standard errors of the MinHash estimate that a candidate may lie below the similarity.
 SLACK = 3.0
-BUCKET = 512
-DEPTH = 6
+BUCKET = 4096
+DEPTH = 3
 BLOCK_CHARS = 2_000_000
 PART_CHARS = 4_000_000
 
@@ -115,23 +115,16 @@ def _children(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInPandas(per_batch, schema="path long, rep long")
 
 
-def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of the links between rows 0 to n - 1."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for x, y in zip(left.tolist(), right.tolist(), strict=True):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            kept.append((x, y))
-    return kept
+def _attach(label: np.ndarray, i: int, hits: np.ndarray) -> np.ndarray:
+    """One of ``hits`` for each component other than that of row i; those
+    components become one with it. ``label`` names the component of each row."""
+    other = label[hits]
+    names, first = np.unique(other[other != label[i]], return_index=True)
+    if not len(names):
+        return names
+    chosen = hits[other != label[i]][first]
+    label[np.isin(label, names)] = label[i]
+    return chosen
 
 
 def _grouped(batches, keys: list[str]):
@@ -181,15 +174,12 @@ def _search_buckets(buckets: DataFrame, similarity: float, slack: float) -> Data
             g = g.sort_values("rep")
             slots = np.frombuffer(b"".join(g["slots"]), dtype=np.uint32).reshape(-1, SLOTS)
             side, cross = g["side"].to_numpy(), g["x"].iloc[0] != g["y"].iloc[0]
-            left, right = [], []
+            label, kept = np.arange(len(g)), []
             for i in range(len(g) - 1):
-                same = (slots[i + 1 :] == slots[i]).mean(axis=1) >= need
+                same = np.count_nonzero(slots[i + 1 :] == slots[i], axis=1) >= need * SLOTS
                 if cross:
                     same &= side[i + 1 :] != side[i]
-                hit = np.flatnonzero(same)
-                left.append(np.full(len(hit), i))
-                right.append(hit + i + 1)
-            kept = _forest(len(g), np.concatenate(left), np.concatenate(right))
+                kept += [(i, j) for j in _attach(label, i, np.flatnonzero(same) + i + 1).tolist()]
             if kept:
                 rep = g["rep"].to_numpy()
                 at = np.array(kept)
@@ -243,7 +233,7 @@ def exact_links(members: DataFrame, documents: DataFrame, similarity: float, shi
             start = np.concatenate([[0], np.cumsum(size)])
             side, cross = g["side"].to_numpy(), g["x"].iloc[0] != g["y"].iloc[0]
             mark = np.zeros(len(known), dtype=bool)
-            count, left, right = np.zeros(len(g), dtype=np.int64), [], []
+            count, label, links = np.zeros(len(g), dtype=np.int64), np.arange(len(g)), []
             for i in range(len(g) - 1):
                 mark[ids[start[i] : start[i + 1]]] = True
                 shared = np.add.reduceat(mark[ids[start[i + 1] :]].astype(np.int32), start[i + 1 : -1] - start[i + 1])
@@ -254,10 +244,9 @@ def exact_links(members: DataFrame, documents: DataFrame, similarity: float, shi
                 hit = np.flatnonzero(near) + i + 1
                 count[i] += len(hit)
                 count[hit] += 1
-                left.append(np.full(len(hit), i))
-                right.append(hit)
+                links += [(i, j) for j in _attach(label, i, hit).tolist()]
             rep, some = g["rep"].to_numpy(), count > 0
-            kept = np.array(_forest(len(g), np.concatenate(left), np.concatenate(right)), dtype=np.int64).reshape(-1, 2)
+            kept = np.array(links, dtype=np.int64).reshape(-1, 2)
             yield pd.DataFrame({"a": np.concatenate([rep[some], rep[kept[:, 0]]]), "b": np.concatenate([np.zeros(some.sum(), dtype=np.int64), rep[kept[:, 1]]]),
                                 "n": np.concatenate([count[some], np.full(len(kept), -1)])})
 
