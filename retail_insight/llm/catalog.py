@@ -18,6 +18,5 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_license_scan": license_scan.oracle(),
 }
