@@ -27,6 +27,7 @@ HEADLINE = (
     "action_plan_core",
     "ingest_dirty",
     "kmeans_sweep",
+    "customer_clusters",
     "action_plan",
 )
 

@@ -27,3 +27,16 @@ def test_exports_round_trip(spark, tmp_path):
     exports.export_clean_retail(clean_online_retail(online_retail_raw(spark, SF_SMALL)), clean)
     dates = [r.PurchaseDate for r in _read_back(spark, clean).collect()]
     assert dates == sorted(dates) and len(glob.glob(os.path.join(clean, "part-*"))) >= 1
+
+
+def test_action_plan_export(spark, tmp_path):
+    from retail_insight.operators.campaigns import ACTION_PLAN_COLUMNS
+    from retail_insight.plans.pipeline import build_action_plan
+    plan, _, variance = build_action_plan(_valued(spark, SF_SMALL), n_clusters=3, max_k=3)
+    out = str(tmp_path / "plan")
+    exports.export_action_plan(plan, out)
+    back = _read_back(spark, out)
+    assert tuple(back.columns) == ACTION_PLAN_COLUMNS and back.count() == 150 and len(variance) == 3
+    spend = [float(r.Monetary) for r in back.collect()]
+    assert spend == sorted(spend, reverse=True)
+    assert {r.ML_Cluster for r in back.collect()} == {"Cluster 1", "Cluster 2", "Cluster 3"}

@@ -48,3 +48,17 @@ def test_every_registered_query_runs(spark):
         assert df.count() >= 0, name
     flag = entry(spark)
     assert len(flag.columns) == 34 and flag.count() == 150
+
+
+def test_grouped_rank_does_not_deal_rows_out_by_group(spark):
+    import re
+
+    from retail_insight.operators.ranking import distributed_rank
+    df = spark.range(3000).selectExpr("cast(id as string) as CustomerID", "if(id % 3 = 0, 'hot', cast(id % 7 as string)) as Segment")
+    ranked = distributed_rank(df, [], "CustomerID", rank_col="r", total_col="n", partition_by=["Segment"])
+    assert not re.search(r"hashpartitioning\(Segment#", _plan(ranked))
+    rows = sorted((r.Segment, r.r, r.CustomerID, r.n) for r in ranked.collect())
+    want = sorted((("hot" if i % 3 == 0 else str(i % 7)), str(i)) for i in range(3000))
+    assert [(s, c) for s, _, c, _ in rows] == want
+    sizes = {s: sum(1 for x, _ in want if x == s) for s, _ in want}
+    assert all(n == sizes[s] and 1 <= r <= n for s, r, _, n in rows) and len({(s, r) for s, r, _, _ in rows}) == 3000
