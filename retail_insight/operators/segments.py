@@ -81,13 +81,15 @@ def _lookup(mapping: dict, key: Column) -> Column:
 
 
 def assign_segments(scored: DataFrame, taxonomy: str = "seven") -> DataFrame:
-    """Add ``Segment``, ``Segment_Icon``, ``Segment_Color``."""
+    """Add ``Segment``, ``Segment_Order`` (0 for the first in display order),
+    ``Segment_Icon``, ``Segment_Color``."""
     if taxonomy == "seven":
-        seg, icons, colors = segment_rule(), SEGMENT_ICONS, SEGMENT_COLORS
+        names, seg, icons, colors = SEGMENTS, segment_rule(), SEGMENT_ICONS, SEGMENT_COLORS
     else:
-        seg, icons, colors = legacy_segment_rule(), LEGACY_ICONS, LEGACY_COLORS
+        names, seg, icons, colors = LEGACY_SEGMENTS, legacy_segment_rule(), LEGACY_ICONS, LEGACY_COLORS
     out = scored.withColumn("Segment", seg)
     return out.withColumns({
+        "Segment_Order": _lookup({n: i for i, n in enumerate(names)}, F.col("Segment")),
         "Segment_Icon": _lookup(icons, F.col("Segment")),
         "Segment_Color": _lookup(colors, F.col("Segment")),
     })

@@ -23,6 +23,10 @@ def _case(col: str, mapping: dict) -> str:
     return f"CASE {col} {arms} END"
 
 
+def _order(names) -> str:
+    return f"CAST(list_position([{', '.join(map(_q, names))}], Segment) - 1 AS INTEGER)"
+
+
 def _values(rows, names) -> str:
     body = ", ".join("(" + ", ".join(_q(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
     return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(names)}))"
@@ -268,7 +272,7 @@ segmented AS (
   FROM scored
 ),
 customers AS (
-  SELECT *, {_case('Segment', seg.SEGMENT_ICONS)} AS Segment_Icon,
+  SELECT *, {_order(seg.SEGMENTS)} AS Segment_Order, {_case('Segment', seg.SEGMENT_ICONS)} AS Segment_Icon,
             {_case('Segment', seg.SEGMENT_COLORS)} AS Segment_Color
   FROM segmented
 )"""
@@ -451,7 +455,7 @@ l_seg AS (
   FROM l_scored
 ),
 legacy_customers AS (
-  SELECT *, """ + _case("Segment", seg.LEGACY_ICONS) + """ AS Segment_Icon,
+  SELECT *, """ + _order(seg.LEGACY_SEGMENTS) + """ AS Segment_Order, """ + _case("Segment", seg.LEGACY_ICONS) + """ AS Segment_Icon,
             """ + _case("Segment", seg.LEGACY_COLORS) + """ AS Segment_Color
   FROM l_seg
 )"""
