@@ -105,26 +105,31 @@ class WordHasher:
 
     def many_with_codes(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """many(), and a code of each word's looks: a 16-bit mix of its first
-        and last two bytes, times 6, plus whether it ends in a stop (1) or a
-        comma (2), plus 3 if it has more than four bytes."""
-        hashes, codes, counts = [], [], []
-        for t in texts:
-            data = t.encode("utf-8").lower() if t else b""
-            h = self.one(data)
-            hashes.append(h)
-            counts.append(len(h))
-            raw = np.frombuffer(data, dtype=np.uint8)
-            edge = np.ones(len(data) + 2, dtype=np.int8)
+        and last two bytes, times 3, plus whether it ends in a stop (1) or a
+        comma (2)."""
+        flat, cut = self.many(texts)
+        codes, group, room = [], [], 0
+
+        def flush() -> None:
+            raw = np.frombuffer(b"\n".join(group), dtype=np.uint8)
+            group.clear()
+            edge = np.ones(len(raw) + 2, dtype=np.int8)
             edge[1:-1] = self.is_space[raw]
             step = np.diff(edge)
             first, last = np.flatnonzero(step == -1), np.flatnonzero(step == 1) - 1
             a, z = raw[first].astype(np.int64), raw[last].astype(np.int64)
             b, y = raw[np.minimum(first + 1, last)].astype(np.int64), raw[np.maximum(last - 1, first)].astype(np.int64)
-            looks = (8191 * a + 131 * b + 31 * y + 2053 * z) & 0xFFFF
-            codes.append(looks * 6 + (z == 46) + 2 * (z == 44) + 3 * (last - first >= 4))
-        none = np.empty(0, dtype=np.uint64)
-        return (np.concatenate([none, *hashes]), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64),
-                np.concatenate([none.astype(np.int64), *codes]))
+            codes.append(((8191 * a + 131 * b + 31 * y + 2053 * z) & 0xFFFF) * 3 + (z == 46) + 2 * (z == 44))
+
+        for t in texts:
+            if t:
+                group.append(t.encode("utf-8").lower())
+                room += len(group[-1])
+            if room > CHUNK_BYTES:
+                flush()
+                room = 0
+        flush()
+        return flat, cut, np.concatenate(codes)
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
