@@ -250,7 +250,9 @@ def train(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED
     now = scorer()
     handed = [set(), set()]
     for _ in range(rounds):
-        seen = materialize(docs.join(known.select("id"), "id", "left_anti").select("id", scores(now).alias("p")).select("id", "p.p_text", "p.p_meta")
+        # scored where they lie: only ids and scores are shuffled to leave out the labelled ones
+        scored = materialize(docs.select("id", scores(now).alias("p")).select("id", "p.p_text", "p.p_meta"))
+        seen = materialize(scored.join(known.select("id"), "id", "left_anti")
                            .groupBy("id").agg(F.min("p_text").alias("p_text"), F.min("p_meta").alias("p_meta")))
         for giver, taker in ((0, 1), (1, 0)):
             p = F.col(("p_text", "p_meta")[giver])
