@@ -130,6 +130,29 @@ def _parts(pdf: pd.DataFrame):
         yield pdf[group == g]
 
 
+def _live_lines(docs: DataFrame, live: DataFrame) -> DataFrame:
+    """doc, line, crc, bits, text of the lines that ``live`` (doc, live: array
+    of (line, crc, bits)) names. The texts are packed for their shuffle."""
+
+    @F.pandas_udf("binary")
+    def packed(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: zlib.compress(t.encode("utf-8"), 1))
+
+    def per_batch(batches):
+        for pdf in batches:
+            rows = []
+            for d, z, named in zip(pdf["doc"], pdf["z"], pdf["live"], strict=True):
+                lines = zlib.decompress(z).decode("utf-8").split("\n")
+                for r in named:
+                    k = r["line"]
+                    if k < len(lines) and zlib.crc32(lines[k].encode("utf-8")) == r["crc"]:
+                        rows.append((d, k, r["crc"], r["bits"], lines[k]))
+            yield pd.DataFrame(rows, columns=["doc", "line", "crc", "bits", "text"])
+
+    return (docs.select("doc", packed("text").alias("z")).join(live, "doc")
+            .mapInPandas(per_batch, schema="doc long, line int, crc long, bits int, text string"))
+
+
 def _variant_table(live: DataFrame) -> DataFrame:
     """key, role, doc, line, crc of the live lines (doc, line, crc, bits, text)."""
 
@@ -187,11 +210,7 @@ def duplicate_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NE
             .agg(F.sum(F.expr("shiftleft(1, side)")).cast("int").alias("bits"))
             .groupBy(F.col("first.doc").alias("doc"))
             .agg(F.collect_list(F.struct("first.line", "first.crc", "bits")).alias("live")))
-    live_lines = materialize(
-        docs.join(live, "doc").select("doc", "text", F.explode("live").alias("at"))
-        .select("doc", F.col("at.line").alias("line"), F.col("at.crc").alias("crc"), F.col("at.bits").alias("bits"),
-                F.get(F.split("text", "\n"), F.col("at.line")).alias("text"))
-        .where(F.crc32("text") == F.col("crc")).distinct())
+    live_lines = materialize(_live_lines(docs, live))
     variants = _variant_table(live_lines)
     met = (variants.groupBy("key").agg(F.min(F.when(F.col("role") < 2, place)).alias("other"),
                                        F.min(F.when(F.col("role") == 2, place)).alias("own"),
@@ -204,7 +223,7 @@ def duplicate_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NE
     both = (linked.select(place.alias("late"), "early")
             .join(texts.select(F.col("place").alias("late"), F.col("text").alias("a")), "late")
             .join(texts.select(F.col("place").alias("early"), F.col("text").alias("b")), "early"))
-    verified = both.where(_near("a", "b")).select("late.doc", "late.line", "late.crc", F.lit(True).alias("near"))
+    verified = both.where(_near("a", "b")).select("late.doc", "late.line", "late.crc", F.lit(True).alias("near")).distinct()
     return exact.unionByName(verified)
 
 
