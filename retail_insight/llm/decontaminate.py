@@ -3,7 +3,7 @@
 Benchmark items are the queries, all documents the data: the items travel in
 blocks of bounded size, and every document is read against each block. Windows
 of an item's own length in words get a 64-bit SimHash of their weighted word
-shingles. Fingerprints within the Hamming radius are found by cutting both
+shingles, each distinct one once, as the items do. Fingerprints within the Hamming radius are found by cutting both
 into blocks of bits: of BLOCKS blocks at least one differs in at most
 radius // BLOCKS bits. What is found is compared exactly by weighted Jaccard
 similarity of the shingles.
@@ -46,8 +46,9 @@ class ItemBlock:
         self.sets = [np.unique(shingles(w, shingle)) for _, w in words]
         every = np.concatenate(self.sets) if self.sets else np.empty(0, dtype=np.uint64)
         self.known, df = np.unique(every, return_counts=True)
-        # weights use the block's items only as a mild down-weighting of wording that items share
-        self.weight = 1.0 / df
+        # weights use the block's items only as a mild down-weighting of wording that items share;
+        # powers of two add up exactly, in whatever order, so that equal sets have equal fingerprints
+        self.weight = 0.5 ** np.floor(np.log2(df))
         owner = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
         order = np.argsort(every, kind="stable")
         self.owners, self.owner_at = owner[order], np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
@@ -74,6 +75,25 @@ class ItemBlock:
     def packed(sums: np.ndarray) -> np.ndarray:
         return np.packbits(sums > 0, axis=1).copy().view(np.uint64).ravel()
 
+    @staticmethod
+    def repeats(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of shingles that came before, and where they last did."""
+        order = np.argsort(s, kind="stable")
+        same = s[order[1:]] == s[order[:-1]]
+        return order[1:][same], order[:-1][same]
+
+    @staticmethod
+    def repeated(signed: np.ndarray, again: np.ndarray, before: np.ndarray, span: int) -> np.ndarray:
+        """For each window of ``span`` shingles, by its first one, what its
+        shingles add beyond their first time in it: the windows that begin at
+        again - span + 1 to before hold both places."""
+        out = np.zeros((len(signed) + 1, signed.shape[1]), dtype=signed.dtype)
+        first = again - span + 1
+        out[first[first > 0]] += signed[again[first > 0]]
+        out[0] += signed[again[first <= 0]].sum(axis=0)
+        out[before + 1] -= signed[again]
+        return np.cumsum(out, axis=0, out=out)
+
     def block_tables(self) -> list[dict[int, np.ndarray]]:
         """For each block of bits, the items by every value near their own."""
         width, tables = 64 // BLOCKS, []
@@ -105,8 +125,9 @@ class ItemBlock:
                 near = {int(o) for k in np.unique(at[hit]) for o in self.owners[self.owner_at[k] : self.owner_at[k + 1]]}
                 by_size[size] = (s, np.flatnonzero(hit), near)
         for size, (s, hit, near) in by_size.items():
-            w = self.weights(s)
-            run = np.concatenate([np.zeros((1, 64), dtype=np.float64), np.cumsum(self.signs(s) * w[:, None], axis=0)])
+            signed = self.signs(s) * self.weights(s)[:, None]
+            run = np.concatenate([np.zeros((1, 64), dtype=np.float64), np.cumsum(signed, axis=0)])
+            again, before = self.repeats(s)
             for length in {int(self.length[i]) for i in near}:
                 if min(length, self.shingle) != size:
                     continue
@@ -119,7 +140,11 @@ class ItemBlock:
                 start = start[start + span <= len(s)]
                 if not len(start):
                     continue
-                prints = self.packed(run[start + span] - run[start])
+                sums = run[start + span] - run[start]
+                inside = again - before < span
+                if inside.any():
+                    sums -= self.repeated(signed, again[inside], before[inside], span)[start]
+                prints = self.packed(sums)
                 for k, item in self.within_radius(prints, length):
                     window = np.unique(s[start[k] : start[k] + span])
                     mine = self.sets[item]

@@ -244,6 +244,41 @@ def test_decontamination(spark, docs, texts):
     assert got == want and want and block.ids
 
 
+def test_copies_of_items_that_repeat_shingles_are_found():
+    rng = random.Random(4)
+
+    def some(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    items, copies = [], []
+    for refrain, times, others in [(12, 10, 60), (9, 20, 60), (14, 6, 40)] * 8:
+        chorus = some(refrain)
+        words = [w for _ in range(times) for w in chorus + some(others // times)]
+        items.append((len(items), " ".join(words)))
+        copies.append(" ".join(chorus * 2 + some(20) + words + chorus + some(7)))
+    # wording that three items share gives weights that are not powers of two
+    items += [(len(items) + k, " ".join(f"w{x}" for x in range(30)) + " " + " ".join(some(9))) for k in range(3)]
+    copies += [t for _, t in items[-3:]]
+    block = decontaminate.ItemBlock(items, 5, 15)
+    exact = decontaminate.ItemBlock(items, 5, 0)  # a verbatim copy has the very fingerprint
+    for k, text in enumerate(copies):
+        for b in (block, exact):
+            assert (k, 1.0) in [(i, v) for i, _, v in b.find(text, 0.8)]
+
+
+def test_window_fingerprints_count_each_shingle_once():
+    rng = np.random.default_rng(6)
+    block = decontaminate.ItemBlock([(1, "a b c d e f g")], 5, 15)
+    s = rng.integers(0, 9, 80).astype(np.uint64)
+    signed = block.signs(s).astype(np.float64)
+    for span in (1, 2, 7, 30, 80):
+        again, before = block.repeats(s)
+        inside = again - before < span
+        extra = block.repeated(signed, again[inside], before[inside], span)
+        for k in range(len(s) - span + 1):
+            assert (signed[k : k + span].sum(axis=0) - extra[k] == block.signs(np.unique(s[k : k + span])).sum(axis=0)).all()
+
+
 def test_simhash_blocks_miss_nothing_within_the_radius():
     rng = np.random.default_rng(3)
     block = decontaminate.ItemBlock([(k, " ".join(f"w{x}" for x in rng.integers(0, 99, 20))) for k in range(30)], 5, 15)
