@@ -2,11 +2,12 @@
 
 Benchmark items are the queries, all documents the data: the items travel in
 blocks of bounded size, and every document is read against each block. Windows
-of an item's own length in words get a 64-bit SimHash of their weighted word
-shingles, each distinct one once, as the items do. Fingerprints within the Hamming radius are found by cutting both
-into blocks of bits: of BLOCKS blocks at least one differs in at most
-radius // BLOCKS bits. What is found is compared exactly by weighted Jaccard
-similarity of the shingles.
+of an item's own length in words get a 64-bit SimHash of their word shingles,
+each distinct one once, as the items do. Fingerprints within the Hamming radius
+are found by cutting both into blocks of bits: of BLOCKS blocks at least one
+differs in at most radius // BLOCKS bits. What is found is compared exactly by
+Jaccard similarity of the shingles, which depends on the item and the document
+alone and not on what else the benchmark or its block holds.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def plain_words(hasher: WordHasher, text) -> np.ndarray:
 
 
 class ItemBlock:
-    """Some items: their shingles, weights and fingerprints with block tables."""
+    """Some items: their shingles and fingerprints with block tables."""
 
     def __init__(self, items: list[tuple[int, str]], shingle: int, radius: int) -> None:
         self.shingle, self.radius = shingle, radius
@@ -46,30 +47,21 @@ class ItemBlock:
         self.sets = [np.unique(shingles(w, shingle)) for _, w in words]
         every = np.concatenate(self.sets) if self.sets else np.empty(0, dtype=np.uint64)
         self.known, df = np.unique(every, return_counts=True)
-        # weights use the block's items only as a mild down-weighting of wording that items share;
-        # powers of two add up exactly, in whatever order, so that equal sets have equal fingerprints
-        self.weight = 0.5 ** np.floor(np.log2(df))
         owner = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
         order = np.argsort(every, kind="stable")
         self.owners, self.owner_at = owner[order], np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
         self.sizes = sorted(set(np.minimum(self.length, shingle).tolist()))
-        self.print = np.array([self.simhash(s, self.weights(s)) for s in self.sets], dtype=np.uint64)
+        self.print = np.array([self.simhash(s) for s in self.sets], dtype=np.uint64)
         self.tables = self.block_tables()
 
-    def weights(self, s: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.ones(len(s))
-        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
-        return np.where(self.known[at] == s, self.weight[at], 1.0)
-
     @staticmethod
     def signs(s: np.ndarray) -> np.ndarray:
         bits = np.unpackbits(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).view(np.uint8).reshape(-1, 8), axis=1)
-        return bits.astype(np.float32) * 2 - 1
+        return bits.astype(np.int32) * 2 - 1
 
     @classmethod
-    def simhash(cls, s: np.ndarray, w: np.ndarray) -> np.uint64:
-        return cls.packed((cls.signs(s) * w[:, None].astype(np.float32)).sum(axis=0)[None, :])[0]
+    def simhash(cls, s: np.ndarray) -> np.uint64:
+        return cls.packed(cls.signs(s).sum(axis=0)[None, :])[0]
 
     @staticmethod
     def packed(sums: np.ndarray) -> np.ndarray:
@@ -125,8 +117,8 @@ class ItemBlock:
                 near = {int(o) for k in np.unique(at[hit]) for o in self.owners[self.owner_at[k] : self.owner_at[k + 1]]}
                 by_size[size] = (s, np.flatnonzero(hit), near)
         for size, (s, hit, near) in by_size.items():
-            signed = self.signs(s) * self.weights(s)[:, None]
-            run = np.concatenate([np.zeros((1, 64), dtype=np.float64), np.cumsum(signed, axis=0)])
+            signed = self.signs(s)
+            run = np.concatenate([np.zeros((1, 64), dtype=np.int32), np.cumsum(signed, axis=0, dtype=np.int32)])
             again, before = self.repeats(s)
             for length in {int(self.length[i]) for i in near}:
                 if min(length, self.shingle) != size:
@@ -149,8 +141,7 @@ class ItemBlock:
                     window = np.unique(s[start[k] : start[k] + span])
                     mine = self.sets[item]
                     shared = np.intersect1d(window, mine, assume_unique=True)
-                    both = self.weights(shared).sum()
-                    score = both / (self.weights(window).sum() + self.weights(mine).sum() - both)
+                    score = len(shared) / (len(window) + len(mine) - len(shared))
                     if score >= similarity and score > best.get(item, (-1, 0))[1] + 1e-12:
                         best[item] = (int(start[k]), float(score))
         return [(self.ids[i], p, v) for i, (p, v) in sorted(best.items())]
@@ -199,11 +190,11 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, similarity: float
     """One row per document and item of which it holds a passage: key,
     item_id, at_word (first word of the best window), similarity.
 
-    Words are lower-cased runs of letters, digits and non-ASCII characters. A
-    shingle's weight is 1 over the number of the block's items that have it (1
-    if none has). Items or documents of fewer than ``shingle`` words count as
-    one shingle, null or empty ones match nothing; a document shorter than an
-    item is one window. Of equally similar windows the first counts. A row
+    Words are lower-cased runs of letters, digits and non-ASCII characters. The
+    similarity is the Jaccard similarity of the sets of shingles of item and
+    window. Items or documents of fewer than ``shingle`` words count as one
+    shingle, null or empty ones match nothing; a document shorter than an item
+    is one window. Of equally similar windows the first counts. A row
     that repeats a key gives its own rows. Empty tables give an empty result,
     other columns are ignored. The items are read in blocks of bounded size,
     each sent to the executors with one pass over the documents.

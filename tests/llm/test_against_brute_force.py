@@ -256,7 +256,7 @@ def test_copies_of_items_that_repeat_shingles_are_found():
         words = [w for _ in range(times) for w in chorus + some(others // times)]
         items.append((len(items), " ".join(words)))
         copies.append(" ".join(chorus * 2 + some(20) + words + chorus + some(7)))
-    # wording that three items share gives weights that are not powers of two
+    # three items that share most of their wording
     items += [(len(items) + k, " ".join(f"w{x}" for x in range(30)) + " " + " ".join(some(9))) for k in range(3)]
     copies += [t for _, t in items[-3:]]
     block = decontaminate.ItemBlock(items, 5, 15)
@@ -266,6 +266,22 @@ def test_copies_of_items_that_repeat_shingles_are_found():
             assert (k, 1.0) in [(i, v) for i, _, v in b.find(text, 0.8)]
 
 
+def test_items_that_share_wording_are_found_whatever_the_blocks(spark, monkeypatch):
+    def same(ks, n):
+        return [(k, " ".join(f"t{ks[0]}w{x}" for x in range(n))) for k in ks]
+
+    items = same(range(10), 104) + same(range(10, 12), 54) + same(range(12, 17), 104)
+    # ten ids share the first text, two the second, five the third: one word changed leaves 0.905, 0.818 and 0.905
+    copies = [(k, t.replace(word, "other")) for k, (_, t), word in
+              [(0, items[0], "t0w50"), (1, items[10], "t10w20"), (2, items[12], "t12w70")]]
+    docs, table = (spark.createDataFrame(x, f"{name} long, text string") for x, name in ((copies, "doc_id"), (items, "item_id")))
+    want = {(d, i): s for d, ids, s in [(0, range(10), 95 / 105), (1, range(10, 12), 45 / 55), (2, range(12, 17), 95 / 105)] for i in ids}
+    for size in (20_000, 3):
+        monkeypatch.setattr(decontaminate, "ITEMS_PER_BLOCK", size)
+        got = decontaminate.find_passages(docs, table).collect()
+        assert {(r.doc_id, r.item_id): r.similarity for r in got} == pytest.approx(want) and len(got) == len(want)
+
+
 def test_window_fingerprints_count_each_shingle_once():
     rng = np.random.default_rng(6)
     block = decontaminate.ItemBlock([(1, "a b c d e f g")], 5, 15)
