@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from retail_insight.llm import decontaminate, jaccard_join, line_dedup, quality, source_mix
@@ -49,13 +50,32 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with ``copies``, how often, and
-    ``taken``, the words that they give it."""
-    sized, aims = source_mix.size_and_aim(docs)
-    taken = (materialize(source_mix.mix(sized, aims)).where("copies > 0 and id is not null")
-             .groupBy(F.col("id").alias("_id")).agg(F.max("copies").alias("copies"), F.max(F.col("copies") * F.col("size")).alias("taken")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("copies", "taken")]).alias("_row"))
-    return rows.join(taken, F.col("_row.doc_id") == F.col("_id")).select("_row.*", "copies", "taken")
+    """The rows that the mix takes, each with its own ``copies``, how often,
+    and ``taken``, the words that they give it. A row without doc_id takes
+    part under a hash of its columns. Rows that agree in doc_id, source and
+    words share their copies, those of the least hash taking what is left
+    over."""
+    every = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("copies", "taken")]).alias("_row"), every.alias("_hash"),
+                       F.coalesce("doc_id", every).alias("_id"), F.col("source").alias("_source"), source_mix.n_words("text").alias("_size"))
+    sized, aims = source_mix.size_and_aim(docs.select(F.coalesce("doc_id", every).alias("doc_id"), "source", "text"))
+    groups = materialize(source_mix.mix(sized, aims).groupBy("id", "source", "size")
+                         .agg(F.sum("copies").alias("_n"), F.count(F.lit(1)).alias("_rows")).where("_n > 0"))
+
+    def of(some: DataFrame) -> DataFrame:
+        return rows.join(some, (F.col("_id") == F.col("id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size")))
+
+    def out(found: DataFrame, copies) -> DataFrame:
+        return found.withColumn("copies", copies).where("copies > 0").select("_row.*", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+
+    share = F.floor(F.col("_n") / F.col("_rows"))
+    result = out(of(groups.where("_n % _rows = 0")), share)
+    # only a group at which the mix is cut, at most one for each source and round, has copies left over
+    uneven = groups.where("_n % _rows != 0")
+    if not uneven.isEmpty():
+        nth = F.row_number().over(W.partitionBy("_id", "_source", "_size").orderBy("_hash"))
+        result = result.unionByName(out(of(uneven), share + (nth <= F.col("_n") % F.col("_rows")).cast("long")))
+    return result
 
 
 STAGES = [

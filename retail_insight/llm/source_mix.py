@@ -9,7 +9,7 @@ source is served at the pace of its target.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retail_insight.llm.running import running_total
@@ -93,13 +93,17 @@ def mix(sized: DataFrame, aims: DataFrame, repeats: int = REPEATS, seed: int = S
         (F.floor(F.col("_n") / F.col("_rows")) + (F.col("_row") <= F.col("_n") % F.col("_rows")).cast("long")).alias("copies"))
 
 
+def n_words(text: str) -> Column:
+    """Words of a text column; a null text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def size_and_aim(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
                  repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:
     """(id, source, size) of each document and (source, source_size, weight,
     target) of each source. Words are runs of anything but space and
     \\x09-\\x0D; a null text has none. A null source is a source of its own."""
-    sized = materialize(documents.select(F.col("doc_id").alias("id"), "source", F.coalesce(
-        F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    sized = materialize(documents.select(F.col("doc_id").alias("id"), "source", n_words("text").alias("size")))
     per_source = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     weighted = cyclic_weights(per_source, weights).select(F.col("source").alias("_s"), "weight")
     sources = materialize(per_source.join(weighted, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))

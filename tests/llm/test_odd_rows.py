@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 
 from retail_insight.llm import (
@@ -119,3 +122,34 @@ def test_pipeline_stages(spark, odd, nothing, tmp_path):
         assert pipeline.mix_stage(spark, table, "").columns == [*docs.columns, "copies", "taken"]
     kept = [r.doc_id for r in pipeline.line_stage(spark, docs, "").collect()]
     assert 6 not in kept and {1, 2, 3, 4, 5, None} <= set(kept)
+
+
+def test_mix_stage_gives_every_row_its_own_share(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    rows = [(None if k % 3 == 0 else k // 4, " ".join(f"w{k}x{j}" for j in range(rng.choice([0, 3, 3, 3, 9, 40]))),
+             rng.choice(["a", "a", "b", "c", None])) for k in range(400)]
+    rows += [(None, "the same row again", "a")] * 60 + [(900, f"other {k} words", "b") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in pipeline.mix_stage(spark, docs, "").collect()]
+    assert not Counter(r[:3] for r in got) - Counter(rows)  # no row comes twice
+    assert all(taken == copies * len(text.split()) and copies in (1, 2) for _, text, _, copies, taken in got)
+    assert any(r[0] is None for r in got)
+    # the words that the mix charges to each source are in the result, up to one row of what was aimed at
+    _, aims = source_mix.size_and_aim(docs)
+    for aim in aims.collect():
+        assert abs(sum(r[4] for r in got if r[2] == aim.source) - aim.target) <= 2 * 40
+    again = pipeline.mix_stage(spark, docs.repartition(5, "text"), "").collect()
+    assert Counter(map(tuple, again)) == Counter(got)
+
+
+def test_mix_stage_deals_out_the_copies_of_a_group_that_is_cut(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, f"some words here {k}", "a") for k in range(5)] + [(None, "one two three four", "b")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in pipeline.mix_stage(spark, docs, "").collect()]
+    copies = {s: sorted(r[3] for r in got if r[2] == s) for s in "ab"}
+    # 60 words are aimed at: source a stops at its 40, b gets 20
+    assert copies == {"a": [2] * 5, "b": [1] * 5}
+    got = [tuple(r) for r in pipeline.mix_stage(spark, docs.where("source = 'a'"), "").collect()]
+    assert sorted(r[3] for r in got) == [1, 1, 1, 2, 2] and len({r[1] for r in got}) == 5
