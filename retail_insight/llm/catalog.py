@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from retail_insight.llm import decontaminate, fingerprints, jaccard_join, license_scan, line_dedup, lm_score, quality, secret_scan, source_mix, token_counts
+from retail_insight.llm import (
+    decontaminate, fingerprints, hard_negatives, jaccard_join, license_scan, line_dedup, lm_score, quality, secret_scan, source_mix, token_align,
+    token_counts, topk_search,
+)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,8 +18,13 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op10_lm_scores": lm_score.op10_lm_scores,
     "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op11_token_alignment": token_align.op11_token_alignment,
+    "op12_topk_search": topk_search.op12_topk_search,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
     "op4_license_scan": license_scan.oracle(),
+    "op12_topk_search": topk_search.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
