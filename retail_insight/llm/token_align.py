@@ -17,6 +17,7 @@ import hashlib
 import json
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,12 @@ BLOCK_CHARS = 8_000_000
 #: Groups of more links than this are counted by their distinct ids.
 WIDE = 256
 
+#: Distinct words, and their characters, whose tokens a task keeps.
+MEMO_WORDS = 400_000
+MEMO_CHARS = 16_000_000
+
 _GAP = re.compile(r"(?<=\S) (?=\S)")
+_OTHER_GAP = re.compile(r"(?<!\S) | (?!\S)")
 
 
 class Tokenizers:
@@ -66,6 +72,7 @@ class Tokenizers:
         texts = [f"{k}{end}" for ids, ends in ((n, ",|"), (m, ",;")) for end in ends for k in range(ids)]
         self.written = np.array([t.encode() for t in texts], dtype=object)
         self.written_from = (0, n, 2 * n, 2 * n + m)
+        self._forget()
 
     def parts(self, text: str) -> list[str]:
         """The text in parts that the tokenizers treat alone as within it; a
@@ -81,17 +88,53 @@ class Tokenizers:
             at = gap.end()
         return [*out, text[at:]]
 
+    def words(self, text: str) -> list[str]:
+        """The runs between single spaces; both tokenizers treat each, behind
+        a space, alone as within the text."""
+        if not self.cuts:
+            return [text]
+        return _GAP.split(text) if _OTHER_GAP.search(text) else text.split(" ")
+
     def encode(self, texts: list[str]):
-        """(a ids, b ids) of each text, or None where the bytes of either
-        differ from those of a space and the text."""
-        a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
+        """Tokens of A, how many each text has, the same of B, and whether both
+        sides' bytes are those of a space and the text (if not: no tokens).
+        Each distinct word is tokenized once and remembered."""
+        words = [self.words(t) for t in texts]
+        many = np.array([len(w) for w in words], dtype=np.int64)
+        flat = [w for ws in words for w in ws]
+        if len(self.memo) > MEMO_WORDS or self.memo_chars > MEMO_CHARS:
+            self._forget()
+        new = [w for w in dict.fromkeys(flat) if w not in self.memo]
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(self.memo.__getitem__, flat), dtype=np.int64, count=len(flat))
+        same = np.logical_and.reduceat(self.same[number], np.cumsum(many) - many)
+        number = number[np.repeat(same, many)]
+        text = np.repeat(np.arange(len(texts)), np.where(same, many, 0))
         out = []
-        for t, x, y in zip(texts, a, b, strict=True):
-            raw = b" " + t.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, x)) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw
-            out.append((x, y) if same else None)
-        return out
+        for ids, cut in ((self.a_ids, self.a_cut), (self.b_ids, self.b_cut)):
+            size = cut[number + 1] - cut[number]
+            out.append(ids[np.arange(size.sum()) + np.repeat(cut[number] - (np.cumsum(size) - size), size)])
+            out.append(np.bincount(text, weights=size, minlength=len(texts)).astype(np.int64))
+        return *out, same
+
+    def _forget(self) -> None:
+        self.memo, self.memo_chars, self.same = {}, 0, np.empty(0, dtype=bool)
+        self.a_ids = self.b_ids = np.empty(0, dtype=np.int64)
+        self.a_cut = self.b_cut = np.zeros(1, dtype=np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        a = [x.ids for x in self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False)]
+        b = self.b.encode(new, num_threads=1)
+        raw = [b" " + w.encode() for w in new]
+        same = [b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, w in zip(a, b, raw, strict=True)]
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
+        self.memo_chars += sum(map(len, new))
+        self.same = np.concatenate([self.same, same])
+        for side, ids in (("a", a), ("b", b)):
+            old, cut = getattr(self, f"{side}_ids"), getattr(self, f"{side}_cut")
+            setattr(self, f"{side}_ids", np.concatenate([old, np.fromiter(chain.from_iterable(ids), dtype=np.int64)]))
+            setattr(self, f"{side}_cut", np.concatenate([cut, cut[-1] + np.cumsum([len(x) for x in ids])]))
 
 
 def coalesce(a_start, a_end, b_start, b_end):
@@ -155,14 +198,12 @@ class _Texts:
 
     def add(self, tok: Tokenizers, texts: list[str], owner: list[int]) -> None:
         """Align parts of texts; owner: the text of each, ascending."""
-        encoded = tok.encode(texts)
-        self.bad[[k for k, x in zip(owner, encoded, strict=True) if x is None]] = True
-        good = [(k, *x) for k, x in zip(owner, encoded, strict=True) if x is not None and x[0]]
-        if not good:
+        a, a_many, b, b_many, same = tok.encode(texts)
+        text = np.array(owner, dtype=np.int64)
+        self.bad[text[~same]] = True
+        if not len(a):
             return
-        text = np.array([k for k, _, _ in good], dtype=np.int64)
-        a_many, b_many = (np.array([len(x[i]) for x in good], dtype=np.int64) for i in (1, 2))
-        a, b = (np.concatenate([np.array(x[i], dtype=np.int64) for x in good]) for i in (1, 2))
+        text, a_many, b_many = text[same], a_many[same], b_many[same]
         # parts whose bytes are those of their texts lie end to end on both sides
         a_end, b_end = np.cumsum(tok.a_size[a]), np.cumsum(tok.b_size[b])
         a_group, b_group = coalesce(a_end - tok.a_size[a], a_end, b_end - tok.b_size[b], b_end)
