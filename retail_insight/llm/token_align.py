@@ -17,7 +17,6 @@ import hashlib
 import json
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -124,17 +123,44 @@ class Tokenizers:
         self.a_cut = self.b_cut = np.zeros(1, dtype=np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        a = [x.ids for x in self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False)]
-        b = self.b.encode(new, num_threads=1)
-        raw = [b" " + w.encode() for w in new]
-        same = [b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, w in zip(a, b, raw, strict=True)]
         self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
         self.memo_chars += sum(map(len, new))
-        self.same = np.concatenate([self.same, same])
-        for side, ids in (("a", a), ("b", b)):
-            old, cut = getattr(self, f"{side}_ids"), getattr(self, f"{side}_cut")
-            setattr(self, f"{side}_ids", np.concatenate([old, np.fromiter(chain.from_iterable(ids), dtype=np.int64)]))
-            setattr(self, f"{side}_cut", np.concatenate([cut, cut[-1] + np.cumsum([len(x) for x in ids])]))
+        found, at = [(self.a_ids, self.a_cut, self.b_ids, self.b_cut, self.same)], 0
+        while at < len(new):
+            stop, room = at + 1, len(new[at])
+            while stop < len(new) and room + len(new[stop]) < PART_CHARS // 4:
+                room += len(new[stop]) + 1
+                stop += 1
+            found += self._together(new[at:stop])
+            at = stop
+        ids = [[f[k] for f in found] for k in (0, 2)]
+        cuts = [[f[k][1:] + sum(map(len, some[:n])) for n, f in enumerate(found)] for k, some in zip((1, 3), ids, strict=True)]
+        (self.a_ids, self.b_ids), (self.a_cut, self.b_cut) = map(np.concatenate, ids), (np.concatenate([[0], *c]) for c in cuts)
+        self.same = np.concatenate([f[4] for f in found])
+
+    def _together(self, words: list[str]) -> list:
+        """Each word's tokens, from one text of all words; one by one where
+        that text does not come back as its bytes with tokens that end at each
+        word's end."""
+        text = " ".join(words)
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b = self.b.encode([text], num_threads=1)[0]
+        raw = b" " + text.encode()
+        same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        cuts = []
+        if same:
+            ends = np.cumsum([len(w.encode()) + 1 for w in words])
+            for size, ids in ((self.a_size, a), (self.b_size, b)):
+                upto = np.cumsum(size[ids])
+                at = np.searchsorted(upto, ends)
+                same = same and bool((upto[at] == ends).all())
+                cuts.append(np.concatenate([[0], at + 1]))
+        if same or len(words) == 1:
+            one = np.array([0, len(a)]), np.array([0, len(b)])
+            return [(a, cuts[0], b, cuts[1], np.ones(len(words), dtype=bool)) if same else (a, one[0], b, one[1], np.zeros(1, dtype=bool))]
+        half = len(words) // 2
+        return self._together(words[:half]) + self._together(words[half:])
 
 
 def coalesce(a_start, a_end, b_start, b_end):
