@@ -10,7 +10,7 @@ every non-negative span; callers clip negative spans anyway.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
@@ -24,6 +24,17 @@ DATE_LAYOUTS = (
     (r"^\d{1,2}\.\d{1,2}\.\d{4}", ("d.M.yyyy H:mm", "d.M.yyyy")),
 )
 
+# The layouts of a column of dates, by name, in the order that
+# settles ties (month before day).
+COLUMN_LAYOUTS = {
+    "iso": DATE_LAYOUTS[0],
+    "year/month/day": DATE_LAYOUTS[1],
+    "month/day/year": DATE_LAYOUTS[2],
+    "day/month/year": (r"^\d{1,2}/\d{1,2}/\d{4}", ("d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy")),
+    "day.month.year": (r"^\d{1,2}\.\d{1,2}\.\d{4}", ("d.M.yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy")),
+    "day-month-year": (r"^\d{1,2}-\d{1,2}-\d{4}", ("d-M-yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy")),
+}
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -61,3 +72,27 @@ def parse_timestamp(c, dtype=None, layouts=DATE_LAYOUTS) -> Column:
         fits = s.rlike(shape)
         tries += [F.when(fits, F.try_to_timestamp(s, F.lit(fmt))).cast("timestamp_ntz") for fmt in fmts]
     return F.coalesce(*tries)
+
+
+def parse_in_layout(c, layout: str) -> Column:
+    """Values of one of COLUMN_LAYOUTS as ``timestamp_ntz``; others are null."""
+    s = F.trim(_col(c).cast("string"))
+    shape, fmts = COLUMN_LAYOUTS[layout]
+    tries = [s.try_cast("timestamp_ntz")] if layout == "iso" else []
+    tries += [F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz") for fmt in fmts]
+    return F.when(s.rlike(shape), F.coalesce(*tries))
+
+
+def elect_layout(df: DataFrame, column: str) -> str | None:
+    """The layout that most values of a column of dates have, for all of them.
+
+    One aggregate counts, for each of COLUMN_LAYOUTS, the values that it can
+    read. The most readable layout wins; where day and month may change places
+    in every value (no day after the 12th) the counts tie, and the earlier name,
+    month before day, is taken. None if ``column`` is not text.
+    """
+    if not isinstance(df.schema[column].dataType, StringType):
+        return None
+    c = F.col(f"`{column}`")
+    row = df.agg(*[F.count(parse_in_layout(c, name)).alias(f"n{i}") for i, name in enumerate(COLUMN_LAYOUTS)]).first()
+    return max(enumerate(COLUMN_LAYOUTS), key=lambda x: (row[x[0]], -x[0]))[1]

@@ -226,10 +226,23 @@ def revenue_share(summary: DataFrame) -> DataFrame:
     return summary.select("Segment", "TotalRevenue", "RevenueSharePct", "CustomerSharePct")
 
 
+#: Rows up to which a caller's playbook table is broadcast.
+MAX_BROADCAST_PLAYBOOKS = 1000
+
+
 def enrich_with_playbook(customers: DataFrame, playbooks: DataFrame | None = None) -> DataFrame:
     """Objective, channel, promotion, first action, email subject and CTA
-    of the customer's segment ('' when the segment has no playbook)."""
-    pb = playbooks if playbooks is not None else playbook_table(customers.sparkSession)
+    of the customer's segment ('' when the segment has no playbook). A table
+    of the caller's must name each segment once; it is only broadcast if it is
+    as small as such tables are."""
+    pb, small = playbooks, False
+    if pb is None:
+        pb, small = playbook_table(customers.sparkSession), True   # a row for each of seven segments
+    else:
+        seen = pb.agg(F.count("Segment").alias("n"), F.count_distinct("Segment").alias("segments")).first()
+        if seen["n"] != seen["segments"]:
+            raise ValueError("the playbook table names a segment more than once")
+        small = seen["n"] <= MAX_BROADCAST_PLAYBOOKS
     cols = pb.select(
         F.col("Segment").alias("__pb_seg"),
         F.col("objective").alias("Strategic_Objective"),
@@ -239,8 +252,7 @@ def enrich_with_playbook(customers: DataFrame, playbooks: DataFrame | None = Non
         F.col("campaign_template.subject").alias("Campaign_Email_Subject"),
         F.col("campaign_template.cta").alias("Campaign_CTA"),
     )
-    # The playbook table has one row per segment (a handful): broadcast.
-    j = customers.join(F.broadcast(cols), F.col("Segment") == F.col("__pb_seg"), "left").drop("__pb_seg")
+    j = customers.join(F.broadcast(cols) if small else cols, F.col("Segment") == F.col("__pb_seg"), "left").drop("__pb_seg")
     fill = {c: "" for c in ("Strategic_Objective", "Recommended_Channel", "Recommended_Promotion",
                             "Primary_Action_Item", "Campaign_Email_Subject", "Campaign_CTA")}
     return j.fillna(fill)

@@ -102,6 +102,14 @@ def canonical_cluster_names(pred: DataFrame, prediction_col: str = "prediction",
     return pred.join(F.broadcast(names), prediction_col, "inner")
 
 
+def cluster_order(pred: DataFrame, prediction_col: str = "prediction", order_col: str = "Monetary") -> dict[int, int]:
+    """The place (from 1) of each cluster number in canonical order."""
+    rows = pred.groupBy(prediction_col).agg((F.sum(micros(order_col)).cast("double") / F.count(F.lit(1))).alias("m"),
+                                            F.count(F.lit(1)).alias("n")).collect()   # one row for each cluster
+    ranked = sorted(rows, key=lambda r: (-r["m"], -r["n"], r[prediction_col]))
+    return {r[prediction_col]: i + 1 for i, r in enumerate(ranked)}
+
+
 def cluster_profile(clustered: DataFrame, cluster_col: str = "ML_Cluster") -> DataFrame:
     """Per cluster: count, revenue, mean R/F/M/T/AOV, customer and revenue
     shares (1 dp)."""

@@ -18,6 +18,8 @@ transactions are read once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from retail_insight.functions.numeric import half_even
 from retail_insight.session import materialize
 
 DISPLAY_COLUMNS = 13  # Fixed value: month 0 .. month 12 when all are observed
+WORD_MONTHS = 60      # months that share one bigint of a state; below 63, as signs are in the way
 
 
 def customer_months(tx: DataFrame) -> DataFrame:
@@ -43,7 +46,42 @@ def customer_months(tx: DataFrame) -> DataFrame:
 def cohort_retention(tx: DataFrame) -> DataFrame:
     """Long-form retention triangle, all observed cells."""
     cm = customer_months(tx)
-    cells = cm.groupBy("CohortStart", "CohortIndex").agg(F.count(F.lit(1)).alias("ActiveCustomers"))
+    return _triangle(cm.groupBy("CohortStart", "CohortIndex").agg(F.count(F.lit(1)).alias("ActiveCustomers")))
+
+
+def cohort_state(tx: DataFrame) -> DataFrame:
+    """What cohorts need to know of some lines: (CustomerID, Word, Months), a
+    bit for each month of a five-year span (``Word``) in which the customer
+    bought. One small row for each customer and span, from one aggregate with
+    map-side partial results; :func:`merge_cohort_states` adds later files."""
+    month = (F.year("PurchaseDate") - 1970) * 12 + F.month("PurchaseDate") - 1
+    seen = (tx.where(F.col("CustomerID").isNotNull() & F.col("PurchaseDate").isNotNull())
+            .select("CustomerID", F.floor(month / WORD_MONTHS).cast("int").alias("Word"), F.pmod(month, F.lit(WORD_MONTHS)).alias("__bit")))
+    return seen.groupBy("CustomerID", "Word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("Months"))
+
+
+def merge_cohort_states(*states: DataFrame) -> DataFrame:
+    """One state of several. Bits are joined with OR, so lines that are in more
+    than one state, files in any order and late lines of earlier months all
+    come out right."""
+    every = reduce(DataFrame.unionByName, states)
+    return every.groupBy("CustomerID", "Word").agg(F.bit_or("Months").alias("Months"))
+
+
+def retention_of_state(state: DataFrame) -> DataFrame:
+    """The retention triangle (as :func:`cohort_retention`) of a state."""
+    lowest = F.bit_count(F.col("Months").bitwiseAND(-F.col("Months")) - 1)
+    first = F.min(F.col("Word") * WORD_MONTHS + lowest).over(Window.partitionBy("CustomerID"))  # a row for each five years
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD_MONTHS - 1)), lambda i: F.call_function("shiftright", F.col("Months"), i).bitwiseAND(1) == 1)
+    months = state.withColumn("__first", first).select("__first", "Word", F.explode(bits).alias("__bit"))
+    start = F.make_date(1970 + F.floor(F.col("__first") / 12).cast("int"), F.pmod(F.col("__first"), F.lit(12)) + 1, F.lit(1))
+    index = F.col("Word") * WORD_MONTHS + F.col("__bit") - F.col("__first")
+    cells = months.groupBy("__first", index.alias("CohortIndex")).agg(F.count(F.lit(1)).alias("ActiveCustomers"))
+    return _triangle(cells.select(start.alias("CohortStart"), "CohortIndex", "ActiveCustomers"))
+
+
+def _triangle(cells: DataFrame) -> DataFrame:
+    """Sizes and percentages of (CohortStart, CohortIndex, ActiveCustomers)."""
     # cells has at most (#months)^2 rows, so the window runs over a table
     # bounded by the calendar span, not by the data volume.
     size = F.max(F.when(F.col("CohortIndex") == 0, F.col("ActiveCustomers"))) \

@@ -14,6 +14,7 @@ row per map task, and there is no join and no second scan.
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,9 +62,14 @@ def _customer_aggregate(tx: DataFrame, item: str, weight: str) -> DataFrame:
     """Per-customer totals plus the top ``item`` by ``weight`` ("spend" or
     "quantity"), from one grouping-sets aggregate and one customer
     aggregate."""
+    return _customer_totals(_invoice_and_item_rows(tx, item), item, weight)
+
+
+def _invoice_and_item_rows(tx: DataFrame, item: str) -> DataFrame:
+    """A row for each invoice and one for each ``item`` of a customer."""
     sets = tx.groupingSets([["CustomerID", "InvoiceNo"], ["CustomerID", item]],
                            "CustomerID", "InvoiceNo", item)
-    g = sets.agg(
+    return sets.agg(
         F.grouping("InvoiceNo").alias("__is_item"),
         F.min("PurchaseDate").alias("__first"),
         F.max("PurchaseDate").alias("__last"),
@@ -71,6 +77,33 @@ def _customer_aggregate(tx: DataFrame, item: str, weight: str) -> DataFrame:
         F.sum("Quantity").alias("__qty"),
         F.count("InvoiceNo").alias("__lines"),
     )
+
+
+def customer_state(tx: DataFrame) -> DataFrame:
+    """What customer features need to know of some canonical lines: each
+    customer's invoices and categories with their sums and first and last
+    dates. Keep it (:func:`retail_insight.sources.sinks.write_parquet`) and add
+    later lines with :func:`merge_customer_states`; the lines themselves need
+    not be read again."""
+    return _invoice_and_item_rows(tx, "ProductCategory")
+
+
+def merge_customer_states(*states: DataFrame) -> DataFrame:
+    """One state of several whose lines do not overlap. An invoice that goes on
+    in later lines is one invoice; sums are exact, so the order and number of
+    parts do not matter. One aggregate with map-side partial results."""
+    every = reduce(DataFrame.unionByName, states)
+    return every.groupBy("CustomerID", "InvoiceNo", "ProductCategory", "__is_item").agg(
+        F.min("__first").alias("__first"), F.max("__last").alias("__last"), F.sum("__micros").cast("decimal(38,0)").alias("__micros"),
+        F.sum("__qty").alias("__qty"), F.sum("__lines").alias("__lines"))
+
+
+def features_of_state(state: DataFrame, snapshot_date=None, with_top_category: bool = True) -> DataFrame:
+    """The customer table (as :func:`compute_rfmt`) of a state."""
+    return _rfmt(_customer_totals(state, "ProductCategory", "spend"), None, snapshot_date, with_top_category)
+
+
+def _customer_totals(g: DataFrame, item: str, weight: str) -> DataFrame:
     inv_row = F.col("__is_item") == 0
     item_row = F.col("__is_item") == 1
     w = F.col("__micros") if weight == "spend" else F.col("__qty")
@@ -111,7 +144,10 @@ def compute_rfmt(tx: DataFrame, snapshot_date=None, with_top_category: bool = Tr
     name; lines without a category count for none). ``snapshot_date``: None (latest purchase + 1 day), a date /
     datetime / ISO string, or a timestamp Column.
     """
-    agg = _customer_aggregate(tx, "ProductCategory", "spend")
+    return _rfmt(_customer_aggregate(tx, "ProductCategory", "spend"), tx, snapshot_date, with_top_category)
+
+
+def _rfmt(agg: DataFrame, tx: DataFrame | None, snapshot_date, with_top_category: bool) -> DataFrame:
     agg, snap = _with_snapshot(tx, agg, snapshot_date)
     monetary = half_even(F.col("__spend"), 2)
     cols = [

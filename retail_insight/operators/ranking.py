@@ -26,11 +26,13 @@ and never meets in one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retail_insight.operators.selection import order_statistics
 from retail_insight.session import ensure_checkpoint_dir
 
 _POS = "__ri_pos"
@@ -95,26 +97,21 @@ def distributed_rank(df: DataFrame, order_by: Sequence, tie_breaker: str | Seque
 
 def exact_quantile(df: DataFrame, value_col: str, q: float, tie_breaker: str) -> Column:
     """Exact ``q``-quantile of ``value_col`` with linear interpolation
-    (pandas' default), as a scalar-subquery Column.
+    (pandas' default) as a literal; null where there are no values.
 
-    Ranks the values with :func:`distributed_rank` and reads the two order
-    statistics around position ``(n - 1) * q``; no task sees more than one
-    range partition of the values.
+    The two order statistics around position ``(n - 1) * q`` are found by
+    :func:`order_statistics`, without a sort of the values.
     """
     vals = df.select(value_col, tie_breaker).where(F.col(value_col).isNotNull())
-    ranked = distributed_rank(vals, [value_col], tie_breaker, rank_col="__q_r", total_col="__q_n")
-    pos = (F.col("__q_n") - F.lit(1)) * F.lit(float(q))
-    lo = F.floor(pos) + F.lit(1)
-    hi = F.ceil(pos) + F.lit(1)
-    frac = pos - F.floor(pos)
-    picked = ranked.where((F.col("__q_r") == lo) | (F.col("__q_r") == hi))
-    agg = picked.agg(
-        F.max(F.when(F.col("__q_r") == lo, F.col(value_col))).alias("lo_v"),
-        F.max(F.when(F.col("__q_r") == hi, F.col(value_col))).alias("hi_v"),
-        F.max(frac).alias("frac"))
-    a, b, t = F.col("lo_v"), F.col("hi_v"), F.col("frac")
+
+    def around(n: int) -> list[int]:
+        return [math.floor((n - 1) * q) + 1, math.ceil((n - 1) * q) + 1] if n else []
+
+    n, found = order_statistics(vals, [(F.col(value_col), True)], tie_breaker, around)
+    if not n:
+        return F.lit(None).cast("double")
+    a, b = (float(row["value"]) for row in found[0])
+    t = (n - 1) * q - math.floor((n - 1) * q)
     if q == 0.5:
-        value = (a + b) / F.lit(2.0)       # numpy median: mean of the middle pair
-    else:                                   # numpy's two-sided lerp
-        value = F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
-    return agg.select(value.alias("q")).scalar()
+        return F.lit((a + b) / 2.0)       # numpy median: mean of the middle pair
+    return F.lit(b - (b - a) * (1.0 - t) if t >= 0.5 else a + (b - a) * t)   # numpy's two-sided lerp

@@ -9,24 +9,22 @@ equal-frequency bin is
 
 computed in integers. This is not ``ntile``: the two disagree whenever
 ``n mod q`` is not 0 or 1. Fewer than ``q`` customers all get score ``q``.
-Ranks come from :func:`distributed_rank`, never a one-partition window.
-
-For the customer table the four ranks are computed on narrow
-``(id, value)`` projections, independently (their jobs are submitted
-together), and the small ``(id, score)`` tables are joined back on the
-unique id: the wide table is shuffled once instead of being range-sorted
-and checkpointed once per score.
+For the customer table no row is ranked at all: the q - 1 rows at which one
+bin ends and the next begins are found for all features together
+(:func:`order_statistics`), and a customer's score is the number of those
+cut points, (value, id) pairs, that lie before it, plus 1: a plain expression
+over the table, without a sort, shuffle or join. :func:`rank_quantile` gives
+the same bins from explicit ranks.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retail_insight.functions.numeric import ceil_div, half_even
 from retail_insight.operators.ranking import distributed_rank
+from retail_insight.operators.selection import order_statistics, oriented
 
 # Fixed values: (value column, ascending rank, score column).
 RFMT_SPECS = (
@@ -49,21 +47,22 @@ def rank_quantile(df: DataFrame, value_col: str, ascending: bool, out_col: str,
     return ranked.withColumn(out_col, score).drop("__rq_r", "__rq_n")
 
 
-def _score_table(customers: DataFrame, value_col: str, ascending: bool, out_col: str, q: int,
-                 id_col: str) -> DataFrame:
-    return rank_quantile(customers.select(id_col, value_col), value_col, ascending, out_col, q,
-                         id_col).select(id_col, out_col)
-
-
 def scores_by_id(customers: DataFrame, specs, q: int, id_col: str) -> DataFrame:
     """Attach one score column per spec; ``id_col`` must be unique (the
-    customer table's key)."""
-    with ThreadPoolExecutor(max_workers=len(specs)) as pool:
-        tables = list(pool.map(lambda s: _score_table(customers, s[0], s[1], s[2], q, id_col), specs))
-    out = customers
-    for t in tables:
-        out = out.join(t, id_col, "inner")
-    return out
+    customer table's key). The table is read a few times to find the cut
+    points: hand over a materialised one."""
+    def last_of_bins(n: int) -> list[int]:
+        return [s * (n - 1) // q + 1 for s in range(1, q)] if n >= q else []
+
+    n, cuts = order_statistics(customers, [(F.col(c), asc) for c, asc, _ in specs], id_col, last_of_bins)
+    scores = {}
+    for (value, asc, out), ends in zip(specs, cuts, strict=True):
+        score, key = F.lit(q if n < q else 1), oriented(F.col(value), asc)
+        for end in ends:
+            beyond = (key > end["key"]) | ((key == end["key"]) & (F.col(id_col) > F.lit(end["id"])))
+            score = score + beyond.cast("int")
+        scores[out] = score.cast("int")
+    return customers.withColumns(scores)
 
 
 def calculate_rfmt_scores(customers: DataFrame, q: int = 5, id_col: str = "CustomerID") -> DataFrame:

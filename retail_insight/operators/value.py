@@ -4,8 +4,7 @@ Everything per customer is a closed-form expression of recency, frequency,
 tenure and order value (no model fit, no UDF), so it fuses into the scan
 stage of the customer table. Thresholds apply to the *rounded* P(alive).
 The watchlist's median is an exact order statistic from
-:func:`exact_quantile` (range-partitioned, no single-task percentile
-buffer), used as a scalar subquery.
+:func:`exact_quantile` (counts and sketches, no sort), used as a literal.
 """
 
 from __future__ import annotations

@@ -10,21 +10,27 @@ cleaning.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_insight.functions.numeric import half_even
+from retail_insight.functions.numeric import half_even, money_sum
 from retail_insight.operators import campaigns as camp
 from retail_insight.operators import clustering as ml
 from retail_insight.operators import cohorts as coh
-from retail_insight.operators.features import compute_rfmt, snapshot_next_midnight
+from retail_insight.operators.features import compute_rfmt, customer_state, features_of_state, merge_customer_states, snapshot_next_midnight
 from retail_insight.operators.ingest import (
     clean_online_retail,
+    clean_online_retail_counted,
     picker_mapping,
     retail_cleaning_profile,
     standardize_transactions,
     transactions_profile,
+    with_invoice_numbers,
 )
+from retail_insight.operators.models import fit_customer_model
 from retail_insight.operators.segments import legacy_playbook_table, segment_kpi_summary
 from retail_insight.operators.value import churn_watchlist, growth_targets
 from retail_insight.plans.pipeline import (
@@ -33,7 +39,9 @@ from retail_insight.plans.pipeline import (
     customers_from_transactions,
     process_rfm_legacy_pipeline,
 )
-from retail_insight.session import materialize
+from retail_insight.session import ensure_checkpoint_dir, materialize
+from retail_insight.sources.files import read_records
+from retail_insight.sources.sinks import read_export, write_csv, write_parquet
 from retail_insight.sources.tables import (
     events_as_raw_transactions,
     orders_as_raw_transactions,
@@ -156,6 +164,37 @@ def gap_lines(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataF
     return _lines(spark, sf_dir).select(*[c.alias(n) for c, n in zip(cols, names, strict=True)])
 
 
+def dated_lines(spark: SparkSession, sf_dir: str, last_day: int = 31) -> DataFrame:
+    """Order lines with dates as ``dd/MM/yyyy`` text, some of them ISO or no
+    date; days after ``last_day`` count as that day."""
+    k, d = F.col("l_orderkey"), F.col("o_orderdate")
+    day = F.make_date(F.year(d), F.month(d), F.least(F.dayofmonth(d), F.lit(last_day)))
+    return _lines(spark, sf_dir).select(
+        F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("invoice"),
+        F.when(k % 19 == 0, F.lit("soon")).when(k % 23 == 0, F.date_format(day, "yyyy-MM-dd"))
+        .otherwise(F.date_format(day, "dd/MM/yyyy")).alias("date"),
+        _spend().alias("sales"), F.col("p_type").alias("category"))
+
+
+CSV_HEADER = ("customer", "invoice", "date", "sales", "category")
+
+
+def csv_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(records, bad) of CSV files made of the order lines: categories with
+    quotes, separators and line breaks in them, and some records with a field
+    too many."""
+    category = F.concat(F.col("p_type"), F.when(F.col("l_linenumber") == 2, F.concat(F.lit(' "'), F.col("p_brand"), F.lit('",\nas seen')))
+                        .otherwise(F.lit("")))
+    rows = _lines(spark, sf_dir).select(
+        F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("invoice"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        _spend().alias("sales"), category.alias("category"), (F.col("l_orderkey") % 37 == 0).alias("wide"))
+    folder = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    good, wide = rows.where("not wide").drop("wide"), rows.where("wide").withColumn("wide", F.lit("one more"))
+    for name, some in (("good", good), ("wide", wide)):
+        some.write.options(header=True, escape='"').csv(f"{folder}/{name}")
+    return read_records(spark, [f"{folder}/good", f"{folder}/wide"], columns=CSV_HEADER)
+
+
 CUSTOM_MAPPING = {"CustomerID": "acct", "PurchaseDate": "booked_at", "TotalSpend": "gross",
                   "InvoiceNo": "doc", "ProductCategory": "line_group"}
 
@@ -453,7 +492,7 @@ def q_feature_scatter(spark, sf_dir):
 
 def q_customer_lookup(spark, sf_dir):
     """D3: one customer's full row (the customer with the largest spend)."""
-    customers = _customers(spark, sf_dir)
+    customers = materialize(_customers(spark, sf_dir))
     top_id = customers.orderBy(F.col("Monetary").desc(), F.col("CustomerID")).select("CustomerID").first()[0]
     return camp.customer_lookup(customers, top_id)
 
@@ -550,6 +589,87 @@ def q_legacy_action_list(spark, sf_dir):
     return customers.select("CustomerID", "Segment").join(F.broadcast(book), "Segment")   # five rows
 
 
+def q_csv_records(spark, sf_dir):
+    """Records with quoted line breaks, separators and doubled quotes;
+    those with a field too many are kept apart and counted."""
+    records, bad = csv_lines(spark, sf_dir)
+    lines = standardize_transactions(records).groupBy("ProductCategory").agg(
+        F.count(F.lit(1)).alias("Lines"), F.count_distinct("CustomerID").alias("Customers"), money_sum("TotalSpend").alias("Spend"))
+    return lines.withColumn("BadRecords", F.lit(bad.count()))
+
+
+def q_ingest_day_first(spark, sf_dir):
+    """The column's dates choose day before month; ISO dates and text in
+    it do not parse."""
+    return standardize_transactions(dated_lines(spark, sf_dir), date_layout="elect")
+
+
+def q_ingest_ambiguous_dates(spark, sf_dir):
+    """No day after the 12th, so the rule decides for month before day."""
+    return standardize_transactions(dated_lines(spark, sf_dir, last_day=12), date_layout="elect")
+
+
+def q_invoice_numbers(spark, sf_dir):
+    """I4: consecutive invoice numbers in file order."""
+    return with_invoice_numbers(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+
+
+def q_retail_clean_counts(spark, sf_dir):
+    """Step counts that the cleaning job takes on its way."""
+    clean, seen = clean_online_retail_counted(online_retail_raw(spark, sf_dir), f"retail-{uuid.uuid4().hex}")
+    materialize(clean)
+    found = seen.get
+    names = ("RawRows", "RowsWithCustomer", "RowsPositive", "CleanRows", "FirstDate", "LastDate", "GrossRevenue")
+    return spark.createDataFrame([tuple(found[n] for n in names)], "RawRows long, RowsWithCustomer long, RowsPositive long, CleanRows long, "
+                                 "FirstDate string, LastDate string, GrossRevenue double")
+
+
+def _two_parts(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of two files: invoices go on from the first to the second."""
+    first = F.xxhash64("InvoiceNo", "TotalSpend") % 2 == 0
+    return tx.where(first), tx.where(~first)
+
+
+def q_customer_features_updated(spark, sf_dir):
+    """the state of one part of the lines, kept as files, and
+    brought up to date with the other part."""
+    old, new = _two_parts(order_transactions(spark, sf_dir))
+    path = f"{ensure_checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
+    write_parquet(customer_state(old), path)
+    write_parquet(merge_customer_states(read_export(spark, path), customer_state(new)), path)
+    return features_of_state(read_export(spark, path))
+
+
+def q_cohort_retention_merged(spark, sf_dir):
+    """H3, H5: the triangle of two parts' merged states."""
+    old, new = _two_parts(order_transactions(spark, sf_dir, with_product=False))
+    return coh.retention_of_state(coh.merge_cohort_states(materialize(coh.cohort_state(old)), coh.cohort_state(new)))
+
+
+def q_export_round_trip(spark, sf_dir):
+    """K1: the customer table as a committed CSV export that takes the place
+    of an earlier one, read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+    customers = _customers(spark, sf_dir).select("CustomerID", "Segment", "Monetary", "RFM_Score")
+    write_csv(customers.limit(1), path)
+    write_csv(customers, path, order_by=[F.col("Monetary").desc(), "CustomerID"])
+    return read_export(spark, path).withColumn("Monetary", F.col("Monetary").cast("double"))
+
+
+def q_saved_model_scores(spark, sf_dir):
+    """M1-M3, M7, M9: the fitted model, saved and loaded, places every customer
+    where the unsaved one does."""
+    customers = materialize(_customers(spark, sf_dir))
+    model = fit_customer_model(customers)
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    model.write().overwrite().save(path)
+    names = ["ML_Cluster", "PCA_1", "PCA_2", "PCA_3"]
+    a = model.transform(customers).select("CustomerID", F.struct(*names).alias("a"))
+    b = PipelineModel.load(path).transform(customers).select(F.col("CustomerID").alias("id"), F.struct(*names).alias("b"))
+    return a.join(b, F.col("CustomerID") == F.col("id")).agg(F.count(F.lit(1)).alias("Customers"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("Moved"),
+                                                        F.count_distinct("a.ML_Cluster").alias("Clusters"))
+
+
 def q_action_plan(spark, sf_dir):
     """R12 / K4 content: the full 34-column action plan."""
     plan, _, _ = build_action_plan(_valued(spark, sf_dir))
@@ -620,6 +740,15 @@ QUERIES = {
     "cluster_profile_by_segment": q_cluster_profile_by_segment,
     "cluster_invariants": q_cluster_invariants,
     "pca_invariants": q_pca_invariants,
+    "csv_records": q_csv_records,
+    "ingest_day_first": q_ingest_day_first,
+    "ingest_ambiguous_dates": q_ingest_ambiguous_dates,
+    "invoice_numbers": q_invoice_numbers,
+    "retail_clean_counts": q_retail_clean_counts,
+    "customer_features_updated": q_customer_features_updated,
+    "cohort_retention_merged": q_cohort_retention_merged,
+    "export_round_trip": q_export_round_trip,
+    "saved_model_scores": q_saved_model_scores,
     "action_plan": q_action_plan,
 }
 

@@ -476,6 +476,50 @@ LEGACY_BOOK = _values([(r[0], r[1], r[6], r[7][0], r[8][0]) for r in seg.legacy_
                       ["Segment", "SegmentOrder", "Goal", "Action", "Channel"])
 
 
+RETAIL_PROFILE = """SELECT count(*) AS RawRows,
+            count(*) FILTER (WHERE CustomerID IS NOT NULL) AS RowsWithCustomer,
+            count(*) FILTER (WHERE CustomerID IS NOT NULL AND NOT cancelled AND q > 0 AND pr > 0) AS RowsPositive,
+            count(*) FILTER (WHERE CustomerID IS NOT NULL AND NOT cancelled AND q > 0 AND pr > 0 AND ts IS NOT NULL)
+              AS CleanRows,
+            count(DISTINCT CASE WHEN CustomerID IS NOT NULL AND NOT cancelled AND q > 0 AND pr > 0 AND ts IS NOT NULL
+                                THEN CAST(CAST(CustomerID AS BIGINT) AS VARCHAR) END) AS Customers,
+            strftime(min(CASE WHEN CustomerID IS NOT NULL AND NOT cancelled AND q > 0 AND pr > 0 THEN ts END),
+                     '%Y-%m-%d %H:%M:%S') AS FirstDate,
+            strftime(max(CASE WHEN CustomerID IS NOT NULL AND NOT cancelled AND q > 0 AND pr > 0 THEN ts END),
+                     '%Y-%m-%d %H:%M:%S') AS LastDate,
+            round_even(CAST(sum(CASE WHEN CustomerID IS NOT NULL AND NOT cancelled AND q > 0 AND pr > 0
+                                     AND ts IS NOT NULL
+                                THEN CAST(round_even(round_even(q * pr, 2) * 1e6, 0) AS BIGINT) END) AS DOUBLE) / 1e6, 2)
+              AS GrossRevenue
+            FROM retail_typed"""
+
+
+def _dated_tx(last_day: int) -> str:
+    """Lines with text dates in one of three layouts; the column's own counts
+    choose which one holds."""
+    return LINES + f""",
+dated AS (
+  SELECT *, CASE WHEN l_orderkey % 19 = 0 THEN 'soon'
+                 WHEN l_orderkey % 23 = 0 THEN strftime(day_, '%Y-%m-%d')
+                 ELSE strftime(day_, '%d/%m/%Y') END AS txt
+  FROM (SELECT *, make_date(year(o_orderdate), month(o_orderdate), least(day(o_orderdate), {last_day})) AS day_ FROM lines)
+),
+seen AS (SELECT count(try_strptime(txt, '%Y-%m-%d')) AS iso, count(try_strptime(txt, '%m/%d/%Y')) AS month_first,
+                count(try_strptime(txt, '%d/%m/%Y')) AS day_first FROM dated),
+read_ AS (
+  SELECT d.*, CASE WHEN iso >= greatest(month_first, day_first) THEN try_strptime(txt, '%Y-%m-%d')
+                   WHEN month_first >= day_first THEN try_strptime(txt, '%m/%d/%Y')
+                   ELSE try_strptime(txt, '%d/%m/%Y') END AS PurchaseDate,
+         round_even(l_extendedprice * (1 - l_discount), 2) AS TotalSpend
+  FROM dated d CROSS JOIN seen
+),
+tx AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS CustomerID, CAST(o_orderkey AS VARCHAR) AS InvoiceNo, PurchaseDate, TotalSpend,
+         1.0::DOUBLE AS Quantity, TotalSpend / 1.0 AS UnitPrice, 'Catalog Product' AS Product, p_type AS ProductCategory
+  FROM read_ WHERE PurchaseDate IS NOT NULL AND TotalSpend > 0 AND o_custkey IS NOT NULL
+)"""
+
+
 def with_ctes(*ctes: str, select: str) -> str:
     return "WITH " + ",".join(c.strip("\n") for c in ctes) + "\n" + select
 
@@ -608,26 +652,28 @@ def twins() -> dict[str, str]:
             q AS Quantity, pr AS UnitPrice, trim(coalesce(Description, 'Catalog Item')) AS Product,
             coalesce(Country, 'United Kingdom') AS ProductCategory
             FROM retail_typed WHERE CustomerID IS NOT NULL AND NOT cancelled AND q > 0 AND pr > 0 AND ts IS NOT NULL"""),
-        "retail_profile": with_ctes(RETAIL_RAW, select="""SELECT count(*) AS RawRows,
-            count(*) FILTER (WHERE CustomerID IS NOT NULL) AS RowsWithCustomer,
-            count(*) FILTER (WHERE CustomerID IS NOT NULL AND NOT cancelled AND q > 0 AND pr > 0) AS RowsPositive,
-            count(*) FILTER (WHERE CustomerID IS NOT NULL AND NOT cancelled AND q > 0 AND pr > 0 AND ts IS NOT NULL)
-              AS CleanRows,
-            count(DISTINCT CASE WHEN CustomerID IS NOT NULL AND NOT cancelled AND q > 0 AND pr > 0 AND ts IS NOT NULL
-                                THEN CAST(CAST(CustomerID AS BIGINT) AS VARCHAR) END) AS Customers,
-            strftime(min(CASE WHEN CustomerID IS NOT NULL AND NOT cancelled AND q > 0 AND pr > 0 THEN ts END),
-                     '%Y-%m-%d %H:%M:%S') AS FirstDate,
-            strftime(max(CASE WHEN CustomerID IS NOT NULL AND NOT cancelled AND q > 0 AND pr > 0 THEN ts END),
-                     '%Y-%m-%d %H:%M:%S') AS LastDate,
-            round_even(CAST(sum(CASE WHEN CustomerID IS NOT NULL AND NOT cancelled AND q > 0 AND pr > 0
-                                     AND ts IS NOT NULL
-                                THEN CAST(round_even(round_even(q * pr, 2) * 1e6, 0) AS BIGINT) END) AS DOUBLE) / 1e6, 2)
-              AS GrossRevenue
-            FROM retail_typed"""),
+        "retail_profile": with_ctes(RETAIL_RAW, select=RETAIL_PROFILE),
         "transactions_profile": with_ctes(TX_ORDERS, select="""SELECT count(*) AS Transactions,
             count(DISTINCT CustomerID) AS Customers, min(PurchaseDate) AS FirstDate, max(PurchaseDate) AS LastDate,
             round_even(CAST(sum(CAST(round_even(TotalSpend * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6, 2) AS GrossRevenue
             FROM tx"""),
+        "csv_records": with_ctes(LINES, select="""SELECT category AS ProductCategory, count(*) AS Lines,
+            count(DISTINCT o_custkey) AS Customers, CAST(sum(CAST(round_even(spend * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6 AS Spend,
+            (SELECT count(*) FROM lines WHERE l_orderkey % 37 = 0) AS BadRecords
+            FROM (SELECT *, p_type || CASE WHEN l_linenumber = 2 THEN ' "' || p_brand || '",' || chr(10) || 'as seen' ELSE '' END AS category,
+                    round_even(l_extendedprice * (1 - l_discount), 2) AS spend FROM lines)
+            WHERE l_orderkey % 37 <> 0 AND spend > 0 AND o_custkey IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY category"""),
+        "ingest_day_first": with_ctes(_dated_tx(31), select="SELECT * FROM tx"),
+        "ingest_ambiguous_dates": with_ctes(_dated_tx(12), select="SELECT * FROM tx"),
+        "invoice_numbers": """SELECT l_orderkey, l_linenumber, 'INV-' || lpad(CAST(n AS VARCHAR), greatest(6, length(CAST(n AS VARCHAR)))::INTEGER, '0') AS InvoiceNo
+            FROM (SELECT l_orderkey, l_linenumber, row_number() OVER () AS n FROM lineitem)""",
+        "retail_clean_counts": with_ctes(RETAIL_RAW, select="SELECT RawRows, RowsWithCustomer, RowsPositive, CleanRows, FirstDate, LastDate, GrossRevenue FROM ("
+                                         + RETAIL_PROFILE + ")"),
+        "customer_features_updated": with_ctes(TX_ORDERS, FEATURES, select="SELECT * FROM features"),
+        "cohort_retention_merged": with_ctes(TX_ORDERS, COHORT, select="SELECT * FROM retention"),
+        "export_round_trip": with_ctes(*A, select="SELECT CustomerID, Segment, Monetary, RFM_Score FROM customers"),
+        "saved_model_scores": with_ctes(*A, select="""SELECT count(*) AS Customers, CAST(0 AS BIGINT) AS Moved,
+            CAST(4 AS BIGINT) AS Clusters FROM customers"""),
         "zscore_features": with_ctes(TX_ORDERS, FEATURES, select="SELECT CustomerID, " + ", ".join(
             f"CAST(round_even(coalesce((ln(1 + CAST({c} AS DOUBLE)) - avg(ln(1 + CAST({c} AS DOUBLE))) OVER ())"
             f" / nullif(stddev_pop(ln(1 + CAST({c} AS DOUBLE))) OVER (), 0), 0.0) * 1e6, 0) AS BIGINT) AS z_{c}"

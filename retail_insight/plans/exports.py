@@ -1,7 +1,9 @@
 """File exports of the data products (CSV with header by default).
 
 Sorted exports are written as ordered part files (``orderBy`` is a range
-sort; part-00000 holds the first range), never funnelled into one task.
+sort; part-00000 holds the first range), never funnelled into one task. An
+export takes the place of an earlier one only when it is complete; read it
+with :func:`retail_insight.sources.sinks.read_export`.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retail_insight.operators.campaigns import campaign_audience
+from retail_insight.operators.ingest import clean_online_retail_counted
 from retail_insight.operators.value import churn_watchlist
+from retail_insight.session import materialize
 from retail_insight.sources.sinks import write_csv
 
 
@@ -37,6 +41,11 @@ def export_action_plan(plan: DataFrame, path: str) -> None:
                                     F.col("CustomerID").asc()])
 
 
-def export_clean_retail(clean: DataFrame, path: str) -> None:
-    """K5: cleaned retail lines sorted by purchase date."""
+def export_clean_retail(raw: DataFrame, path: str) -> dict:
+    """K5: cleaned retail lines sorted by purchase date. Returns the counts of
+    the cleaning steps (I14), taken by the job that cleans; the raw lines are
+    read once, and the sort and the distinct customers work on the result."""
+    clean, seen = clean_online_retail_counted(raw)
+    clean = materialize(clean)
     write_csv(clean, path, order_by=["PurchaseDate", "InvoiceNo"])
+    return {**seen.get, "Customers": clean.agg(F.count_distinct("CustomerID")).first()[0]}

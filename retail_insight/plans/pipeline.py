@@ -26,20 +26,27 @@ from retail_insight.operators.value import estimate_value
 
 def customers_from_transactions(clean_tx: DataFrame, snapshot_date=None) -> DataFrame:
     """Features -> scores -> segment (+ icon, colour)."""
-    return assign_segments(calculate_rfmt_scores(compute_rfmt(clean_tx, snapshot_date)))
+    features = compute_rfmt(clean_tx, snapshot_date)
+    if snapshot_date is not None:   # else they already rest on files
+        features = materialize(features)
+    return assign_segments(calculate_rfmt_scores(features))
 
 
 def process_rfmt_pipeline(raw: DataFrame, snapshot_date=None,
-                          custom_mapping: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+                          custom_mapping: Mapping[str, str] | None = None,
+                          date_layout: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(clean transactions, scored and segmented customers)."""
-    clean = standardize_transactions(raw, custom_mapping)
+    clean = standardize_transactions(raw, custom_mapping, date_layout)
     return clean, customers_from_transactions(clean, snapshot_date)
 
 
 def process_rfm_legacy_pipeline(raw: DataFrame, snapshot_date=None) -> tuple[DataFrame, DataFrame]:
     """Five-segment variant: (clean transactions, customers with 1..4 scores)."""
     clean = standardize_transactions_legacy(raw)
-    customers = calculate_rfm_scores_legacy(compute_rfm_legacy(clean, snapshot_date))
+    features = compute_rfm_legacy(clean, snapshot_date)
+    if snapshot_date is not None:
+        features = materialize(features)
+    customers = calculate_rfm_scores_legacy(features)
     return clean, assign_segments(customers, taxonomy="five")
 
 

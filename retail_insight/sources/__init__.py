@@ -1,7 +1,7 @@
 """Readers and writers."""
 
-from retail_insight.sources.files import first_existing, read_transactions_csv, read_transactions_parquet
-from retail_insight.sources.sinks import write_csv, write_parquet
+from retail_insight.sources.files import first_existing, read_records, read_transactions_csv, read_transactions_parquet, with_row_numbers
+from retail_insight.sources.sinks import export_folder, read_export, write_csv, write_parquet
 from retail_insight.sources.tables import (
     orders_as_raw_transactions,
     events_as_raw_transactions,
@@ -9,7 +9,7 @@ from retail_insight.sources.tables import (
 )
 
 __all__ = [
-    "events_as_raw_transactions", "first_existing", "orders_as_raw_transactions",
-    "read_table", "read_transactions_csv", "read_transactions_parquet",
-    "write_csv", "write_parquet",
+    "events_as_raw_transactions", "export_folder", "first_existing", "orders_as_raw_transactions",
+    "read_export", "read_records", "read_table", "read_transactions_csv", "read_transactions_parquet",
+    "with_row_numbers", "write_csv", "write_parquet",
 ]
