@@ -5,9 +5,14 @@ blocks of bounded size, and every document is read against each block. Windows
 of an item's own length in words get a 64-bit SimHash of their word shingles,
 each distinct one once, as the items do. Fingerprints within the Hamming radius
 are found by cutting both into blocks of bits: of BLOCKS blocks at least one
-differs in at most radius // BLOCKS bits. What is found is compared exactly by
-Jaccard similarity of the shingles, which depends on the item and the document
-alone and not on what else the benchmark or its block holds.
+differs in at most radius // BLOCKS bits.
+
+What is found is compared exactly by weighted shingles. A shingle of an item
+weighs SCALE // (items that hold it), counted over all items, so wording that
+items share says little about any of them; each shingle of the window that the
+item lacks weighs as much as the item's own do on average. All weights of one
+item alike, this is Jaccard similarity. It depends on the item, the benchmark
+and the window, not on how items are cut into blocks.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retail_insight.llm.textarrays import WordHasher, mix64, shingles
+from retail_insight.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -27,6 +33,9 @@ RADIUS = 15
 BLOCKS = 8
 ITEMS_PER_BLOCK = 20_000
 WORDS_PER_BLOCK = 2_000_000
+SCALE = 1 << 20
+#: Words of a text whose windows are fingerprinted at a time.
+PIECE_WORDS = 1 << 16
 #: Punctuation counts as space: a passage is found whatever its commas.
 PLAIN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -38,13 +47,16 @@ def plain_words(hasher: WordHasher, text) -> np.ndarray:
 class ItemBlock:
     """Some items: their shingles and fingerprints with block tables."""
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int, radius: int) -> None:
+    def __init__(self, items: list[tuple], shingle: int, radius: int) -> None:
+        """items: id, text and, in the order of the text's distinct shingles as
+        signed numbers, how many items hold each (1 if left out)."""
         self.shingle, self.radius = shingle, radius
         self.hasher = WordHasher()
-        words = [(i, w) for i, t in items if len(w := plain_words(self.hasher, t))]
-        self.ids = [i for i, _ in words]
+        words = [(x, w) for x in items if len(w := plain_words(self.hasher, x[1]))]
+        self.ids = [x[0] for x, _ in words]
         self.length = np.array([len(w) for _, w in words], dtype=np.int64)
         self.sets = [np.unique(shingles(w, shingle)) for _, w in words]
+        self.weights = [SCALE // held_by(s, x[2] if len(x) > 2 else None) for s, (x, _) in zip(self.sets, words, strict=True)]
         every = np.concatenate(self.sets) if self.sets else np.empty(0, dtype=np.uint64)
         self.known, df = np.unique(every, return_counts=True)
         owner = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
@@ -104,10 +116,25 @@ class ItemBlock:
         """(item id, first word, similarity) of the best window for each item."""
         if not self.ids:
             return []
-        words = plain_words(self.hasher, text)
-        n, best = len(words), {}
-        if not n:
-            return []
+        words, best = plain_words(self.hasher, text), {}
+        n, step = len(words), PIECE_WORDS + int(self.length.max()) - 1
+        for at in range(0, n, PIECE_WORDS):
+            # windows that begin in the piece's first PIECE_WORDS words end in it; later ones begin again in the next
+            self._find_in(words[at : at + step], at, n, similarity, best)
+            if at + step >= n:
+                break
+        return [(self.ids[i], p, v) for i, (p, v) in sorted(best.items())]
+
+    def similar(self, item: int, window: np.ndarray) -> float:
+        """Weighted similarity of an item with a window's distinct shingles."""
+        mine, weight = self.sets[item], self.weights[item]
+        has = np.isin(mine, window, assume_unique=True)
+        more = len(window) - int(has.sum())
+        return float(weight[has].sum()) / float(weight.sum()) * (len(mine) / (len(mine) + more))
+
+    def _find_in(self, words: np.ndarray, first: int, n: int, similarity: float, best: dict) -> None:
+        """The best windows among ``words``, which begin at word ``first`` of a
+        text of n words, go into ``best``."""
         by_size = {}
         for size in self.sizes:
             s = shingles(words, size)
@@ -138,13 +165,9 @@ class ItemBlock:
                     sums -= self.repeated(signed, again[inside], before[inside], span)[start]
                 prints = self.packed(sums)
                 for k, item in self.within_radius(prints, length):
-                    window = np.unique(s[start[k] : start[k] + span])
-                    mine = self.sets[item]
-                    shared = np.intersect1d(window, mine, assume_unique=True)
-                    score = len(shared) / (len(window) + len(mine) - len(shared))
-                    if score >= similarity and score > best.get(item, (-1, 0))[1] + 1e-12:
-                        best[item] = (int(start[k]), float(score))
-        return [(self.ids[i], p, v) for i, (p, v) in sorted(best.items())]
+                    score = self.similar(item, np.unique(s[start[k] : start[k] + span]))
+                    if score >= similarity - 1e-12 and score > best.get(item, (-1, 0))[1] + 1e-12:
+                        best[item] = (first + int(start[k]), score)
 
     def within_radius(self, prints: np.ndarray, length: int):
         """All (window, item) with items of this length within the radius."""
@@ -169,16 +192,43 @@ class ItemBlock:
                 yield k, item
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str):
+def held_by(s: np.ndarray, counts) -> np.ndarray:
+    """How many items hold each of the sorted shingles s; counts is in their
+    order as signed numbers, in which Spark has them."""
+    out = np.ones(len(s), dtype=np.int64)
+    if counts is not None:
+        out[np.argsort(s.view(np.int64))] = counts
+    return out
+
+
+def item_table(benchmark: DataFrame, item: str, text: str, shingle: int) -> DataFrame:
+    """i, t and held (array: how many items hold each of its shingles, in
+    their order) of the distinct items that have words."""
+    rows = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null").dropDuplicates()
+    rows = materialize(rows.withColumn("n", F.monotonically_increasing_id()))
+
+    def per_batch(batches):
+        hasher = WordHasher()
+        for pdf in batches:
+            sets = [np.unique(shingles(plain_words(hasher, t), shingle)).view(np.int64) for t in pdf["t"]]
+            yield pd.DataFrame({"n": np.repeat(pdf["n"].to_numpy(), [len(s) for s in sets]), "s": np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)})
+
+    each = rows.mapInPandas(per_batch, schema="n long, s long")
+    count = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    held = (each.join(count, "s").groupBy(F.col("n").alias("m")).agg(F.sort_array(F.collect_list(F.struct("s", "c"))).alias("x"))
+            .select("m", F.col("x.c").alias("held")))
+    return rows.join(held, F.col("n") == F.col("m")).select("i", "t", "held")
+
+
+def item_blocks(items: DataFrame):
     """Lists of items, each of at most ITEMS_PER_BLOCK items and about
     WORDS_PER_BLOCK * 8 characters (or one item), read one after the other."""
     block, chars = [], 0
-    rows = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null").dropDuplicates()
-    for r in rows.toLocalIterator():
+    for r in materialize(items).toLocalIterator():
         if block and (len(block) >= ITEMS_PER_BLOCK or chars + len(r.t) > WORDS_PER_BLOCK * 8):
             yield block
             block, chars = [], 0
-        block.append((r.i, r.t))
+        block.append((r.i, r.t, np.array(r.held, dtype=np.int64)))
         chars += len(r.t)
     if block:
         yield block
@@ -191,13 +241,15 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, similarity: float
     item_id, at_word (first word of the best window), similarity.
 
     Words are lower-cased runs of letters, digits and non-ASCII characters. The
-    similarity is the Jaccard similarity of the sets of shingles of item and
-    window. Items or documents of fewer than ``shingle`` words count as one
+    similarity is the part of the item's weight that the window has, times the
+    part that the item's shingles are of both's. Items or documents of fewer than ``shingle`` words count as one
     shingle, null or empty ones match nothing; a document shorter than an item
     is one window. Of equally similar windows the first counts. A row
     that repeats a key gives its own rows. Empty tables give an empty result,
-    other columns are ignored. The items are read in blocks of bounded size,
-    each sent to the executors with one pass over the documents.
+    other columns are ignored. An item without id counts like any other. The
+    items are read in blocks of bounded size, each sent to the executors with
+    one pass over the documents; a text of any length is read in pieces, so
+    memory beyond its words does not grow with it.
     """
     rows = documents.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
     schema = f"`{key}` {rows.schema['_key'].dataType.simpleString()}, item_id long, at_word long, similarity double"
@@ -212,7 +264,7 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, similarity: float
 
         return per_batch
 
-    for block in item_blocks(benchmark, item, item_text):
+    for block in item_blocks(item_table(benchmark, item, item_text, shingle)):
         out = out.unionByName(rows.mapInPandas(search(block), schema=schema))
     return out
 

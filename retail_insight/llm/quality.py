@@ -1,12 +1,19 @@
 """Quality of documents by co-training two classifiers.
 
 The text view reads a document's words and marks, the metadata view its
-source, language, length and layout. Both start from a bounded sample of
-labelled documents. In each round each view scores all unlabelled documents
-and hands those that it is surest of to the other view, labelled as it sees
-them. At the end each view's scores are calibrated on labelled documents that
-no fit has seen, and the calibrated scores are combined to score every
-document.
+source, language, length and layout. Both start from the labelled documents.
+In each round each view labels the unlabelled documents that it is sure of,
+and the other view is fitted on them too, as long as it does not itself lean
+the other way. At the end each view's scores are calibrated on labelled
+documents that no fit has seen, and the calibrated scores are combined to
+score every document.
+
+A fit is a logistic regression over all rows of the view, in Spark: counts of
+each feature by class decide which features tell good from bad, then tasks
+fit their own rows by gradient steps from common weights and the results are
+averaged, some times over. Each distinct document counts once, however many
+copies there are, and all pseudo-labels of a class together at most as much as
+PSEUDO_SHARE of its labels. Only the telling features' weights reach the driver.
 """
 
 from __future__ import annotations
@@ -19,19 +26,24 @@ from pyspark.sql import functions as F
 from retail_insight.llm.textarrays import WordHasher, mix64
 from retail_insight.session import materialize
 
-#: Bounds on the rows that the classifiers are fitted on.
-LABELLED_ROWS = 20_000
-PSEUDO_ROWS = 500
+#: Labelled documents that the scores are calibrated on, at most.
+CALIBRATION_ROWS = 20_000
+CALIBRATION_SHARE = 5
 ROUNDS = 2
-SURE = 0.97
+SURE = 0.95
+PSEUDO_SHARE = 0.1
 KEEP = 0.5
-CALIBRATION_SHARE = 5
-#: A feature is fitted if so many training rows have it and its shares among
-#: good and bad rows differ by so many standard errors.
-LEAST_ROWS = 4
-LEAST_Z = {"text": 5.0, "meta": 2.0}
+#: A feature is fitted if so many training rows have it and its counts by
+#: class differ so much (likelihood ratio, a chi-square of one degree) that
+#: about so many of all features would by chance.
+LEAST_ROWS = 2
+BY_CHANCE = 10
+#: How often the tasks' weights are averaged, and the steps between.
+AVERAGES = 3
+STEPS = 80
 TEXT_BITS = 20
 META_BITS = 12
+DIMS = (1 << TEXT_BITS, 1 << META_BITS)
 PART_CHARS = 2_000_000
 
 _WORD = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -81,51 +93,46 @@ def _joined(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)), np.cumsum([0, *map(len, found)])
 
 
-def logits(model: tuple[np.ndarray, float], flat: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    run = np.concatenate([[0.0], np.cumsum(model[0][flat], dtype=np.float64)])
-    return run[cut[1:]] - run[cut[:-1]] + model[1]
+class Model:
+    """Weights of a view's telling features."""
+
+    def __init__(self, dims: int, at: np.ndarray, weight: np.ndarray, bias: float) -> None:
+        self.dims, self.at, self.weight, self.bias, self.dense = dims, at, weight, bias, None
+
+    def __getstate__(self):
+        return {**self.__dict__, "dense": None}
 
+    def logits(self, flat: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        if self.dense is None:
+            self.dense = np.zeros(self.dims)
+            self.dense[self.at] = self.weight
+        run = np.concatenate([[0.0], np.cumsum(self.dense[flat])])
+        return np.clip(run[cut[1:]] - run[cut[:-1]] + self.bias, -30, 30)
 
-def telling(flat: np.ndarray, cut: np.ndarray, y: np.ndarray, dims: int, least_z: float) -> np.ndarray:
-    """The features whose shares among good and bad rows differ clearly; most
-    words of a language tell nothing and would only be learnt by heart."""
-    have = np.bincount(flat, minlength=dims).astype(float)
-    good = np.bincount(flat, weights=np.repeat(y, np.diff(cut)), minlength=dims)
-    n_good, n_bad = max(y.sum(), 1.0), max((1 - y).sum(), 1.0)
-    share = have / max(len(y), 1)
-    error = np.sqrt(np.maximum(share * (1 - share) * (1 / n_good + 1 / n_bad), 1e-12))
-    return np.flatnonzero((have >= LEAST_ROWS) & (np.abs(good / n_good - (have - good) / n_bad) >= least_z * error))
 
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-def fit(flat: np.ndarray, cut: np.ndarray, y: np.ndarray, dims: int, least_z: float, steps: int = 250,
+
+def fit(at: np.ndarray, cut: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray, b: float, steps: int,
         rate: float = 0.1, decay: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Logistic regression on the telling features by full-batch gradient
-    steps with a step size of its own for each weight (Adam), so that rare
-    words are learnt too. Weights by feature, and the bias."""
-    out, b = np.zeros(dims, dtype=np.float32), 0.0
-    if not len(y):
-        return out, b
-    chosen = telling(flat, cut, y, dims, least_z)
-    place = np.full(dims, -1, dtype=np.int64)
-    place[chosen] = np.arange(len(chosen))
-    at = place[flat]
-    run = np.concatenate([[0], np.cumsum(at >= 0)])
-    at, cut = at[at >= 0], run[cut]
-    size, n = np.diff(cut), len(chosen)
-    prior = (y.sum() + 0.5) / (len(y) + 1)
-    w, b = np.zeros(n), float(np.log(prior / (1 - prior)))
+    """Weighted logistic regression of y on 0/1 features by full-batch steps
+    with a step size of its own for each weight (Adam), so that rare words are
+    learnt too, from the weights w and the bias b on."""
+    size, n, total = np.diff(cut), len(w), max(weight.sum(), 1e-9)
+    w = w.copy()
     first, second, fb, sb = np.zeros(n), np.zeros(n), 0.0, 0.0
     for t in range(1, steps + 1):
-        error = (1 / (1 + np.exp(-np.clip(logits((w, b), at, cut), -30, 30))) - y) / len(y)
-        g = np.bincount(at, weights=np.repeat(error, size), minlength=n) + decay * w / len(y)
+        run = np.concatenate([[0.0], np.cumsum(w[at])])
+        error = (_sigmoid(run[cut[1:]] - run[cut[:-1]] + b) - y) * weight / total
+        g = np.bincount(at, weights=np.repeat(error, size), minlength=n) + decay * w / total
         gb = float(error.sum())
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         fb, sb = 0.9 * fb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
         a, c = 1 - 0.9**t, 1 - 0.99**t
         w -= rate * (first / a) / (np.sqrt(second / c) + 1e-8)
         b -= rate * (fb / a) / (np.sqrt(sb / c) + 1e-8)
-    out[chosen] = w
-    return out, b
+    return w, b
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, steps: int = 200) -> np.ndarray:
@@ -146,16 +153,17 @@ def calibrate(z: np.ndarray, y: np.ndarray, steps: int = 200) -> np.ndarray:
 class Scorer:
     """Both views' fitted models and their calibrated combination."""
 
-    def __init__(self, text, meta, text_scale, meta_scale, combine) -> None:
-        self.models, self.scales, self.combine = (text, meta), (text_scale, meta_scale), combine
+    def __init__(self, text: Model, meta: Model, text_scale, meta_scale, combine, prior: float = 0.0) -> None:
+        self.models, self.scales, self.combine, self.prior = (text, meta), (text_scale, meta_scale), combine, prior
+
+    def views(self, found) -> list[np.ndarray]:
+        """Calibrated log odds of good by each view; found: its features."""
+        return [s[0] + s[1] * m.logits(*f) for m, s, f in zip(self.models, self.scales, found, strict=True)]
 
     def __call__(self, features: Features, texts, sources, langs) -> np.ndarray:
         """Columns: probability of good by text, by metadata, by both."""
-        found = (features.text(texts), features.meta(texts, sources, langs))
-        z = [np.clip(logits(m, *f), -30, 30) for m, f in zip(self.models, found, strict=True)]
-        z = [s[0] + s[1] * v for s, v in zip(self.scales, z, strict=True)]
-        both = self.combine[0] + self.combine[1] * z[0] + self.combine[2] * z[1]
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([*z, both]), -30, 30)))
+        z = self.views((features.text(texts), features.meta(texts, sources, langs)))
+        return _sigmoid(np.column_stack([*z, self.combine[0] + self.combine[1] * z[0] + self.combine[2] * z[1]]))
 
 
 def scores(scorer: Scorer):
@@ -178,93 +186,182 @@ def scores(scorer: Scorer):
     return of("text", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
 
 
-class _Rows:
-    """Training rows of one view."""
-
-    def __init__(self, flat, cut, y) -> None:
-        self.flat, self.cut, self.y = flat, cut, y
-
-    def plus(self, flat, cut, y) -> _Rows:
-        return _Rows(np.concatenate([self.flat, flat]), np.concatenate([self.cut, self.cut[-1] + cut[1:]]), np.concatenate([self.y, y]))
-
-    def take(self, which: np.ndarray) -> _Rows:
-        return _Rows(*_joined([self.flat[self.cut[i] : self.cut[i + 1]] for i in np.flatnonzero(which)]), self.y[which])
-
-
-def _fetch(docs: DataFrame, ids: DataFrame, features: Features):
-    """Features of both views of the documents that ``ids`` (id, y; a bounded
-    number) names, sorted by id. Only feature positions reach the driver."""
+def _known(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row for each distinct (text, source, lang): two hashes h and g, the
+    label y (null if none), and the features a and b of both views (bytes)."""
+    key = [F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))]
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").alias("id"), *[k.alias(n) for k, n in zip(key, ("text", "source", "lang"), strict=True)],
+                                                        F.xxhash64(*key).alias("h"), F.xxhash64(F.lit(7), *key).alias("g"))
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg(
+        F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1.0).otherwise(0.0)).alias("y"))
+    marked = rows.select("id", "h", "g").join(marks, "id").groupBy("h", "g").agg(F.min("y").alias("y"))
 
     def per_batch(batches):
         f = Features()
         for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            (a, ac), (b, bc) = f.text(texts), f.meta(texts, pdf["source"].fillna(""), pdf["lang"].fillna(""))
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "a": [a[i:j].tolist() for i, j in zip(ac[:-1], ac[1:], strict=True)],
-                                "b": [b[i:j].tolist() for i, j in zip(bc[:-1], bc[1:], strict=True)]})
+            for part in _parts(pdf):
+                texts = part["text"].tolist()
+                (a, ac), (b, bc) = f.text(texts), f.meta(texts, part["source"], part["lang"])
+                yield pd.DataFrame({"h": part["h"], "g": part["g"], "a": [a[i:j].tobytes() for i, j in zip(ac[:-1], ac[1:], strict=True)],
+                                    "b": [b[i:j].tobytes() for i, j in zip(bc[:-1], bc[1:], strict=True)]})
+
+    found = rows.select("h", "g", "text", "source", "lang").mapInPandas(per_batch, schema="h long, g long, a binary, b binary")
+    # copies meet as partial aggregates, so a text that a third of the rows share is one row for each task
+    distinct = found.groupBy("h", "g").agg(F.any_value("a").alias("a"), F.any_value("b").alias("b"))
+    return materialize(distinct.join(marked, ["h", "g"], "left"))
+
+
+def _parts(pdf: pd.DataFrame):
+    size = pdf["text"].str.len().to_numpy(dtype=np.int64)
+    group = (np.cumsum(size) - size) // PART_CHARS
+    for g in np.unique(group):
+        yield pdf[group == g]
+
+
+class _Exchange:
+    """Which rows a view learns from: labelled ones that are not kept for
+    calibration, and those that the other view is sure of and it does not
+    itself lean against."""
+
+    def __init__(self, view: int, scorer: Scorer | None, sure: float) -> None:
+        self.view, self.scorer, self.sure = view, scorer, sure
+
+    def rows(self, pdf: pd.DataFrame):
+        """(y, pseudo-labelled, flat features, where each row's begin)."""
+        y = pdf["y"].to_numpy(dtype=float)
+        use, pseudo = ~np.isnan(y) & ~held_out(pdf), np.zeros(len(y), dtype=bool)
+        found = [_joined([np.frombuffer(v, dtype=np.int32) for v in pdf[c]]) for c in ("a", "b")]
+        if self.scorer:
+            z = self.scorer.views(found)
+            giver, own, border = z[1 - self.view], z[self.view], np.log(self.sure / (1 - self.sure))
+            prior = self.scorer.prior   # a view leans one way if it moves a document off the common odds
+            good, bad = (giver >= border) & (own >= prior), (giver <= -border) & (own <= prior)
+            pseudo = np.isnan(y) & (good | bad)
+            y = np.where(pseudo, good, y)
+        which = np.flatnonzero(use | pseudo)
+        flat, cut = found[self.view]
+        size = np.diff(cut)[which]
+        place = np.arange(size.sum()) + np.repeat(cut[which] - (np.cumsum(size) - size), size)
+        return y[which], pseudo[which], flat[place], np.concatenate([[0], np.cumsum(size)])
+
+
+def held_out(pdf: pd.DataFrame) -> np.ndarray:
+    return mix64(pdf["h"].to_numpy().view(np.uint64) + np.uint64(17)) % np.uint64(CALIBRATION_SHARE) == 0
+
+
+def _telling(table: DataFrame, exchange: _Exchange):
+    """(features, (good, bad) weight of a pseudo-label, its rows): the features
+    whose counts differ by class beyond chance."""
+    dims = DIMS[exchange.view]
+
+    def count(batches):
+        total = np.zeros((4, dims + 1))     # labelled bad and good, pseudo-labelled bad and good; last: rows
+        for pdf in batches:
+            y, pseudo, flat, cut = exchange.rows(pdf)
+            kind = (2 * pseudo + y).astype(np.int64)
+            total[:, dims] += np.bincount(kind, minlength=4)
+            of = np.repeat(kind, np.diff(cut))
+            for k in range(4):
+                total[k, :dims] += np.bincount(flat[of == k], minlength=dims)
+        at = np.flatnonzero(total.any(axis=0))
+        yield pd.DataFrame({"at": at} | {f"n{k}": total[k, at] for k in range(4)})
+
+    counts = materialize(table.mapInPandas(count, schema="at int, n0 double, n1 double, n2 double, n3 double")
+                         .groupBy("at").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]))
+    row = counts.agg(*[F.max(F.when(F.col("at") == dims, F.col(f"n{k}"))).alias(f"n{k}") for k in range(4)],
+                     F.count_if((F.col("at") < dims) & (F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") >= LEAST_ROWS)).alias("many")).first()
+    if row["n0"] is None:
+        return np.empty(0, dtype=np.int64), (0.0, 0.0), (0, 0)
+    weight = tuple(min(1.0, PSEUDO_SHARE * max(row[f"n{k}"], 1.0) / row[f"n{k + 2}"]) if row[f"n{k + 2}"] else 0.0 for k in (0, 1))
+    n = [row[f"n{k}"] + weight[k] * row[f"n{k + 2}"] for k in (0, 1)]
+    have = [F.col(f"n{k}") + F.lit(weight[k]) * F.col(f"n{k + 2}") for k in (0, 1)]
+    every = sum(n)
+
+    def part(seen, expected):
+        return F.when((seen > 1e-9) & (expected > 0), seen * F.log(seen / expected)).otherwise(0.0)
+
+    both = have[0] + have[1]
+    ratio = sum((part(have[k], both * (n[k] / every)) + part(F.lit(n[k]) - have[k], (F.lit(every) - both) * (n[k] / every)) for k in (0, 1)), F.lit(0.0))
+    least = max(float(np.log(row["many"] / BY_CHANCE)) if row["many"] else 0.0, 4.0)
+    chosen = counts.where((F.col("at") < dims) & (both >= LEAST_ROWS) & (ratio >= least)).select("at").toPandas()
+    return np.sort(chosen["at"].to_numpy(dtype=np.int64)), weight, (int(row["n2"]), int(row["n3"]))
+
+
+def _fitted(table: DataFrame, exchange: _Exchange) -> tuple[Model, tuple[int, int]]:
+    """The model of a view, and its pseudo-labelled rows (bad, good)."""
+    dims = DIMS[exchange.view]
+    at, weight, handed = _telling(table, exchange)
+    w, b = np.zeros(len(at)), 0.0
+    for _ in range(AVERAGES):
+
+        def steps(batches, w=w, b=b):
+            place = np.full(dims, -1, dtype=np.int64)
+            place[at] = np.arange(len(at))
+            rows = []
+            for pdf in batches:
+                y, pseudo, flat, cut = exchange.rows(pdf)
+                flat = place[flat]
+                run = np.concatenate([[0], np.cumsum(flat >= 0)])
+                rows.append((y, np.where(pseudo, np.where(y == 1, weight[1], weight[0]), 1.0), flat[flat >= 0], np.diff(run[cut])))
+            y, each, flat, size = (np.concatenate([r[k] for r in rows]) if rows else np.empty(0) for k in range(4))
+            if not len(y):
+                return
+            own, bias = fit(flat.astype(np.int64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64), y, each, w, b, STEPS)
+            # a task speaks for a feature by how often it saw it
+            n = np.concatenate([[each.sum()], np.bincount(flat.astype(np.int64), weights=np.repeat(each, size.astype(np.int64)), minlength=len(own))])
+            yield pd.DataFrame({"k": np.arange(-1, len(own)), "v": np.concatenate([[bias], own]) * n, "n": n})
+
+        got = table.mapInPandas(steps, schema="k int, v double, n double").groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas().sort_values("k")
+        if not len(got):
+            break
+        mean = (got["v"] / got["n"].clip(lower=1e-9)).to_numpy()
+        w, b = mean[1:], float(mean[0])
+    return Model(dims, at, w, b), handed
 
-    chosen = docs.join(F.broadcast(ids), "id").select("id", "y", "text", "source", "lang")
-    got = chosen.mapInPandas(per_batch, schema="id long, y double, a array<int>, b array<int>").toPandas().sort_values(["id", "y"])
-    a, b = (_joined([np.array(v, dtype=np.int32) for v in got[c]]) for c in ("a", "b"))
-    return got["id"].to_numpy(), got["y"].to_numpy(dtype=float), a, b
 
+def _calibrated(table: DataFrame, models: list[Model]) -> Scorer:
+    """Both models with scales from labelled rows that were held out (from all
+    labelled ones if none of a class was)."""
 
-def train(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pseudo_rows: int = PSEUDO_ROWS,
-          rounds: int = ROUNDS, sure: float = SURE) -> Scorer:
+    def per_batch(batches):
+        for pdf in batches:
+            found = [_joined([np.frombuffer(v, dtype=np.int32) for v in pdf[c]]) for c in ("a", "b")]
+            z = [m.logits(*f) for m, f in zip(models, found, strict=True)]
+            yield pd.DataFrame({"h": pdf["h"], "y": pdf["y"], "held": held_out(pdf), "t": z[0], "m": z[1]})
+
+    rows = table.where("y is not null").mapInPandas(per_batch, schema="h long, y double, held boolean, t double, m double")
+    got = rows.orderBy(F.desc("held"), F.xxhash64("h"), "h").limit(CALIBRATION_ROWS).toPandas()
+    apart = got[got["held"]] if got.loc[got["held"], "y"].nunique() == 2 else got
+    if not len(apart):
+        return Scorer(*models, np.array([0.0, 1.0]), np.array([0.0, 1.0]), np.zeros(3))
+    y, z = apart["y"].to_numpy(), [apart[c].to_numpy() for c in ("t", "m")]
+    scales = [calibrate(v[:, None], y) for v in z]
+    both = calibrate(np.column_stack([s[0] + s[1] * v for s, v in zip(scales, z, strict=True)]), y)
+    return Scorer(*models, *scales, both, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
+
+
+def train(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, sure: float = SURE, seen: list | None = None) -> Scorer:
     """Fit both views on documents (doc_id, text, source, lang) and labels
     (doc_id, quality, toxic).
 
-    Good means quality 1 and not toxic; of several labels of one document the
-    worst counts, null labels do not. At most ``labelled_rows`` labelled
-    documents, chosen by a hash of their id, are fitted on; every
-    CALIBRATION_SHARE-th of them is kept for calibration alone. In each round
-    a view hands on at most ``pseudo_rows`` unlabelled documents of each class
-    that it gives a probability of at least ``sure``, its surest first among
-    all unlabelled documents. Without labels every document scores 0.5.
+    Good means quality 1 and not toxic; of several labels of one document, or
+    of equal documents, the worst counts; null labels and rows without doc_id
+    do not. All labelled documents are fitted on but every
+    CALIBRATION_SHARE-th, which is kept for calibration (CALIBRATION_ROWS of
+    them at most). In each round a view takes on every unlabelled document that
+    the other gives a probability of at least ``sure`` of either class and that
+    it does not lean against. Without labels every document scores 0.5. Null
+    texts are empty; repeated rows are one document; any text length will do.
+    ``seen`` gets (round, view, bad, good): how many documents were handed on.
     """
-    docs = documents.select(F.col("doc_id").alias("id"), "text", "source", "lang").where("id is not null")
-    known = materialize(labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id"))
-                        .agg(F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1.0).otherwise(0.0)).alias("y")))
-    order = F.xxhash64(F.lit(3), "id")
-    sample = known.orderBy(order, "id").limit(labelled_rows)
-    features = Features()
-    ids, y, a, b = _fetch(docs, sample, features)
-    zero = (np.zeros(1 << TEXT_BITS, dtype=np.float32), 0.0), (np.zeros(1 << META_BITS, dtype=np.float32), 0.0)
-    if not len(ids):
-        return Scorer(*zero, np.array([0.0, 1.0]), np.array([0.0, 1.0]), np.zeros(3))
-    held = mix64(ids.astype(np.uint64) + np.uint64(17)) % np.uint64(CALIBRATION_SHARE) == 0
-    if held.all() or not held.any():
-        held = np.arange(len(ids)) % 2 == 0 if len(ids) > 1 else np.zeros(1, dtype=bool)
-    every = _Rows(*a, y), _Rows(*b, y)
-    rows = [v.take(~held) for v in every]
-    apart = [v.take(held) if held.any() else v for v in every]
-    dims = (1 << TEXT_BITS, 1 << META_BITS)
-
-    def scorer() -> Scorer:
-        models = [fit(r.flat, r.cut, r.y, d, LEAST_Z[v]) for r, d, v in zip(rows, dims, ("text", "meta"), strict=True)]
-        z = [np.clip(logits(m, v.flat, v.cut), -30, 30) for m, v in zip(models, apart, strict=True)]
-        scales = [calibrate(v[:, None], apart[0].y) for v in z]
-        both = np.column_stack([s[0] + s[1] * v for s, v in zip(scales, z, strict=True)])
-        return Scorer(*models, *scales, calibrate(both, apart[0].y))
-
-    now = scorer()
-    handed = [set(), set()]
-    for _ in range(rounds):
-        # scored where they lie: only ids and scores are shuffled to leave out the labelled ones
-        scored = materialize(docs.select("id", scores(now).alias("p")).select("id", "p.p_text", "p.p_meta"))
-        seen = materialize(scored.join(known.select("id"), "id", "left_anti")
-                           .groupBy("id").agg(F.min("p_text").alias("p_text"), F.min("p_meta").alias("p_meta")))
-        for giver, taker in ((0, 1), (1, 0)):
-            p = F.col(("p_text", "p_meta")[giver])
-            good = seen.where(p >= sure).orderBy(p.desc(), order, "id").limit(pseudo_rows).select("id", F.lit(1.0).alias("y"))
-            bad = seen.where(p <= 1 - sure).orderBy(p, order, "id").limit(pseudo_rows).select("id", F.lit(0.0).alias("y"))
-            got = _fetch(docs, good.union(bad), features)
-            fresh = np.array([i not in handed[taker] for i in got[0].tolist()], dtype=bool)
-            handed[taker].update(got[0].tolist())
-            new = _Rows(*got[2 + taker], got[1]).take(fresh)
-            rows[taker] = rows[taker].plus(new.flat, new.cut, new.y)
-        now = scorer()
-    return now
+    table = _known(documents, labels)
+    scorer = None
+    for k in range(rounds + 1):
+        fits = [_fitted(table, _Exchange(view, scorer, sure)) for view in (0, 1)]
+        if seen is not None:
+            seen += [(k, view, *handed) for view, (_, handed) in enumerate(fits)]
+        scorer = _calibrated(table, [m for m, _ in fits])
+    return scorer
 
 
 def score_documents(documents: DataFrame, scorer: Scorer, keep: float = KEEP) -> DataFrame:

@@ -232,6 +232,7 @@ def test_decontamination(spark, docs, texts):
         return re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", " ", t.lower()).split()
 
     block = decontaminate.ItemBlock([(r.item_id, r.text) for r in items.collect()], 5, 15)
+    held = Counter(s for r in items.collect() for w in [plain(r.text)] for s in {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))})
     want = set()
     for i, t, _ in texts:
         w = plain(t)
@@ -239,7 +240,8 @@ def test_decontamination(spark, docs, texts):
             item = plain(r.text)
             a = {tuple(item[j : j + 5]) for j in range(max(1, len(item) - 4))}
             every = [{tuple(w[j : j + 5]) for j in range(p, p + max(1, len(item) - 4)) if j + 5 <= len(w)} for p in range(max(1, len(w) - len(item) + 1))]
-            if any(a & e and len(a & e) >= 0.8 * len(a | e) for e in every):
+            weight = {s: decontaminate.SCALE // held[s] for s in a}
+            if any(sum(weight[s] for s in a & e) * len(a) >= 0.8 * sum(weight.values()) * (len(a) + len(e - a)) for e in every):
                 want.add((i, r.item_id))
     assert got == want and want and block.ids
 
@@ -282,6 +284,28 @@ def test_items_that_share_wording_are_found_whatever_the_blocks(spark, monkeypat
         assert {(r.doc_id, r.item_id): r.similarity for r in got} == pytest.approx(want) and len(got) == len(want)
 
 
+def test_shared_wording_weighs_less_whatever_the_blocks(spark, monkeypatch):
+    """Ten items of one long preamble and an own end each: the preamble alone
+    is nobody's passage, an own end with most of the preamble is its item's."""
+    preamble, ends = [f"p{x}" for x in range(40)], [[f"e{k}x{x}" for x in range(14)] for k in range(10)]
+    items = [(k, " ".join(preamble + e)) for k, e in enumerate(ends)]
+    copies = [(0, " ".join(preamble + [f"q{x}" for x in range(14)])), (1, " ".join(preamble[3:] + ends[4] + ["z"] * 3)), (2, items[7][1]),
+              (3, " ".join(preamble + ends[5][:-1] + ["other"]))]
+    docs, table = (spark.createDataFrame(x, f"{name} long, text string") for x, name in ((copies, "doc_id"), (items, "item_id")))
+    own, shared = decontaminate.SCALE, decontaminate.SCALE // 10
+    total = 14 * own + 36 * shared
+
+    def weighed(owns, shareds, more):
+        return (owns * own + shareds * shared) / total * 50 / (50 + more)
+
+    want = {(1, 4): weighed(14, 33, 3), (2, 7): 1.0, (3, 5): weighed(13, 36, 1)}
+    for size, piece in ((20_000, 1 << 16), (3, 10)):
+        monkeypatch.setattr(decontaminate, "ITEMS_PER_BLOCK", size)
+        monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece)
+        got = decontaminate.find_passages(docs, table).collect()
+        assert {(r.doc_id, r.item_id): r.similarity for r in got} == pytest.approx(want)
+
+
 def test_window_fingerprints_count_each_shingle_once():
     rng = np.random.default_rng(6)
     block = decontaminate.ItemBlock([(1, "a b c d e f g")], 5, 15)

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from retail_insight.llm import (
     decontaminate, fingerprints, jaccard_join, license_scan, line_dedup, lm_score, quality, secret_scan, source_mix, token_counts,
@@ -124,6 +125,31 @@ def test_pipeline_stages(spark, odd, nothing, tmp_path):
     assert 6 not in kept and {1, 2, 3, 4, 5, None} <= set(kept)
 
 
+def test_decontamination_stage_goes_by_row(spark, odd, nothing, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, WORDS), (None, "a row without an id but with some words in it")], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    more = odd.where("doc_id = 1").withColumn("text", F.lit("some clean words that share their number with a copied passage"))
+    rows = pipeline.decontamination_stage(spark, odd.union(more), str(tmp_path))
+    assert rows.columns == odd.columns
+    assert sorted((r.doc_id, (r.text or "")[:5]) for r in rows.collect()) == [(1, "some "), (2, ""), (3, ""), (4, "   \n "), (5, "lorem"), (7, "x"), (8, "passw")]
+    assert pipeline.decontamination_stage(spark, nothing, str(tmp_path)).count() == 0
+
+
+def test_quality_stage_and_run(spark, odd, nothing, labels, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = odd.drop("copies")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, WORDS)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = pipeline.quality_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() <= docs.count()
+    assert pipeline.quality_stage(spark, nothing.drop("copies"), str(tmp_path)).count() == 0
+    mixed = pipeline.run(spark, str(tmp_path))
+    assert mixed.columns == [*docs.columns, "copies", "taken"]
+    assert not [r for r in mixed.collect() if r.text and WORDS in r.text]
+
+
 def test_mix_stage_gives_every_row_its_own_share(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(8)
