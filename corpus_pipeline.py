@@ -18,7 +18,9 @@ from retail_insight.session import ensure_checkpoint_dir, materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier does not reject."""
+    """Documents that the co-trained classifier does not reject, each row by
+    its own text, source and language (nulls are values of their own). Where no
+    label helps every row has 0.5 and stays; an empty table stays empty."""
     scorer = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, scorer)
 
@@ -44,9 +46,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
-    found = decontaminate.find_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows without a passage of a benchmark item. Each row is judged by its
+    own text, also one without doc_id or with another row's: rows go by a
+    128-bit hash of all their columns. Null and empty texts stay, rows that
+    agree in every column stay or go together, an empty table stays empty."""
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*every).alias("_row"), F.concat_ws(",", F.xxhash64(*every), F.xxhash64(F.lit(1), *every)).alias("_key"))
+    texts = rows.select("_key", F.col("_row.text").alias("text"))
+    found = decontaminate.find_passages(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_key")
+    return rows.join(found.select("_key").distinct(), "_key", "left_anti").select("_row.*")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
