@@ -18,6 +18,8 @@ PSEUDO_SHARE of its labels. Only the telling features' weights reach the driver.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,6 +43,7 @@ BY_CHANCE = 10
 #: How often the tasks' weights are averaged, and the steps between.
 AVERAGES = 3
 STEPS = 80
+SUMS = 16
 TEXT_BITS = 20
 META_BITS = 12
 DIMS = (1 << TEXT_BITS, 1 << META_BITS)
@@ -90,7 +93,7 @@ class Features:
 
 
 def _joined(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return (np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)), np.cumsum([0, *map(len, found)])
+    return (np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)), np.cumsum([0, *map(len, found)])
 
 
 class Model:
@@ -202,8 +205,7 @@ def _known(documents: DataFrame, labels: DataFrame) -> DataFrame:
             for part in _parts(pdf):
                 texts = part["text"].tolist()
                 (a, ac), (b, bc) = f.text(texts), f.meta(texts, part["source"], part["lang"])
-                yield pd.DataFrame({"h": part["h"], "g": part["g"], "a": [a[i:j].tobytes() for i, j in zip(ac[:-1], ac[1:], strict=True)],
-                                    "b": [b[i:j].tobytes() for i, j in zip(bc[:-1], bc[1:], strict=True)]})
+                yield pd.DataFrame({"h": part["h"], "g": part["g"], "a": _packed(a, ac), "b": _packed(b, bc)})
 
     found = rows.select("h", "g", "text", "source", "lang").mapInPandas(per_batch, schema="h long, g long, a binary, b binary")
     # copies meet as partial aggregates, so a text that a third of the rows share is one row for each task
@@ -218,120 +220,166 @@ def _parts(pdf: pd.DataFrame):
         yield pdf[group == g]
 
 
+def _packed(flat: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """Each row's sorted features as the steps between them, compressed."""
+    return [zlib.compress(np.diff(flat[i:j], prepend=0).astype(np.int32).tobytes(), 1) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _unpacked(column) -> tuple[np.ndarray, np.ndarray]:
+    raw = [zlib.decompress(v) for v in column]
+    cut = np.cumsum([0, *(len(r) // 4 for r in raw)])
+    run = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join(raw), dtype=np.int32), dtype=np.int64)])
+    return run[1:] - np.repeat(run[cut[:-1]], np.diff(cut)), cut
+
+
 class _Exchange:
-    """Which rows a view learns from: labelled ones that are not kept for
-    calibration, and those that the other view is sure of and it does not
-    itself lean against."""
+    """Which rows each view learns from: labelled ones, and those that the
+    other view is sure of and it does not itself lean against."""
 
-    def __init__(self, view: int, scorer: Scorer | None, sure: float) -> None:
-        self.view, self.scorer, self.sure = view, scorer, sure
+    def __init__(self, scorer: Scorer | None, sure: float) -> None:
+        self.scorer, self.sure = scorer, sure
 
     def rows(self, pdf: pd.DataFrame):
-        """(y, pseudo-labelled, flat features, where each row's begin)."""
-        y = pdf["y"].to_numpy(dtype=float)
-        use, pseudo = ~np.isnan(y) & ~held_out(pdf), np.zeros(len(y), dtype=bool)
-        found = [_joined([np.frombuffer(v, dtype=np.int32) for v in pdf[c]]) for c in ("a", "b")]
-        if self.scorer:
-            z = self.scorer.views(found)
-            giver, own, border = z[1 - self.view], z[self.view], np.log(self.sure / (1 - self.sure))
-            prior = self.scorer.prior   # a view leans one way if it moves a document off the common odds
-            good, bad = (giver >= border) & (own >= prior), (giver <= -border) & (own <= prior)
-            pseudo = np.isnan(y) & (good | bad)
-            y = np.where(pseudo, good, y)
-        which = np.flatnonzero(use | pseudo)
-        flat, cut = found[self.view]
-        size = np.diff(cut)[which]
-        place = np.arange(size.sum()) + np.repeat(cut[which] - (np.cumsum(size) - size), size)
-        return y[which], pseudo[which], flat[place], np.concatenate([[0], np.cumsum(size)])
+        """For each view the places of its rows in pdf, their y, whether that
+        is a pseudo-label, whether they are kept for calibration, and their
+        features (flat, and where each row's begin)."""
+        label = pdf["y"].to_numpy(dtype=float)
+        found = [_unpacked(pdf[c]) for c in ("a", "b")]
+        z = self.scorer.views(found) if self.scorer else None
+        for view, (flat, cut) in enumerate(found):
+            y, pseudo = label, np.zeros(len(label), dtype=bool)
+            if z:
+                giver, own, border = z[1 - view], z[view], np.log(self.sure / (1 - self.sure))
+                prior = self.scorer.prior   # a view leans one way if it moves a document off the common odds
+                good, bad = (giver >= border) & (own >= prior), (giver <= -border) & (own <= prior)
+                pseudo = np.isnan(label) & (good | bad)
+                y = np.where(pseudo, good, label)
+            which = np.flatnonzero(~np.isnan(y))
+            size = np.diff(cut)[which]
+            place = np.arange(size.sum()) + np.repeat(cut[which] - (np.cumsum(size) - size), size)
+            held = held_out(pdf) & ~np.isnan(label)
+            yield view, which, y[which], pseudo[which], held[which], flat[place], np.concatenate([[0], np.cumsum(size)])
 
 
 def held_out(pdf: pd.DataFrame) -> np.ndarray:
     return mix64(pdf["h"].to_numpy().view(np.uint64) + np.uint64(17)) % np.uint64(CALIBRATION_SHARE) == 0
 
 
-def _telling(table: DataFrame, exchange: _Exchange):
-    """(features, (good, bad) weight of a pseudo-label, its rows): the features
-    whose counts differ by class beyond chance."""
-    dims = DIMS[exchange.view]
+def _telling(table: DataFrame, exchange: _Exchange) -> list:
+    """For each view: its telling features (those whose counts differ by class
+    beyond chance), the weights of bad and good pseudo-labels, their numbers."""
 
     def count(batches):
-        total = np.zeros((4, dims + 1))     # labelled bad and good, pseudo-labelled bad and good; last: rows
+        total = [np.zeros((4, d + 1)) for d in DIMS]     # labelled bad and good, pseudo-labelled bad and good; last: rows
         for pdf in batches:
-            y, pseudo, flat, cut = exchange.rows(pdf)
-            kind = (2 * pseudo + y).astype(np.int64)
-            total[:, dims] += np.bincount(kind, minlength=4)
-            of = np.repeat(kind, np.diff(cut))
-            for k in range(4):
-                total[k, :dims] += np.bincount(flat[of == k], minlength=dims)
-        at = np.flatnonzero(total.any(axis=0))
-        yield pd.DataFrame({"at": at} | {f"n{k}": total[k, at] for k in range(4)})
-
-    counts = materialize(table.mapInPandas(count, schema="at int, n0 double, n1 double, n2 double, n3 double")
-                         .groupBy("at").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]))
-    row = counts.agg(*[F.max(F.when(F.col("at") == dims, F.col(f"n{k}"))).alias(f"n{k}") for k in range(4)],
-                     F.count_if((F.col("at") < dims) & (F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") >= LEAST_ROWS)).alias("many")).first()
-    if row["n0"] is None:
-        return np.empty(0, dtype=np.int64), (0.0, 0.0), (0, 0)
-    weight = tuple(min(1.0, PSEUDO_SHARE * max(row[f"n{k}"], 1.0) / row[f"n{k + 2}"]) if row[f"n{k + 2}"] else 0.0 for k in (0, 1))
-    n = [row[f"n{k}"] + weight[k] * row[f"n{k + 2}"] for k in (0, 1)]
-    have = [F.col(f"n{k}") + F.lit(weight[k]) * F.col(f"n{k + 2}") for k in (0, 1)]
-    every = sum(n)
-
-    def part(seen, expected):
-        return F.when((seen > 1e-9) & (expected > 0), seen * F.log(seen / expected)).otherwise(0.0)
-
-    both = have[0] + have[1]
-    ratio = sum((part(have[k], both * (n[k] / every)) + part(F.lit(n[k]) - have[k], (F.lit(every) - both) * (n[k] / every)) for k in (0, 1)), F.lit(0.0))
-    least = max(float(np.log(row["many"] / BY_CHANCE)) if row["many"] else 0.0, 4.0)
-    chosen = counts.where((F.col("at") < dims) & (both >= LEAST_ROWS) & (ratio >= least)).select("at").toPandas()
-    return np.sort(chosen["at"].to_numpy(dtype=np.int64)), weight, (int(row["n2"]), int(row["n3"]))
-
-
-def _fitted(table: DataFrame, exchange: _Exchange) -> tuple[Model, tuple[int, int]]:
-    """The model of a view, and its pseudo-labelled rows (bad, good)."""
-    dims = DIMS[exchange.view]
-    at, weight, handed = _telling(table, exchange)
-    w, b = np.zeros(len(at)), 0.0
-    for _ in range(AVERAGES):
-
-        def steps(batches, w=w, b=b):
-            place = np.full(dims, -1, dtype=np.int64)
+            for view, _, y, pseudo, held, flat, cut in exchange.rows(pdf):
+                kind = np.where(held, -1, 2 * pseudo + y).astype(np.int64)
+                of = np.repeat(kind, np.diff(cut))
+                for k in range(4):
+                    total[view][k, -1] += np.count_nonzero(kind == k)
+                    total[view][k, :-1] += np.bincount(flat[of == k], minlength=DIMS[view])
+        for view, t in enumerate(total):
+            at = np.flatnonzero(t.any(axis=0))
+            yield pd.DataFrame({"view": np.full(len(at), view), "at": at} | {f"n{k}": t[k, at] for k in range(4)})
+
+    n = [F.col(f"n{k}") for k in range(4)]
+    counts = materialize(table.mapInPandas(count, schema="view int, at int, n0 double, n1 double, n2 double, n3 double")
+                         .groupBy("view", "at").agg(*[F.sum(c).alias(f"n{k}") for k, c in enumerate(n)]))
+    rows = F.col("at") == F.when(F.col("view") == 0, DIMS[0]).otherwise(DIMS[1])
+    sums = {r["view"]: r for r in counts.groupBy("view").agg(*[F.max(F.when(rows, c)).alias(f"n{k}") for k, c in enumerate(n)],
+                                                             F.count_if(~rows & (n[0] + n[1] + n[2] + n[3] >= LEAST_ROWS)).alias("many")).collect()}
+    out = []
+    for view, dims in enumerate(DIMS):
+        row = sums.get(view)
+        if row is None or row["n0"] is None:
+            out.append((np.empty(0, dtype=np.int64), (0.0, 0.0), (0, 0)))
+            continue
+        weight = tuple(min(1.0, PSEUDO_SHARE * max(row[f"n{k}"], 1.0) / row[f"n{k + 2}"]) if row[f"n{k + 2}"] else 0.0 for k in (0, 1))
+        size = [row[f"n{k}"] + weight[k] * row[f"n{k + 2}"] for k in (0, 1)]
+        have = [n[k] + F.lit(weight[k]) * n[k + 2] for k in (0, 1)]
+        every, both = max(sum(size), 1e-9), have[0] + have[1]
+
+        def part(seen, expected):
+            return F.when((seen > 1e-9) & (expected > 0), seen * F.log(seen / expected)).otherwise(0.0)
+
+        ratio = sum((part(have[k], both * (size[k] / every)) + part(F.lit(size[k]) - have[k], (F.lit(every) - both) * (size[k] / every))
+                     for k in (0, 1)), F.lit(0.0))
+        least = max(float(np.log(row["many"] / BY_CHANCE)) if row["many"] else 0.0, 4.0)
+        chosen = counts.where((F.col("view") == view) & (F.col("at") < dims) & (both >= LEAST_ROWS) & (ratio >= least)).select("at").toPandas()
+        out.append((np.sort(chosen["at"].to_numpy(dtype=np.int64)), weight, (int(row["n2"]), int(row["n3"]))))
+    return out
+
+
+def _fitted(table: DataFrame, exchange: _Exchange) -> tuple[Scorer, list]:
+    """Both views' models, calibrated, and how many pseudo-labels (bad, good)
+    each view was handed."""
+    telling = _telling(table, exchange)
+
+    def narrowed(batches):
+        places = [np.full(d, -1, dtype=np.int64) for d in DIMS]
+        for place, (at, _, _) in zip(places, telling, strict=True):
             place[at] = np.arange(len(at))
-            rows = []
-            for pdf in batches:
-                y, pseudo, flat, cut = exchange.rows(pdf)
-                flat = place[flat]
+        for pdf in batches:
+            for view, which, y, pseudo, held, flat, cut in exchange.rows(pdf):
+                flat = places[view][flat]
                 run = np.concatenate([[0], np.cumsum(flat >= 0)])
-                rows.append((y, np.where(pseudo, np.where(y == 1, weight[1], weight[0]), 1.0), flat[flat >= 0], np.diff(run[cut])))
-            y, each, flat, size = (np.concatenate([r[k] for r in rows]) if rows else np.empty(0) for k in range(4))
-            if not len(y):
-                return
-            own, bias = fit(flat.astype(np.int64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64), y, each, w, b, STEPS)
-            # a task speaks for a feature by how often it saw it
-            n = np.concatenate([[each.sum()], np.bincount(flat.astype(np.int64), weights=np.repeat(each, size.astype(np.int64)), minlength=len(own))])
-            yield pd.DataFrame({"k": np.arange(-1, len(own)), "v": np.concatenate([[bias], own]) * n, "n": n})
-
-        got = table.mapInPandas(steps, schema="k int, v double, n double").groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas().sort_values("k")
-        if not len(got):
-            break
-        mean = (got["v"] / got["n"].clip(lower=1e-9)).to_numpy()
-        w, b = mean[1:], float(mean[0])
-    return Model(dims, at, w, b), handed
+                weight = np.where(pseudo, np.where(y == 1, telling[view][1][1], telling[view][1][0]), 1.0)
+                yield pd.DataFrame({"view": np.full(len(y), view), "h": pdf["h"].to_numpy()[which], "g": pdf["g"].to_numpy()[which], "y": y,
+                                    "pseudo": pseudo, "held": held, "w": weight, "f": _packed(flat[flat >= 0], run[cut])})
 
+    rows = materialize(table.mapInPandas(narrowed, schema="view int, h long, g long, y double, pseudo boolean, held boolean, w double, f binary"))
+    learnt = [(np.zeros(len(at)), 0.0) for at, _, _ in telling]
+    for _ in range(AVERAGES):
 
-def _calibrated(table: DataFrame, models: list[Model]) -> Scorer:
+        def steps(batches, learnt=learnt):
+            seen = [[], []]
+            for pdf in batches:
+                for view in (0, 1):
+                    some = pdf[pdf["view"] == view]
+                    flat, cut = _unpacked(some["f"])
+                    seen[view].append((some["y"].to_numpy(), some["w"].to_numpy(), flat, np.diff(cut)))
+            for view, parts in enumerate(seen):
+                y, each, flat, size = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0) for k in range(4))
+                if not len(y):
+                    continue
+                own, bias = fit(flat, np.concatenate([[0], np.cumsum(size)]), y, each, *learnt[view], STEPS)
+                # a task speaks for a feature by how often it saw it
+                n = np.concatenate([[each.sum()], np.bincount(flat, weights=np.repeat(each, size), minlength=len(own))])
+                yield pd.DataFrame({"view": [view], "v": [np.stack([np.concatenate([[bias], own]) * n, n]).tobytes()]})
+
+        def added(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"view": pdf["view"][:1], "v": [sum(np.frombuffer(v) for v in pdf["v"]).tobytes()]})
+
+        tasks = rows.where("not held").mapInPandas(steps, schema="view int, v binary")
+        # two levels: a vector for each task, then SUMS of them for each view
+        got = tasks.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(SUMS))).groupBy("view", "part").applyInPandas(added, "view int, v binary").toPandas()
+        learnt = list(learnt)
+        for view, some in got.groupby("view"):
+            v, n = sum(np.frombuffer(x) for x in some["v"]).reshape(2, -1)
+            mean = v / np.maximum(n, 1e-9)
+            learnt[view] = (mean[1:], float(mean[0]))
+    models = [Model(d, at, *w) for d, (at, _, _), w in zip(DIMS, telling, learnt, strict=True)]
+    return _calibrated(rows, models, learnt), [t[2] for t in telling]
+
+
+def _calibrated(rows: DataFrame, models: list[Model], learnt: list) -> Scorer:
     """Both models with scales from labelled rows that were held out (from all
-    labelled ones if none of a class was)."""
+    labelled ones if those are not of both classes)."""
 
     def per_batch(batches):
         for pdf in batches:
-            found = [_joined([np.frombuffer(v, dtype=np.int32) for v in pdf[c]]) for c in ("a", "b")]
-            z = [m.logits(*f) for m, f in zip(models, found, strict=True)]
-            yield pd.DataFrame({"h": pdf["h"], "y": pdf["y"], "held": held_out(pdf), "t": z[0], "m": z[1]})
-
-    rows = table.where("y is not null").mapInPandas(per_batch, schema="h long, y double, held boolean, t double, m double")
-    got = rows.orderBy(F.desc("held"), F.xxhash64("h"), "h").limit(CALIBRATION_ROWS).toPandas()
-    apart = got[got["held"]] if got.loc[got["held"], "y"].nunique() == 2 else got
+            for view, (w, b) in enumerate(learnt):
+                some = pdf[pdf["view"] == view]
+                flat, cut = _unpacked(some["f"])
+                run = np.concatenate([[0.0], np.cumsum(w[flat])])
+                yield pd.DataFrame({"view": view, "h": some["h"], "g": some["g"], "y": some["y"], "held": some["held"],
+                                    "z": np.clip(run[cut[1:]] - run[cut[:-1]] + b, -30, 30)})
+
+    scored = rows.where("not pseudo").mapInPandas(per_batch, schema="view int, h long, g long, y double, held boolean, z double")
+    got = (scored.groupBy("h", "g").agg(F.first("y").alias("y"), F.first("held").alias("held"), *[
+        F.max(F.when(F.col("view") == k, F.col("z"))).alias(c) for k, c in enumerate("tm")])
+        .orderBy(F.desc("held"), F.xxhash64("h"), "h", "g").limit(CALIBRATION_ROWS).toPandas())
+    apart = got[got["held"]] if got.loc[got["held"].astype(bool), "y"].nunique() == 2 else got
     if not len(apart):
         return Scorer(*models, np.array([0.0, 1.0]), np.array([0.0, 1.0]), np.zeros(3))
     y, z = apart["y"].to_numpy(), [apart[c].to_numpy() for c in ("t", "m")]
@@ -357,10 +405,9 @@ def train(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, sure: f
     table = _known(documents, labels)
     scorer = None
     for k in range(rounds + 1):
-        fits = [_fitted(table, _Exchange(view, scorer, sure)) for view in (0, 1)]
+        scorer, handed = _fitted(table, _Exchange(scorer, sure))
         if seen is not None:
-            seen += [(k, view, *handed) for view, (_, handed) in enumerate(fits)]
-        scorer = _calibrated(table, [m for m, _ in fits])
+            seen += [(k, view, *n) for view, n in enumerate(handed)]
     return scorer
 
 
