@@ -189,12 +189,18 @@ def scores(scorer: Scorer):
     return of("text", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
 
 
-def _known(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def _hashed(documents: DataFrame) -> DataFrame:
+    """id, two hashes h and g of (text, source, lang),
+    and these, null as empty."""
+    key = [F.coalesce(c, F.lit("")) for c in ("text", "source", "lang")]
+    return documents.select(F.col("doc_id").alias("id"), *[k.alias(n) for k, n in zip(key, ("text", "source", "lang"), strict=True)],
+                            F.xxhash64(*key).alias("h"), F.xxhash64(F.lit(7), *key).alias("g"))
+
+
+def known_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each distinct (text, source, lang): two hashes h and g, the
     label y (null if none), and the features a and b of both views (bytes)."""
-    key = [F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))]
-    rows = documents.where("doc_id is not null").select(F.col("doc_id").alias("id"), *[k.alias(n) for k, n in zip(key, ("text", "source", "lang"), strict=True)],
-                                                        F.xxhash64(*key).alias("h"), F.xxhash64(F.lit(7), *key).alias("g"))
+    rows = _hashed(documents)
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg(
         F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1.0).otherwise(0.0)).alias("y"))
     marked = rows.select("id", "h", "g").join(marks, "id").groupBy("h", "g").agg(F.min("y").alias("y"))
@@ -388,21 +394,23 @@ def _calibrated(rows: DataFrame, models: list[Model], learnt: list) -> Scorer:
     return Scorer(*models, *scales, both, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
 
 
-def train(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, sure: float = SURE, seen: list | None = None) -> Scorer:
+def train(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, sure: float = SURE, seen: list | None = None,
+          known: DataFrame | None = None) -> Scorer:
     """Fit both views on documents (doc_id, text, source, lang) and labels
     (doc_id, quality, toxic).
 
     Good means quality 1 and not toxic; of several labels of one document, or
-    of equal documents, the worst counts; null labels and rows without doc_id
-    do not. All labelled documents are fitted on but every
+    of equal documents, the worst counts; null labels do not, and a row without
+    doc_id has none. All labelled documents are fitted on but every
     CALIBRATION_SHARE-th, which is kept for calibration (CALIBRATION_ROWS of
     them at most). In each round a view takes on every unlabelled document that
     the other gives a probability of at least ``sure`` of either class and that
     it does not lean against. Without labels every document scores 0.5. Null
     texts are empty; repeated rows are one document; any text length will do.
-    ``seen`` gets (round, view, bad, good): how many documents were handed on.
+    ``seen`` gets (round, view, bad, good): how many documents were handed on;
+    ``known`` saves reading the documents if known_documents() was called.
     """
-    table = _known(documents, labels)
+    table = known_documents(documents, labels) if known is None else known
     scorer = None
     for k in range(rounds + 1):
         scorer, handed = _fitted(table, _Exchange(scorer, sure))
@@ -419,6 +427,22 @@ def score_documents(documents: DataFrame, scorer: Scorer, keep: float = KEEP) ->
             .withColumn("keep", F.col("p_good") >= keep))
 
 
+def score_known(documents: DataFrame, scorer: Scorer, known: DataFrame, keep: float = KEEP) -> DataFrame:
+    """The result of score_documents(), from the features that
+    known_documents() has gathered of the same documents: each distinct
+    document is scored once, and rows meet their scores by its hashes."""
+
+    def per_batch(batches):
+        for pdf in batches:
+            z = scorer.views([_unpacked(pdf[c]) for c in ("a", "b")])
+            p = _sigmoid(np.column_stack([*z, scorer.combine[0] + scorer.combine[1] * z[0] + scorer.combine[2] * z[1]]))
+            yield pd.DataFrame({"h": pdf["h"], "g": pdf["g"], "p_text": p[:, 0], "p_meta": p[:, 1], "p_good": p[:, 2]})
+
+    scored = known.mapInPandas(per_batch, schema="h long, g long, p_text double, p_meta double, p_good double")
+    return (_hashed(documents).select("id", "h", "g").join(scored, ["h", "g"])
+            .select(F.col("id").alias("doc_id"), "p_text", "p_meta", "p_good", (F.col("p_good") >= keep).alias("keep")))
+
+
 def keep_good(documents: DataFrame, scorer: Scorer, keep: float = KEEP) -> DataFrame:
     """The rows of documents that are not rejected, with all their columns."""
     return documents.where(scores(scorer)["p_good"] >= keep)
@@ -427,4 +451,5 @@ def keep_good(documents: DataFrame, scorer: Scorer, keep: float = KEEP) -> DataF
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Quality scores of all ``documents``, learnt from ``labels``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    known = known_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_known(docs, train(docs, None, known=known), known)

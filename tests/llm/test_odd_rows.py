@@ -46,6 +46,9 @@ def test_quality(odd, nothing, labels):
     assert got.count() == N and quality.score_documents(nothing, scorer).count() == 0
     assert all(0 <= r.p_good <= 1 for r in got.collect())
     assert quality.keep_good(odd, scorer).columns == odd.columns
+    known = quality.known_documents(odd, labels)
+    again = {(r.doc_id, round(r.p_good, 9), r.keep) for r in quality.score_known(odd, scorer, known).collect()}
+    assert again == {(r.doc_id, round(r.p_good, 9), r.keep) for r in got.collect()} and quality.score_known(odd, scorer, known).count() == N
     blank = quality.train(nothing, labels.where("1 = 0"))
     assert {r.p_good for r in quality.score_documents(odd, blank).collect()} == {0.5}
     assert quality.train(nothing, labels) is not None
