@@ -13,10 +13,14 @@ earlier line equals it or lies within the bound.
 
 Only lines that can have a partner emit variants: the one differing word lies
 in the first or the second half, so partners agree in the other half.
+
+Words are runs of anything but white space; each character of a script that is
+written without spaces is a word of its own.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -27,13 +31,22 @@ from pyspark.sql import functions as F
 from retail_insight.llm.textarrays import WordHasher, mix64, powers
 from retail_insight.session import materialize
 
-MIN_WORDS = 4
+MIN_WORDS = 1
 NEAR_WORDS = 8
 PART_CHARS = 2_000_000
+# a line that is more than 1/HOT_PART of all lines is hot: there are fewer than HOT_PART such lines
+HOT_PART = 1000
+# Thai, Lao, Myanmar, Khmer, kana, Han
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 _STEP = 0xC2B2AE3D27D4EB4F
 _INVERSE = pow(_STEP, -1, 1 << 64)
 
 
+def spaced(line: str) -> str:
+    """The line with spaces around the characters that are words by themselves."""
+    return line if line.isascii() else _UNSPACED.sub(r" \1 ", line)
+
+
 def _salted(x: np.ndarray, *parts) -> np.ndarray:
     for p in parts:
         x = mix64(x + np.uint64(0x9E3779B97F4A7C15) * (np.atleast_1d(p).astype(np.uint64) + np.uint64(1)))
@@ -50,7 +63,7 @@ class LineKeys:
         self.up = powers(_STEP, 1)
 
     def read(self, lines: list[str]) -> None:
-        self.words, self.cut = self.hasher.many(lines)
+        self.words, self.cut = self.hasher.many([spaced(x) for x in lines])
         n = len(self.words) + 2
         if n > len(self.up):
             self.up, self.down = powers(_STEP, n), powers(_INVERSE, n)
@@ -181,20 +194,48 @@ def one_edit(a: list, b: list) -> bool:
 def _near(a: str, b: str):
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([one_edit(v.encode().lower().split(), w.encode().lower().split())
+        return pd.Series([one_edit(spaced(v).encode().lower().split(), spaced(w).encode().lower().split())
                           for v, w in zip(x, y, strict=True)], dtype=bool)
 
     return near(a, b)
 
 
+def _without(text, gone):
+    """text, n_exact, n_near: each text without the lines (line, crc, near)
+    that ``gone`` names, in time linear in both. A null text stays null."""
+
+    @F.pandas_udf("text string, n_exact long, n_near long")
+    def without(texts: pd.Series, named: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, rs in zip(texts, named, strict=True):
+            if t is None:
+                rows.append((None, 0, 0))
+                continue
+            out = {(r["line"], r["crc"]): r["near"] for r in rs}
+            left, lost = [], [0, 0]
+            for k, x in enumerate(t.split("\n")):
+                near = out.get((k, zlib.crc32(x.encode("utf-8"))))
+                if near is None:
+                    left.append(x)
+                else:
+                    lost[near] += 1
+            rows.append(("\n".join(left), *lost))
+        return pd.DataFrame(rows, columns=["text", "n_exact", "n_near"])
+
+    return without(text, gone)
+
+
 def duplicate_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NEAR_WORDS) -> DataFrame:
     """doc, line, crc, near: the lines of documents (doc_id, text) that an
     earlier line equals (near = false) or lies within the bound of (true).
 
     Earlier means less by (doc_id, line number). Only lines of at least
     ``least`` words count, and near ones of at least ``near`` words, so that
-    one word is a small part of a line. Words are runs of anything but
-    white space, A-Z in either case alike.
+    one word is a small part of a line. A-Z are alike in either case.
+
+    Equal lines meet in a join by content; a line that is more than 1/HOT_PART
+    of all lines meets its earliest copy in a broadcast of fewer than HOT_PART
+    rows instead, so no task gathers its copies.
     """
     docs = documents.select(F.col("doc_id").alias("doc"), "text").where("doc is not null and text is not null")
     lines = materialize(_line_table(docs, least, near))
@@ -202,7 +243,11 @@ def duplicate_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NE
     keys = [F.first(f"p{j}").alias(f"p{j}") for j in range(4)]
     distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), *keys)
     repeated = distinct.where("first != last").select("h1", "h2", "first")
-    exact = (lines.select("h1", "h2", "doc", "line", "crc").join(repeated, ["h1", "h2"])
+    often = F.col("n") * HOT_PART > lines.count()
+    hot = materialize(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where(often))
+    places = lines.select("h1", "h2", "doc", "line", "crc")
+    exact = (places.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(repeated, ["h1", "h2"])
+             .unionByName(places.join(F.broadcast(hot.drop("n")), ["h1", "h2"]))
              .where(place != F.col("first")).select("doc", "line", "crc").distinct().withColumn("near", F.lit(False)))
     halves = distinct.where("p0 is not null").select("h1", "first", F.posexplode(F.array("p0", "p1", "p2", "p3")).alias("side", "half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("half")
@@ -234,7 +279,7 @@ def dedup_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NEAR_W
     A line goes if and only if an earlier one, by (doc_id, line number), in
     this or another document equals it or lies within the bound (see
     duplicate_lines). Null texts and rows without doc_id stay as they are;
-    empty lines and short ones stay. Rows that repeat a doc_id and text are
+    lines without a word stay, and so do lines of fewer than ``least`` words. Rows that repeat a doc_id and text are
     one document: they keep the same lines. Any line length and any number of
     copies will do. An empty table gives an empty result. Columns of the
     names n_lines, n_exact and n_near are replaced, all others kept.
@@ -244,19 +289,13 @@ def dedup_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NEAR_W
     kept = [c for c in documents.columns if c not in ("n_lines", "n_exact", "n_near")]
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
     old = F.col("row.text")
-    split = F.transform(F.split(old, "\n"), lambda x, i: F.struct(i.cast("int").alias("line"), F.crc32(x).alias("crc"), x.alias("x")))
-    seen = rows.join(found, F.col("row.doc_id") == F.col("id"), "left").select("row", "gone", F.when(F.col("gone").isNotNull(), split).alias("lines"))
-    gone = F.transform("gone", lambda g: F.struct(g["line"].alias("line"), g["crc"].alias("crc")))
-    stay = F.filter("lines", lambda v: ~F.array_contains(gone, F.struct(v["line"].alias("line"), v["crc"].alias("crc"))))
-    here = F.filter("gone", lambda g: F.exists("lines", lambda v: (v["line"] == g["line"]) & (v["crc"] == g["crc"])))
-    text = F.when(F.col("lines").isNull(), old).otherwise(F.array_join(F.transform(stay, lambda v: v["x"]), "\n"))
-    done = seen.select("row", text.alias("text"), F.when(F.col("lines").isNull(), F.array().cast(
-        "array<struct<line:int,crc:bigint,near:boolean>>")).otherwise(here).alias("here"))
+    seen = rows.join(found, F.col("row.doc_id") == F.col("id"), "left").select("row", "gone")
+    # only texts that lose lines are handed to Python
+    done = seen.select("row", _without(F.when(F.col("gone").isNotNull(), old), F.col("gone")).alias("left"))
     return done.select(
-        *[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in kept],
+        *[F.coalesce("left.text", old).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in kept],
         F.when(old.isNull(), F.lit(0)).otherwise(F.size(F.split(old, "\n"))).cast("long").alias("n_lines"),
-        F.size(F.filter("here", lambda g: ~g["near"])).cast("long").alias("n_exact"),
-        F.size(F.filter("here", lambda g: g["near"])).cast("long").alias("n_near"))
+        F.col("left.n_exact").alias("n_exact"), F.col("left.n_near").alias("n_near"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

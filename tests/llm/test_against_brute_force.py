@@ -63,7 +63,7 @@ def _near_lines(docs, least=line_dedup.MIN_WORDS, near=line_dedup.NEAR_WORDS):
     seen, out = [], {}
     for i, t in sorted(docs):
         for k, line in enumerate(t.split("\n")):
-            w = line.encode().lower().split()
+            w = re.sub("([\u3040-\u30ff\u4e00-\u9fff\u0e00-\u0e7f])", r" \1 ", line).encode().lower().split()
             if len(w) >= least:
                 if w in seen:
                     out[i, k] = False
@@ -78,11 +78,12 @@ def test_line_dedup(spark):
     for i in range(80):
         lines = []
         for _ in range(rng.randint(0, 6)):
-            line = [words[j * j % 6] for j in range(rng.choice([3, 5, 8, 9, 10]))]
+            line = [words[j * j % 6] for j in range(rng.choice([1, 2, 3, 5, 8, 9, 10]))]
             for _ in range(rng.randint(0, 2)):
                 at, kind = rng.randrange(len(line)), rng.random()
                 line[at : at + (kind < 0.7)] = [] if kind > 0.4 and len(line) > 1 else [rng.choice(words)]
-            lines.append((" " * rng.randint(1, 2)).join(line))
+            unspaced = rng.random() < 0.2
+            lines.append("".join("日本語ไทかな東"["abcdEf ".index(x)] for x in line) if unspaced else (" " * rng.randint(1, 2)).join(line))
         docs.append((i, "\n".join(lines)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r.doc, r.line): r.near for r in line_dedup.duplicate_lines(df).collect()}
@@ -91,6 +92,22 @@ def test_line_dedup(spark):
     assert all(kept[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in got) for i, t in docs)
 
 
+def test_hot_lines_meet_their_first_copy(spark, monkeypatch):
+    docs = [(i, f"{'the same short line' if i % 3 else 'yes'}\nline {i % 40}\n\n") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = set(_near_lines(docs))
+    for part in (3, 1000):
+        monkeypatch.setattr(line_dedup, "HOT_PART", part)
+        assert {(r.doc, r.line) for r in line_dedup.duplicate_lines(df).collect()} == want
+
+
+def test_many_lines_in_one_document(spark):
+    text = "\n".join(f"line number {i} of a long document with {i * 7919 % 64000} more words" for i in range(64_000))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert rows[2].text == "" and rows[2].n_lines == 64_000 and rows[2].n_exact + rows[2].n_near == 64_000
+
+
 def test_quality_on_labels_that_no_fit_has_seen(spark):
     docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
     seen, unseen = labels.where("doc_id % 3 != 0"), labels.where("doc_id % 3 = 0")
