@@ -109,6 +109,18 @@ class LineKeys:
         return np.concatenate(keys), np.concatenate(roles)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """materialize(), after which the shuffle files that made it go at once
+    instead of when the driver collects garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return materialize(df.select("*"))
+    finally:
+        conf.set(name, before)
+
+
 def _line_table(docs: DataFrame, least: int, near: int) -> DataFrame:
     """One row per line of at least ``least`` words: h1, h2, doc, line, crc,
     and the keys p0 to p3 of halves() for lines of at least ``near`` words."""
@@ -225,13 +237,8 @@ def _without(text, gone):
     return without(text, gone)
 
 
-def duplicate_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NEAR_WORDS) -> DataFrame:
-    """doc, line, crc, near: the lines of documents (doc_id, text) that an
-    earlier line equals (near = false) or lies within the bound of (true).
-
-    Earlier means less by (doc_id, line number). Only lines of at least
-    ``least`` words count, and near ones of at least ``near`` words, so that
-    one word is a small part of a line. A-Z are alike in either case.
+def _later_lines(documents: DataFrame, least: int, near: int) -> DataFrame:
+    """duplicate_lines(), a line once for each row that repeats its document.
 
     Equal lines meet in a join by content; a line that is more than 1/HOT_PART
     of all lines meets its earliest copy in a broadcast of fewer than HOT_PART
@@ -241,21 +248,20 @@ def duplicate_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NE
     lines = materialize(_line_table(docs, least, near))
     place = F.struct("doc", "line", "crc")
     keys = [F.first(f"p{j}").alias(f"p{j}") for j in range(4)]
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), *keys)
-    repeated = distinct.where("first != last").select("h1", "h2", "first")
+    distinct = _settled(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *keys))
     often = F.col("n") * HOT_PART > lines.count()
-    hot = materialize(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where(often))
+    hot, repeated = (distinct.where(c).select("h1", "h2", "first") for c in (often, (F.col("n") > 1) & ~often))
     places = lines.select("h1", "h2", "doc", "line", "crc")
-    exact = (places.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(repeated, ["h1", "h2"])
-             .unionByName(places.join(F.broadcast(hot.drop("n")), ["h1", "h2"]))
-             .where(place != F.col("first")).select("doc", "line", "crc").distinct().withColumn("near", F.lit(False)))
+    exact = (places.join(F.broadcast(hot.drop("first")), ["h1", "h2"], "left_anti").join(repeated, ["h1", "h2"])
+             .unionByName(places.join(F.broadcast(hot), ["h1", "h2"]))
+             .where(place != F.col("first")).select("doc", "line", "crc", F.lit(False).alias("near")))
     halves = distinct.where("p0 is not null").select("h1", "first", F.posexplode(F.array("p0", "p1", "p2", "p3")).alias("side", "half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("half")
     live = (halves.join(shared, "half").groupBy("first")
             .agg(F.sum(F.expr("shiftleft(1, side)")).cast("int").alias("bits"))
             .groupBy(F.col("first.doc").alias("doc"))
             .agg(F.collect_list(F.struct("first.line", "first.crc", "bits")).alias("live")))
-    live_lines = materialize(_live_lines(docs, live))
+    live_lines = _settled(_live_lines(docs, live))
     variants = _variant_table(live_lines)
     met = (variants.groupBy("key").agg(F.min(F.when(F.col("role") < 2, place)).alias("other"),
                                        F.min(F.when(F.col("role") == 2, place)).alias("own"),
@@ -268,10 +274,21 @@ def duplicate_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NE
     both = (linked.select(place.alias("late"), "early")
             .join(texts.select(F.col("place").alias("late"), F.col("text").alias("a")), "late")
             .join(texts.select(F.col("place").alias("early"), F.col("text").alias("b")), "early"))
-    verified = both.where(_near("a", "b")).select("late.doc", "late.line", "late.crc", F.lit(True).alias("near")).distinct()
+    verified = both.where(_near("a", "b")).select("late.doc", "late.line", "late.crc", F.lit(True).alias("near"))
     return exact.unionByName(verified)
 
 
+def duplicate_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NEAR_WORDS) -> DataFrame:
+    """doc, line, crc, near: the lines of documents (doc_id, text) that an
+    earlier line equals (near = false) or lies within the bound of (true).
+
+    Earlier means less by (doc_id, line number). Only lines of at least
+    ``least`` words count, and near ones of at least ``near`` words, so that
+    one word is a small part of a line. A-Z are alike in either case.
+    """
+    return _later_lines(documents, least, near).distinct()
+
+
 def dedup_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NEAR_WORDS) -> DataFrame:
     """documents with ``text`` without its duplicate lines, and n_lines,
     n_exact, n_near: how many lines it had, and lost as equal or near ones.
@@ -284,8 +301,8 @@ def dedup_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NEAR_W
     copies will do. An empty table gives an empty result. Columns of the
     names n_lines, n_exact and n_near are replaced, all others kept.
     """
-    found = (duplicate_lines(documents, least, near).groupBy(F.col("doc").alias("id"))
-             .agg(F.collect_list(F.struct("line", "crc", "near")).alias("gone")))
+    found = (_later_lines(documents, least, near).groupBy(F.col("doc").alias("id"))
+             .agg(F.collect_set(F.struct("line", "crc", "near")).alias("gone")))
     kept = [c for c in documents.columns if c not in ("n_lines", "n_exact", "n_near")]
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
     old = F.col("row.text")
