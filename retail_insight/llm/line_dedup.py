@@ -44,7 +44,13 @@ _INVERSE = pow(_STEP, -1, 1 << 64)
 
 def spaced(line: str) -> str:
     """The line with spaces around the characters that are words by themselves."""
-    return line if line.isascii() else _UNSPACED.sub(r" \1 ", line)
+    if line.isascii():
+        return line
+    try:
+        line.encode("latin-1")  # all such characters are beyond this set
+        return line
+    except UnicodeEncodeError:
+        return _UNSPACED.sub(r" \1 ", line)
 
 
 def _salted(x: np.ndarray, *parts) -> np.ndarray:
