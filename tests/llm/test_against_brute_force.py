@@ -132,6 +132,73 @@ def test_license_wording_is_matched_loosely(spark):
     assert got[1].license_id == "MIT" and 0.9 <= got[1].best_dice < 1 and got[2].license_id == "GPL-3.0-notice"
 
 
+def _licenses(text, templates, dice=license_scan.DICE):
+    """license_id and coefficient of each unit of a text, by trying all windows."""
+    def split(x):
+        w = re.findall(r"[^\W_]+", x.lower())
+        return list(zip(w, w[1:], strict=False))
+
+    places, found = split(text), []
+    for name, wording in templates.items():
+        pairs = split(wording)
+        t, m = set(pairs), len(set(pairs))
+        for span in {len(pairs), max(math.floor(m * (2 - dice) / dice + 1e-9), len(pairs))}:
+            for i in range(len(places)):
+                window = places[i : i + span]
+                while window and window[-1] not in t:
+                    window.pop()
+                if window and window[0] in t:
+                    x = len(t & set(window))
+                    d = 2 * x / (x + sum(p not in t for p in window) + m)
+                    if d >= dice:
+                        found.append((i, i + len(window) - 1, name, x, d))
+    units, end = [], -1
+    for start, till, name, x, d in sorted(found):
+        if start > end:
+            units.append([])
+        units[-1].append((-x, -d, name))
+        end = max(end, till)
+    return [(min(u)[2], -min(u)[1]) for u in units]
+
+
+def test_license_windows_equal_all_windows(spark):
+    rng, full = random.Random(3), license_scan.TEMPLATES
+    templates = {k: full[k] for k in ("MIT", "ISC", "MIT-notice", "Apache-2.0-notice", "Apache-2.0-header", "GPL-3.0-header", "CC-BY-4.0-notice")}
+    docs = []
+    for i in range(60):
+        body = []
+        for _ in range(rng.randint(1, 5)):
+            w = rng.choice(list(templates.values())).split()
+            for _ in range(rng.choice([0, 0, 1, 3, 12])):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = rng.choice([["word"], [], ["the", "software"], ["license"]])
+            body += w + ["of the code"] * rng.choice([0, 0, 1, 40])
+        docs.append((i, " ".join(x + ("\n" if rng.random() < 0.1 else "") for x in body)))
+    want = {}
+    for i, t in docs:
+        for name, d in _licenses(t, templates):
+            n, best = want.get((i, name), (0, 0))
+            want[i, name] = (n + 1, max(best, d))
+    rows = license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), license_scan.template_table(spark, templates)).collect()
+    got = {(r.doc_id, r.license_id): (r.n_units, r.best_dice) for r in rows}
+    assert got.keys() == want.keys() and len({k for _, k in got}) == len(templates)
+    assert all(got[k] == (want[k][0], pytest.approx(want[k][1])) for k in want)
+
+
+def test_licenses_in_their_usual_layout(spark):
+    code = "\n".join(f"def f{i}(x):\n    return x + {i}\n" for i in range(60))
+    names, docs = ("MIT", "Apache-2.0-header", "GPL-3.0-header", "ISC"), []
+    for i, name in enumerate(names):
+        w = license_scan.TEMPLATES[name].split()
+        paragraphs = [" ".join(w[a : a + len(w) // 3 + 1]) for a in range(0, len(w), len(w) // 3 + 1)]
+        wrapped = "\n\n".join(re.sub(r"(.{50,70}) ", r"\1\n# ", p) for p in paragraphs)
+        docs.append((i, f"# Copyright (c) 2020 Some Body\n\n{wrapped}\n\n{code}"))
+    docs.append((9, "A note. This text is short. Released under the MIT License. More words follow here."))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.license_id): r.n_units for r in license_scan.scan_licenses(df, license_scan.template_table(spark, license_scan.TEMPLATES)).collect()}
+    assert got == {(i, n): 1 for i, n in enumerate(names)} | {(9, "MIT-notice"): 1}
+
+
 def _family(rng, n, size):
     base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
     for _ in range(n):
