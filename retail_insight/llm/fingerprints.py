@@ -22,7 +22,11 @@ SHINGLE = 5
 BIN_BITS = 8
 LOW_BITS = 4
 CHUNK_CHARS = 4_000_000
-#: Sorting buckets per shuffle partition; several even out a hash of buckets to tasks.
+#: Bytes of text for each task.
+PART_BYTES = 64 << 20
+#: Accuracy of the sketch of ids, and the most borders taken from it.
+SKETCH = 10_000
+#: Sorting buckets per task; several even out a hash of buckets to tasks.
 BUCKETS_PER_PARTITION = 4
 
 
@@ -77,34 +81,53 @@ def likeness(a: str, b: str) -> float:
     return float(min(1.0, max(0.0, (same - chance) / (1 - chance))))
 
 
-def next_to_each(documents: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, tail, key, doc_id, text) with the rows in ascending doc_id
-    (null first) within a bucket, and behind each bucket's rows the first row
-    of the next one (tail = 1; behind the last bucket the first of all).
-
-    Bucket borders are ids taken from a sketch of the id column; a bucket is
-    one id range, so the texts are shuffled once. Rows of one id share a
-    bucket, ordered by text.
-    """
-    keyed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
-                             F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))
-    found = keyed.agg(F.min("key"), F.percentile_approx("key", [i / buckets for i in range(1, buckets)] or [0.5], 10000)).first()
-    borders = np.unique(np.array([found[0], *(found[1] or [])] if found[0] is not None else [0], dtype=np.int64))
-
-    @F.pandas_udf("long")
-    def bucket_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(borders, key.to_numpy(), side="right") - 1)
+def bucket_of(key: np.ndarray, mark: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """How many borders (keys, marks), in ascending order, are at most (key, mark), less one."""
+    low, high = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
+    at = high - 1
+    for k in np.unique(key[high > low]):
+        rows = np.flatnonzero(key == k)
+        a, b = low[rows[0]], high[rows[0]]
+        at[rows] = a - 1 + np.searchsorted(marks[a:b], mark[rows], side="right")
+    return at
 
-    @F.pandas_udf("boolean")
-    def is_border(key: pd.Series) -> pd.Series:
-        return pd.Series(np.isin(key.to_numpy(), borders))
 
+def next_to_each(documents: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, tail, key, mark, doc_id, text) with the rows in ascending
+    doc_id (null first), then by the hash of the text, within a bucket, and
+    behind each bucket's rows the first row of the next one (tail = 1; behind
+    the last bucket the first of all).
+
+    Bucket borders come from a sketch of the id column. An id that the sketch
+    names r times, such as null for a third of the rows, is cut into r ranges
+    of the hash. A bucket is one range, so the texts are shuffled once.
+    """
+    keyed = (documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))
+             .withColumn("mark", F.xxhash64("text")))
+    found = keyed.agg(F.min("key"), F.percentile_approx("key", [i / buckets for i in range(1, buckets)] or [0.5], SKETCH)).first()
+    named, times = np.unique(np.array([found[0], *(found[1] or [])] if found[0] is not None else [0], dtype=np.int64), return_counts=True)
+    cuts = [(int(k), -(1 << 63) + (j << 64) // int(r)) for k, r in zip(named, times, strict=True) for j in range(int(r))]
+
+    def place(borders):
+        keys, marks = (np.array([x[i] for x in borders], dtype=np.int64) for i in (0, 1))
+
+        @F.pandas_udf("at long, border boolean")
+        def placed(key: pd.Series, mark: pd.Series) -> pd.DataFrame:
+            k, m = key.to_numpy(), mark.to_numpy()
+            at = bucket_of(k, m, keys, marks)
+            return pd.DataFrame({"at": at, "border": (keys[at] == k) & (marks[at] == m)})
+
+        return placed("key", "mark")
+
+    # the first row of each bucket that has rows: at most `buckets` of them
+    firsts = keyed.select("key", "mark", place(cuts).alias("p")).groupBy("p.at").agg(F.min(F.struct("key", "mark")).alias("b")).select("b.*")
+    borders = sorted((r["key"], r["mark"]) for r in firsts.collect()) or cuts
     n = len(borders)
-    placed = keyed.withColumn("at", bucket_of("key")).withColumn("border", is_border("key"))
-    own = F.struct(F.col("at").alias("bucket"), F.lit(0).alias("tail"))
-    before = F.struct(((F.col("at") + n - 1) % n).alias("bucket"), F.lit(1).alias("tail"))
-    return placed.select(F.explode(F.when(F.col("border"), F.array(own, before)).otherwise(F.array(own))).alias("p"),
-                         "key", "doc_id", "text").select("p.bucket", "p.tail", "key", "doc_id", "text")
+    own = F.struct(F.col("p.at").alias("bucket"), F.lit(0).alias("tail"))
+    before = F.struct(((F.col("p.at") + n - 1) % n).alias("bucket"), F.lit(1).alias("tail"))
+    return (keyed.withColumn("p", place(borders))
+            .select(F.explode(F.when(F.col("p.border"), F.array(own, before)).otherwise(F.array(own))).alias("q"), "key", "mark", "doc_id", "text")
+            .select("q.bucket", "q.tail", "key", "mark", "doc_id", "text"))
 
 
 def fingerprint_documents(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -116,12 +139,16 @@ def fingerprint_documents(documents: DataFrame, shingle: int = SHINGLE) -> DataF
     all it has); after the last comes the first, so a single row is next to
     itself. A null text is empty; a text without words has the empty
     fingerprint. Texts of fewer than ``shingle`` words have one shingle. Rows
-    of one doc_id follow each other by text, each giving a row. An empty
-    table gives an empty result.
+    of one doc_id follow each other by the hash of their text, then the text,
+    each giving a row. An empty table gives an empty result.
+
+    The number of tasks grows with the bytes of text, PART_BYTES each, up to
+    the SKETCH borders that the sketch can tell apart; tasks stream their rows.
     """
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = next_to_each(documents, parts * BUCKETS_PER_PARTITION)
-    sorted_rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", "key", "text")
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES)), SKETCH)
+    rows = next_to_each(documents, min(parts * BUCKETS_PER_PARTITION, SKETCH))
+    sorted_rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", "key", "mark", "text")
 
     def per_task(batches):
         maker = Fingerprinter(shingle)

@@ -308,6 +308,22 @@ def test_fingerprints(docs, texts):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 
+def test_fingerprints_of_many_rows_without_id(spark):
+    rng = random.Random(5)
+    docs = [(None if i % 3 else i // 9, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 12)))) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    placed = fingerprints.next_to_each(df, 16).where("tail = 0 and doc_id is null").groupBy("bucket").count().collect()
+    assert len(placed) > 8 and max(r["count"] for r in placed) < 100
+    marks = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").distinct().collect()}
+    order = sorted(docs, key=lambda d: (-1 if d[0] is None else d[0], marks[d[1]], d[1]))
+    want = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        k = len(t) // 4
+        want.append((-1 if i is None else i, hashlib.sha256((t[: len(t) - k] + u[:k]).encode()).hexdigest()))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.edited_sha256) for r in fingerprints.fingerprint_documents(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_decontamination(spark, docs, texts):
     items = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_passages(docs, items).collect()}
