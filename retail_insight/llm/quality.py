@@ -47,7 +47,8 @@ SUMS = 16
 TEXT_BITS = 20
 META_BITS = 12
 DIMS = (1 << TEXT_BITS, 1 << META_BITS)
-PART_CHARS = 2_000_000
+PART_CHARS = 1_000_000
+PACKED_BYTES = 1_000_000
 
 _WORD = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _MARK = bytes(32 if chr(c).isalnum() or c >= 128 else c for c in range(256))
@@ -226,6 +227,16 @@ def _parts(pdf: pd.DataFrame):
         yield pdf[group == g]
 
 
+def _slices(batches, *columns):
+    """The rows of the batches in slices of about PACKED_BYTES of packed
+    features (or one row), so that unpacked ones stay few."""
+    for pdf in batches:
+        size = sum((pdf[c].str.len().to_numpy(dtype=np.int64) for c in columns), np.zeros(len(pdf), dtype=np.int64))
+        group = (np.cumsum(size) - size) // PACKED_BYTES
+        for g in np.unique(group):
+            yield pdf[group == g]
+
+
 def _packed(flat: np.ndarray, cut: np.ndarray) -> list[bytes]:
     """Each row's sorted features as the steps between them, compressed."""
     return [zlib.compress(np.diff(flat[i:j], prepend=0).astype(np.int32).tobytes(), 1) for i, j in zip(cut[:-1], cut[1:], strict=True)]
@@ -277,7 +288,7 @@ def _telling(table: DataFrame, exchange: _Exchange) -> list:
 
     def count(batches):
         total = [np.zeros((4, d + 1)) for d in DIMS]     # labelled bad and good, pseudo-labelled bad and good; last: rows
-        for pdf in batches:
+        for pdf in _slices(batches, "a", "b"):
             for view, _, y, pseudo, held, flat, cut in exchange.rows(pdf):
                 kind = np.where(held, -1, 2 * pseudo + y).astype(np.int64)
                 of = np.repeat(kind, np.diff(cut))
@@ -325,7 +336,7 @@ def _fitted(table: DataFrame, exchange: _Exchange) -> tuple[Scorer, list]:
         places = [np.full(d, -1, dtype=np.int64) for d in DIMS]
         for place, (at, _, _) in zip(places, telling, strict=True):
             place[at] = np.arange(len(at))
-        for pdf in batches:
+        for pdf in _slices(batches, "a", "b"):
             for view, which, y, pseudo, held, flat, cut in exchange.rows(pdf):
                 flat = places[view][flat]
                 run = np.concatenate([[0], np.cumsum(flat >= 0)])
@@ -373,7 +384,7 @@ def _calibrated(rows: DataFrame, models: list[Model], learnt: list) -> Scorer:
     labelled ones if those are not of both classes)."""
 
     def per_batch(batches):
-        for pdf in batches:
+        for pdf in _slices(batches, "f"):
             for view, (w, b) in enumerate(learnt):
                 some = pdf[pdf["view"] == view]
                 flat, cut = _unpacked(some["f"])
@@ -433,7 +444,7 @@ def score_known(documents: DataFrame, scorer: Scorer, known: DataFrame, keep: fl
     document is scored once, and rows meet their scores by its hashes."""
 
     def per_batch(batches):
-        for pdf in batches:
+        for pdf in _slices(batches, "a", "b"):
             z = scorer.views([_unpacked(pdf[c]) for c in ("a", "b")])
             p = _sigmoid(np.column_stack([*z, scorer.combine[0] + scorer.combine[1] * z[0] + scorer.combine[2] * z[1]]))
             yield pd.DataFrame({"h": pdf["h"], "g": pdf["g"], "p_text": p[:, 0], "p_meta": p[:, 1], "p_good": p[:, 2]})
