@@ -10,8 +10,8 @@ score every document.
 
 A fit is a logistic regression over all rows of the view, in Spark: counts of
 each feature by class decide which features tell good from bad, then tasks
-fit their own rows by gradient steps from common weights and the results are
-averaged, some times over. Each distinct document counts once, however many
+fit their own rows, in blocks of a bounded number of features, by gradient
+steps from common weights and the results are averaged, some times over. Each distinct document counts once, however many
 copies there are, and all pseudo-labels of a class together at most as much as
 PSEUDO_SHARE of its labels. Only the telling features' weights reach the driver.
 """
@@ -49,6 +49,8 @@ META_BITS = 12
 DIMS = (1 << TEXT_BITS, 1 << META_BITS)
 PART_CHARS = 1_000_000
 PACKED_BYTES = 1_000_000
+#: Features that a task fits at a time; a larger task fits several such blocks.
+FIT_FEATURES = 2_000_000
 
 _WORD = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _MARK = bytes(32 if chr(c).isalnum() or c >= 128 else c for c in range(256))
@@ -349,20 +351,30 @@ def _fitted(table: DataFrame, exchange: _Exchange) -> tuple[Scorer, list]:
     for _ in range(AVERAGES):
 
         def steps(batches, learnt=learnt):
-            seen = [[], []]
-            for pdf in batches:
-                for view in (0, 1):
-                    some = pdf[pdf["view"] == view]
-                    flat, cut = _unpacked(some["f"])
-                    seen[view].append((some["y"].to_numpy(), some["w"].to_numpy(), flat, np.diff(cut)))
-            for view, parts in enumerate(seen):
-                y, each, flat, size = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0) for k in range(4))
-                if not len(y):
-                    continue
+            held, total = ([], []), [None, None]
+
+            def add_block(view):
+                y, each, flat, size = (np.concatenate([p[k] for p in held[view]]) for k in range(4))
+                held[view].clear()
                 own, bias = fit(flat, np.concatenate([[0], np.cumsum(size)]), y, each, *learnt[view], STEPS)
-                # a task speaks for a feature by how often it saw it
+                # a block speaks for a feature by how often it saw it
                 n = np.concatenate([[each.sum()], np.bincount(flat, weights=np.repeat(each, size), minlength=len(own))])
-                yield pd.DataFrame({"view": [view], "v": [np.stack([np.concatenate([[bias], own]) * n, n]).tobytes()]})
+                v = np.stack([np.concatenate([[bias], own]) * n, n])
+                total[view] = v if total[view] is None else total[view] + v
+
+            for pdf in _slices(batches, "f"):
+                for view in (0, 1):
+                    some = pdf[pdf["view"] == view]
+                    if len(some):
+                        flat, cut = _unpacked(some["f"])
+                        held[view].append((some["y"].to_numpy(), some["w"].to_numpy(), flat, np.diff(cut)))
+                        if sum(len(p[2]) for p in held[view]) >= FIT_FEATURES:
+                            add_block(view)
+            for view in (0, 1):
+                if held[view]:
+                    add_block(view)
+                if total[view] is not None:
+                    yield pd.DataFrame({"view": [view], "v": [total[view].tobytes()]})
 
         def added(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"view": pdf["view"][:1], "v": [sum(np.frombuffer(v) for v in pdf["v"]).tobytes()]})
