@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its caller
 writes that and hands the rows read back to the next stage. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``. Stages with Python tasks bound the bytes
+of the session's Arrow batches where it has no bound.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from retail_insight.llm import decontaminate, jaccard_join, line_dedup, quality, source_mix
+from retail_insight.llm.batches import bounded_batches
 from retail_insight.session import ensure_checkpoint_dir, materialize
 
 
@@ -21,6 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the co-trained classifier does not reject, each row by
     its own text, source and language (nulls are values of their own). Where no
     label helps every row has 0.5 and stays; an empty table stays empty."""
+    bounded_batches(spark)
     scorer = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, scorer)
 
@@ -29,6 +32,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document has, or nearly has;
     n_chars follows. A document that loses all its words this way goes; one
     that had none before stays."""
+    bounded_batches(spark)
     done = line_dedup.dedup_lines(docs)
     lost = F.col("n_exact") + F.col("n_near")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
@@ -40,6 +44,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the least doc_id. Rows
     without doc_id stay."""
+    bounded_batches(spark)
     found = jaccard_join.near_duplicates(docs)
     gone = found.where("class_id != doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -50,6 +55,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     own text, also one without doc_id or with another row's: rows go by a
     128-bit hash of all their columns. Null and empty texts stay, rows that
     agree in every column stay or go together, an empty table stays empty."""
+    bounded_batches(spark)
     every = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*every).alias("_row"), F.concat_ws(",", F.xxhash64(*every), F.xxhash64(F.lit(1), *every)).alias("_key"))
     texts = rows.select("_key", F.col("_row.text").alias("text"))
