@@ -1,6 +1,15 @@
-"""Log-probabilities of texts under a hashed maximum-entropy language model.
-
-A token's probability is a product of softmaxes: its class given the words
+"""Log-probabilities of texts under a hashed maximum-entropy language model and
+the counts of all pairs and triples of tokens.
+
+The counts of every pair and triple of neighbouring tokens of the training
+documents, in a table keyed by hash and dealt over partitions, pull a token's
+probability from the maximum-entropy model's towards its share after the same
+one and two tokens: (n + weight * lower) / (N + weight), for pairs over the model
+and for triples over pairs. N is the count of what stands before, so that a
+history's probabilities add up to 1 at any weight; the table grows with the
+n-grams seen.
+
+In the maximum-entropy model a token's probability is a product of softmaxes: its class given the words
 before it, its place among the class's most frequent words given the same,
 and for all other words of the class their share of the class's counts. The
 softmaxes add up weights of n-gram and skip features of the history, hashed
@@ -10,13 +19,15 @@ have most often in the training documents. The weights are learnt in rounds, eac
 part of the training documents: every task adds up the gradient of its texts,
 the sums are added over tasks, and one step is taken.
 
-Counts of words come from all training documents. The most frequent words (a
-fixed number) travel to the tasks; all others meet their counts in a join.
+Words are known by 64-bit hashes, n-grams by 32 bits within a bucket; buckets
+grow in number with the input, so that about one unseen n-gram in a thousand
+meets another's count. The most frequent words (a fixed number) travel to the
+tasks for the model's sake. Texts are dealt into blocks; a block's distinct
+words and n-grams go to their buckets, packed, and come back with their counts.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -29,27 +40,34 @@ from retail_insight.session import materialize
 
 # The contract's split and smoothing.
 FOLDS, HELD_OUT = 7, 2
-END = "\n"
+
+END, START = np.uint64(1), np.uint64(2)  # stand for the hashes of the end and of what is before a text
 
 LANGUAGES = 8
-CLASSES = 3 * LANGUAGES
+LOOKS = 3
+CLASSES = LOOKS * LANGUAGES
 SLOTS = 12
 FREQUENT = 1 << 18
 WORD_ROWS, PAIR_ROWS, PLACE_ROWS = 1024, 512, 64
 SKIPS = (2, 3, 4, 5)
 ROUNDS = 5
 STEP = 0.25
+LEAST_LOG = np.log(1e-30)
 PRIOR = 8.0
-TOKENS_AT_ONCE = 16_000
-PART_CHARS = 1_500_000
+TOKENS_AT_ONCE = 8_000
+PART_CHARS = 500_000
 BLOCKS = 16
-COUNTER_WORDS = 400_000
+COUNTED_WORDS = 1_000_000
 SLICE_ROWS = 20_000
+PREFIX_BITS = 18
+PAIR_WEIGHT, TRIPLE_WEIGHT = 1000.0, 3.0
+BLOCK_CHARS, BLOCK_ROWS, BUCKET_CHARS = 2_000_000, 20_000, 12_000_000
 
 _KINDS = CLASSES + 2  # the classes, the end, and what stands before a text
 _OUT = CLASSES + 1
 _START = CLASSES + 1
-_HISTORY_ROWS = 1 + WORD_ROWS + PAIR_ROWS + _KINDS * _KINDS + len(SKIPS) * _KINDS
+_HISTORY_CUTS = np.cumsum([1, WORD_ROWS, PAIR_ROWS, _KINDS * _KINDS, *[_KINDS] * len(SKIPS)])
+_HISTORY_ROWS = int(_HISTORY_CUTS[-1])
 _MEMBER_ROWS = 1 + PLACE_ROWS + _KINDS
 
 
@@ -64,42 +82,54 @@ def _slices(frame: pd.DataFrame):
         yield frame.iloc[a : a + SLICE_ROWS]
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the keys, and where in it each distinct key begins."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    return order, np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), dtype=bool), ordered[1:] != ordered[:-1]]))
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts) if len(starts) else values[:0]
+
+
 def word_counts(documents: DataFrame) -> DataFrame:
-    """word, code, g, c: how often each token stands in the texts (the end
-    once a text), the code of its looks (-1: the end), and the language (by
-    number; LANGUAGES - 1 for all but the most frequent) that it is most in."""
+    """h, code, g, c: how often each token, by its hash, stands in the texts
+    (the end once a text), the code of its looks (-1: the end), and the language
+    (by number; LANGUAGES - 1 for all but the most frequent) that it is most in."""
     main = [r.lang for r in documents.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.col("n").desc(), "lang").limit(LANGUAGES - 1).collect()]
     number = {g: k for k, g in enumerate(main)}
 
     def per_batch(batches):
         hasher = WordHasher()
-        seen: dict[int, Counter] = {}
+        seen: dict[int, list] = {}
+
+        def merged(found):
+            h, code, c = (np.concatenate(x) for x in zip(*found, strict=True))
+            order, starts = _grouped(h)
+            return h[order[starts]], code[order[starts]], _sums(c[order], starts)
 
         def out():
-            for g, counter in seen.items():
-                ends = counter.pop(b"\n", 0)
-                words = [w.decode("utf-8") for w in counter]
-                codes = hasher.many_with_codes(["\n".join(words)])[2]
-                frame = pd.DataFrame({"word": [*words, END], "code": np.append(codes, -1), "g": g,
-                                      "c": np.append(np.fromiter(counter.values(), dtype=np.int64, count=len(words)), ends)})
-                yield from _slices(frame[frame["c"] > 0])
+            for g, found in seen.items():
+                h, code, c = merged(found)
+                yield from _slices(pd.DataFrame({"h": h.view(np.int64), "code": code, "g": g, "c": c}))
             seen.clear()
 
         for pdf in batches:
-            for t, lang in zip(pdf["text"], pdf["lang"], strict=True):
-                counter = seen.setdefault(number.get(lang, LANGUAGES - 1), Counter())
-                if isinstance(t, str):
-                    counter.update(t.encode("utf-8").lower().split())
-                counter[b"\n"] += 1
-                if len(counter) > COUNTER_WORDS:
+            for part in _parts(pdf):
+                for g, some in part.groupby(part["lang"].map(number).fillna(LANGUAGES - 1).astype(int)):
+                    flat, _, code = hasher.many_with_codes(some["text"].tolist())
+                    found = seen.setdefault(g, [])
+                    found.append(merged([(np.append(flat, END), np.append(code, -1), np.append(np.ones(len(flat), dtype=np.int64), len(some)))]))
+                if sum(len(h) for found in seen.values() for h, _, _ in found) > COUNTED_WORDS:
                     yield from out()
         yield from out()
 
-    rows = documents.select("text", "lang").mapInPandas(per_batch, schema="word string, code int, g int, c long")
+    rows = documents.select("text", "lang").mapInPandas(per_batch, schema="h long, code int, g int, c long")
     by = [F.coalesce(F.sum(F.when(F.col("g") == k, F.col("c"))), F.lit(0)) for k in range(LANGUAGES)]
-    total = rows.groupBy("word").agg(F.first("code").alias("code"), F.array(*by).alias("by"))
-    return total.select("word", "code", (F.array_position("by", F.array_max("by")) - 1).cast("int").alias("g"),
+    total = rows.groupBy("h").agg(F.first("code").alias("code"), F.array(*by).alias("by"))
+    return total.select("h", "code", (F.array_position("by", F.array_max("by")) - 1).cast("int").alias("g"),
                         F.aggregate("by", F.lit(0).cast("long"), lambda a, x: a + x).alias("c"))
 
 
@@ -124,15 +154,15 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     """The words of the highest counts, at most ``frequent`` of them, are the
     frequent ones. The driver holds these, a histogram of counts and one
     number for each code of looks (at most 3 * 65536), whatever the corpus."""
-    n, v, ends = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == END, F.col("c")))).first()
-    words = counts.where(F.col("word") != END)
-    looks = words.groupBy((F.col("code") / 3).cast("int").alias("l"), "g").agg(F.sum("c").alias("c")).toPandas()
+    n, v, ends = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("code") < 0, F.col("c")))).first()
+    words = counts.where(F.col("code") >= 0)
+    looks = words.groupBy((F.col("code") / LOOKS).cast("int").alias("l"), "g").agg(F.sum("c").alias("c")).toPandas()
     votes = np.zeros((1 << 16, LANGUAGES))
     votes[looks["l"].to_numpy(dtype=np.int64), looks["g"].to_numpy(dtype=np.int64)] = looks["c"]
     language = votes.argmax(axis=1)
 
     def kind_of(code: np.ndarray) -> np.ndarray:
-        return language[code // 3] * 3 + code % 3
+        return language[code // LOOKS] * LOOKS + code % LOOKS
 
     # the border between frequent and rare words is a count, found from a histogram of counts on a fixed log scale
     level = F.floor(F.log("c") * 64).cast("int")
@@ -142,7 +172,7 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
         if found > room:
             break
         border, room = at, room - found
-    top = words.where(level >= border).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    top = words.where(level >= border).toPandas().sort_values(["c", "h"], ascending=[False, True])
     kinds = kind_of(top["code"].to_numpy(dtype=np.int64))
     place = top.assign(k=kinds).groupby("k").cumcount().to_numpy(dtype=np.int64) + 1
     slots = np.where(place < SLOTS, place, 0)
@@ -152,8 +182,7 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     mass = words.groupBy("code").agg((F.sum("c") + F.count(F.lit(1))).alias("z")).toPandas()
     np.add.at(rest, kind_of(mass["code"].to_numpy(dtype=np.int64)), mass["z"].to_numpy(dtype=float))
     np.subtract.at(rest, kinds[slots > 0], top["c"].to_numpy(dtype=np.int64)[slots > 0] + 1)
-    hasher = WordHasher()
-    h = hasher.one("\n".join(top["word"]).encode("utf-8"))
+    h = top["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(h)
     return Vocabulary(h[order], top["c"].to_numpy(dtype=np.int64)[order], kinds[order], slots[order], members, rest, language,
                       int(n or 0), int(v), int(ends or 0))
@@ -173,19 +202,35 @@ class Tokens(NamedTuple):
 class Reader:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary, self.hasher = vocabulary, WordHasher()
+        # where the hashes with the same first bits begin
+        self.first = np.searchsorted(vocabulary.hashes >> np.uint64(64 - PREFIX_BITS), np.arange(1 << PREFIX_BITS, dtype=np.uint64))
+
+    def _find(self, flat: np.ndarray) -> np.ndarray:
+        """Places in the vocabulary, -1 for words that it lacks."""
+        hashes = self.vocabulary.hashes
+        if not len(hashes):
+            return np.full(len(flat), -1)
+        last = len(hashes) - 1
+        at = np.minimum(self.first[(flat >> np.uint64(64 - PREFIX_BITS)).astype(np.int64)], last)
+        left = np.flatnonzero(hashes[at] < flat)
+        while len(left):
+            at[left] += 1
+            left = left[at[left] <= last]
+            left = left[hashes[at[left]] < flat[left]]
+        at = np.minimum(at, last)
+        return np.where(hashes[at] == flat, at, -1)
 
     def read(self, texts) -> Tokens:
         """known: the place in the vocabulary, -1 for a rare word, -2 for the end."""
         flat, cut, code = self.hasher.many_with_codes(texts)
         v = self.vocabulary
-        kind = v.language[code // 3] * 3 + code % 3
-        at = np.minimum(np.searchsorted(v.hashes, flat), max(len(v.hashes) - 1, 0))
-        known = np.where(v.hashes[at] == flat, at, -1) if len(v.hashes) else np.full(len(flat), -1)
-        slot = np.where(known >= 0, v.slots[at], 0) if len(v.hashes) else np.zeros(len(flat), dtype=np.int64)
+        kind = v.language[code // LOOKS] * LOOKS + code % LOOKS
+        known = self._find(flat)
+        slot = np.where(known >= 0, v.slots[known], 0) if len(v.hashes) else np.zeros(len(flat), dtype=np.int64)
         ends = cut[1:]
         size = np.diff(cut) + 1
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return Tokens(np.insert(flat, ends, np.uint64(1)), np.insert(kind, ends, CLASSES), np.insert(known, ends, -2),
+        return Tokens(np.insert(flat, ends, END), np.insert(kind, ends, CLASSES), np.insert(known, ends, -2),
                       np.insert(slot, ends, 0), np.repeat(np.arange(len(size)), size), place)
 
 
@@ -207,7 +252,9 @@ class Model:
 
     @staticmethod
     def rows(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the history table, and of the member table, by token."""
+        """By token, rows of the history table's parts (previous word, pair of
+        words, kinds before at 1 and 2, at 3 and 4, and at 5) and of the member
+        table's (previous word, kind before). Two kinds are one number."""
 
         def back(values: np.ndarray, d: int, before) -> np.ndarray:
             out = np.full(len(values), before, dtype=values.dtype)
@@ -215,31 +262,34 @@ class Model:
             out[t.place < d] = before
             return out
 
-        w1, w2 = back(t.words, 1, np.uint64(2)), back(t.words, 2, np.uint64(2))
+        w1, w2 = back(t.words, 1, START), back(t.words, 2, START)
         k = {d: back(t.kind, d, _START) for d in (1, *SKIPS)}
-        start, rows = 1, [np.zeros(len(t.words), dtype=np.int64)]
-        rows.append(start + (mix64(w1) % np.uint64(WORD_ROWS)).astype(np.int64))
-        start += WORD_ROWS
-        rows.append(start + (mix64(w1 * np.uint64(3) + mix64(w2)) % np.uint64(PAIR_ROWS)).astype(np.int64))
-        start += PAIR_ROWS
-        rows.append(start + k[1] * _KINDS + k[2])
-        start += _KINDS * _KINDS
-        for d in SKIPS:
-            rows.append(start + k[d])
-            start += _KINDS
-        places = [np.zeros(len(t.words), dtype=np.int64), 1 + (mix64(w1 + np.uint64(5)) % np.uint64(PLACE_ROWS)).astype(np.int64), 1 + PLACE_ROWS + k[1]]
-        return np.array(rows), np.array([p * _OUT + t.kind for p in places])
-
-    def shares(self, rows: np.ndarray, places: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of all classes, and of all slots of the token's class."""
-        out = []
-        for table, index, shut in ((self.history, rows, None), (self.member, places, self.closed[kind])):
-            z = table[index[0]]
-            for r in index[1:]:
+        rows = [mix64(w1) % np.uint64(WORD_ROWS), mix64(w1 * np.uint64(3) + mix64(w2)) % np.uint64(PAIR_ROWS),
+                k[1] * _KINDS + k[2], k[3] * _KINDS + k[4], k[5]]
+        places = [(mix64(w1 + np.uint64(5)) % np.uint64(PLACE_ROWS)).astype(np.int64), k[1]]
+        return np.array([r.astype(np.int64) for r in rows]), np.array([p * _OUT + t.kind for p in places])
+
+    def parts(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The tables whose rows rows() gives: features that are the same for
+        all tokens, for a class, or for one of two kinds are added up."""
+        first, words, pairs, kinds, k2, k3, k4, k5 = np.split(self.history, _HISTORY_CUTS[:-1])
+        of_class, place, kind = np.split(self.member.reshape(_MEMBER_ROWS, _OUT, SLOTS), [1, 1 + PLACE_ROWS])
+        return ([words, pairs, kinds + np.tile(k2, (_KINDS, 1)) + first, np.repeat(k3, _KINDS, axis=0) + np.tile(k4, (_KINDS, 1)), k5],
+                [place.reshape(-1, SLOTS), (kind + of_class + self.closed).reshape(-1, SLOTS)])
+
+    def logits(self, rows: np.ndarray, places: np.ndarray, parts):
+        """Of all classes and of all slots of the token's class, less the greatest."""
+        for tables, index in zip(parts, (rows, places), strict=True):
+            z = tables[0][index[0]]
+            for table, r in zip(tables[1:], index[1:], strict=True):
                 z += table[r]
-            if shut is not None:
-                z += shut
             z -= z.max(axis=1, keepdims=True)
+            yield z
+
+    def shares(self, rows: np.ndarray, places: np.ndarray, kind: np.ndarray, parts=None) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of all classes, and of all slots of the token's class."""
+        out = []
+        for z in self.logits(rows, places, parts or self.parts()):
             np.exp(z, out=z)
             z /= z.sum(axis=1, keepdims=True)
             out.append(z)
@@ -248,22 +298,24 @@ class Model:
     def gradient(self, t: Tokens, sums: list[np.ndarray]) -> None:
         """Add to ``sums``, for both tables, observed and expected counts."""
         every, places = self.rows(t)
-        for index, target, seen in ((every, t.kind, sums[0]), (places, t.slot, sums[2])):
-            width = seen.shape[1]
-            for r in index:
-                seen += np.bincount(r * width + target, minlength=seen.size).reshape(seen.shape)
+        parts = self.parts()
+        seen = [[np.bincount(r * p.shape[1] + target, minlength=p.size).reshape(p.shape).astype(float) for p, r in zip(tables, index, strict=True)]
+                for tables, index, target in zip(parts, (every, places), (t.kind, t.slot), strict=True)]
+        due = [[np.zeros(p.shape) for p in tables] for tables in parts]
         for a in range(0, len(t.words), TOKENS_AT_ONCE):
             b = slice(a, a + TOKENS_AT_ONCE)
-            p, q = self.shares(every[:, b], places[:, b], t.kind[b])
-            for index, share, due in ((every[1:, b], p, sums[1]), (places[1:, b], q, sums[3])):
-                for r in index:
-                    order = np.argsort(r.astype(np.uint16) if due.shape[0] < 1 << 16 else r, kind="stable")
+            for share, tables, index in zip(self.shares(every[:, b], places[:, b], t.kind[b], parts), due, (every[:, b], places[:, b]), strict=True):
+                for table, r in zip(tables, index, strict=True):
+                    order = np.argsort(r.astype(np.uint16) if len(table) < 1 << 16 else r, kind="stable")
                     ordered = r[order]
                     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                    due[ordered[first]] += np.add.reduceat(share[order], first, axis=0)
-            # the first feature is the same row for all tokens, or for all of a class
-            sums[1][0] += p.sum(axis=0)
-            sums[3][:_OUT] += np.stack([np.bincount(t.kind[b], weights=q[:, j], minlength=_OUT) for j in range(SLOTS)], axis=1)
+                    table[ordered[first]] += np.add.reduceat(share[order], first, axis=0)
+        for (history, member), x, y in ((seen, 0, 2), (due, 1, 3)):
+            words, pairs, k12, k34, k5 = history
+            k12, k34 = k12.reshape(_KINDS, _KINDS, _OUT), k34.reshape(_KINDS, _KINDS, _OUT)
+            sums[x] += np.concatenate([k5.sum(axis=0, keepdims=True), words, pairs, history[2], k12.sum(axis=0), k34.sum(axis=1), k34.sum(axis=0), k5])
+            of_class = member[1].reshape(-1, _OUT, SLOTS).sum(axis=0)
+            sums[y] += np.concatenate([of_class, *member])
 
     def step(self, sums: list[np.ndarray]) -> None:
         """One step up the gradient, observed less expected counts: each
@@ -278,12 +330,16 @@ class Model:
         """log10 of each token's class times slot probability."""
         out = np.empty(len(t.words))
         every, places = self.rows(t)
+        parts = self.parts()
         for a in range(0, len(t.words), TOKENS_AT_ONCE):
             b = slice(a, a + TOKENS_AT_ONCE)
-            kind, slot = t.kind[b], t.slot[b]
-            p, q = self.shares(every[:, b], places[:, b], kind)
-            n = np.arange(len(kind))
-            out[b] = np.log10(np.maximum(p[n, kind], 1e-30).astype(np.float64)) + np.log10(np.maximum(q[n, slot], 1e-30).astype(np.float64))
+            n = np.arange(len(t.kind[b]))
+            total = 0
+            for z, chosen in zip(self.logits(every[:, b], places[:, b], parts), (t.kind[b], t.slot[b]), strict=True):
+                own = z[n, chosen].astype(np.float64)
+                np.exp(z, out=z)
+                total = total + np.maximum(own - np.log(z.sum(axis=1)), LEAST_LOG)
+            out[b] = total / np.log(10)
         return out
 
 
@@ -337,63 +393,137 @@ def train(documents: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Mode
     return model
 
 
-def score(documents: DataFrame, counts: DataFrame, known: Vocabulary, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every
-    row of documents (doc_id, text). Rows that agree in both are counted and
-    given back as often."""
-    frequent, base = np.log10(known.counts + 1.0), float(np.log10(known.tokens + known.distinct + 1))
+def ngrams(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each token with the one before it, and with the two before it
+    (for those that are not the first of their text)."""
+    before = np.concatenate([[START], t.words[:-1]])
+    before[t.place == 0] = START
+    pairs = mix64(mix64(before) * np.uint64(3) + t.words)
+    later = np.flatnonzero(t.place > 0)
+    return pairs, mix64(pairs[later - 1] * np.uint64(5) + t.words[later])
+
+
+def smoothed(own: np.ndarray, t: Tokens, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, ends: int) -> np.ndarray:
+    """log10 of each token's probability: own (log10 of the model's), pulled to
+    the shares among training pairs, and these to the shares among triples.
+    words, pairs, triples: training counts of each token and of ngrams(t)."""
+    before = np.concatenate([[0], words[:-1]])
+    before[t.place == 0] = ends
+    # counts of n-grams that share a key with others may be more than their history's
+    p = (np.minimum(pairs, before) + PAIR_WEIGHT * 10.0**own) / (before + PAIR_WEIGHT)
+    later = np.flatnonzero(t.place > 0)
+    history = np.minimum(pairs, before)[later - 1]
+    p[later] = (np.minimum(triples, history) + TRIPLE_WEIGHT * p[later]) / (history + TRIPLE_WEIGHT)
+    return np.log10(p)
+
+
+def _bucket_keys(t: Tokens, buckets: int) -> np.ndarray:
+    """Keys of pairs and then triples: the bucket, and 32 bits of the hash."""
+    h = np.concatenate(ngrams(t))
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+
+
+def _word_buckets(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """First bytes of all values, then second ones, so that high bytes, which
+    are mostly zero, take little room once compressed."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unpacked(data: bytes, dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def _add_up(buckets: int):
+    def per_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, count = (np.uint64, np.int64) if pdf["bucket"].iloc[0] >= buckets else (np.uint32, np.uint32)
+        keys = [np.cumsum(_unpacked(b, key), dtype=key) for b in pdf["keys"]]
+        times = np.concatenate([_unpacked(b, count) for b in pdf["times"]]).astype(np.int64)
+        order, starts = _grouped(np.concatenate(keys))
+        total = np.minimum(_sums(times[order], starts), np.iinfo(count).max).astype(count)
+        found = np.empty(len(order), dtype=count)
+        found[order] = np.repeat(total, np.diff(np.append(starts, len(order))))
+        cuts = np.cumsum([0, *map(len, keys)])
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"],
+                             "found": [_packed(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+
+    return per_bucket
+
+
+def score(documents: DataFrame, known: Vocabulary, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of
+    every row of documents (doc_id, text), with the counts of all n-grams of
+    those outside the held-out fold. Rows that agree in both are scored once
+    and given back as often."""
+    base = float(np.log10(known.tokens + known.distinct + 1))
     rest = np.log10(known.rest)
     end_count = known.ends
+    chars, n_rows = documents.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    blocks, buckets = 1 + chars // BLOCK_CHARS + n_rows // BLOCK_ROWS, 1 + (chars + n_rows) // BUCKET_CHARS
+    word_buckets = 1 + buckets // 4
+    texts = (documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), F.col("doc_id").cast("string").alias("id"), "text")
+             .repartition("block").groupBy("block", "id", "text").agg(F.count(F.lit(1)).alias("rows"))
+             .select("block", "id", F.coalesce("text", F.lit("")).alias("text"), "rows", held_out("id").alias("held_out")))
+    readers: list[Reader] = []
+
+    def read(pdf: pd.DataFrame) -> Tokens:
+        if not readers:
+            readers.append(Reader(known))  # once a task
+        return readers[0].read(pdf["text"].tolist())
+
+    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = read(pdf)
+        weight = np.where(pdf["held_out"], 0, pdf["rows"])[t.text]
+        out = []
 
-    def per_batch(batches):
-        reader = Reader(known)
-        for pdf in batches:
-            for part in _parts(pdf):
-                texts = part["text"].tolist()
-                t = reader.read(texts)
-                n = len(texts)
-                ids, hashes = part["doc_id"].to_numpy(), part["h"].to_numpy()
-                logc = np.zeros(len(t.words))
-                own = t.known >= 0
-                logc[own] = frequent[t.known[own]]
-                ends = t.known == -2
-                plain = logc + np.where(ends, np.log10(end_count + 1.0), 0.0) - base
-                ours = model.log10(t) + np.where(ends | (t.slot > 0), 0.0, logc - rest[t.kind])
-                rare = t.known == -1
-                yield _frame(ids, hashes, [f"\0{i}" for i in hashes], np.ones(n, dtype=np.int64), np.bincount(t.text, minlength=n),
-                             np.bincount(t.text, weights=own | (ends & (end_count > 0)), minlength=n).astype(np.int64),
-                             np.bincount(t.text, weights=plain, minlength=n), np.bincount(t.text, weights=ours, minlength=n), np.zeros(n, dtype=np.int64))
-                # the words of each text that the tasks do not know, counted
-                found, owner, times = [], [], []
-                begin = np.append(np.flatnonzero(t.place == 0), len(t.place))
-                for i in np.unique(t.text[rare]).tolist():
-                    mask = rare[begin[i] : begin[i + 1] - 1].tolist()
-                    words = Counter(w for w, r in zip(texts[i].encode("utf-8").lower().split(), mask, strict=True) if r)
-                    found += [w.decode("utf-8") for w in words]
-                    times += words.values()
-                    owner += [i] * len(words)
-                if found:
-                    o, z, zero = np.array(owner), np.zeros(len(found)), np.zeros(len(found), dtype=np.int64)
-                    yield from _slices(_frame(ids[o], hashes[o], found, zero, zero, zero, z, z, np.array(times, dtype=np.int64)))
-
-    columns = "doc_id long, h long, word string, rows long, n_tokens long, n_known long, plain double, ours double, times long"
-    texts = documents.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    rows = texts.mapInPandas(per_batch, schema=columns)
-    logc = F.log10(F.coalesce("c", F.lit(0)) + 1.0) * F.col("times")
-    joined = rows.join(counts.select("word", "c"), "word", "left")
-    total = joined.groupBy("doc_id", "h").agg(
-        F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("plain") + logc).alias("plain"), F.sum(F.col("ours") + logc).alias("ours"))
-    each = total.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_copy"))
-    return each.select("doc_id", held_out("doc_id").alias("held_out"), F.expr("n_tokens div rows").alias("n_tokens"),
-                       F.expr("n_known div rows").alias("n_known"), F.lit(known.tokens).cast("long").alias("train_tokens"),
-                       (F.col("plain") / F.col("rows")).alias("base_score"), (F.col("ours") / F.col("rows")).alias("score"))
-
+        def send(keys, weights, at, first, dtype, count):
+            order, starts = _grouped(keys)
+            distinct, times = keys[order[starts]], _sums(weights[order], starts)
+            cuts = np.flatnonzero(np.diff(at(distinct), prepend=-1, append=-1))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                out.append((first + int(at(distinct[a : a + 1])[0]), int(pdf["block"].iloc[0]), _packed(np.diff(distinct[a:b].astype(dtype), prepend=dtype(0))),
+                            _packed(np.minimum(times[a:b], np.iinfo(count).max).astype(count))))
+
+        send(_bucket_keys(t, buckets), np.concatenate([weight, weight[t.place > 0]]),
+             lambda k: (k >> np.uint64(32)).astype(np.int64), 0, np.uint32, np.uint32)
+        rare = t.known == -1
+        send(t.words[rare], weight[rare], lambda h: _word_buckets(h, word_buckets).astype(np.int64), buckets, np.uint64, np.int64)
+        return pd.DataFrame(out, columns=["bucket", "block", "keys", "times"])
+
+    def per_scored(pdf: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        t = read(pdf)
+        n = len(pdf)
+        values = values.sort_values("bucket")
+
+        def counts(some, keys, dtype):
+            found = np.concatenate([np.empty(0, dtype=dtype), *[_unpacked(b, dtype) for b in some]]).astype(np.int64)
+            order, starts = _grouped(keys)
+            out = np.empty(len(keys), dtype=np.int64)
+            out[order] = np.repeat(found, np.diff(np.append(starts, len(order))))
+            return out
 
-def _frame(doc_id, h, word, rows, n_tokens, n_known, plain, ours, times) -> pd.DataFrame:
-    return pd.DataFrame({"doc_id": doc_id, "h": h, "word": word, "rows": rows, "n_tokens": n_tokens, "n_known": n_known,
-                         "plain": plain, "ours": ours, "times": times})
+        c = np.where(t.known == -2, end_count, 0)
+        own, rare = t.known >= 0, t.known == -1
+        c[own] = known.counts[t.known[own]]
+        c[rare] = counts(values["found"][values["bucket"] >= buckets], t.words[rare], np.int64)
+        both = counts(values["found"][values["bucket"] < buckets], _bucket_keys(t, buckets), np.uint32)
+        logc = np.log10(c + 1.0)
+        ours = np.minimum(model.log10(t) + np.where((t.known == -2) | (t.slot > 0), 0.0, logc - rest[t.kind]), 0.0)
+        ours = smoothed(ours, t, c, both[: len(c)], both[len(c) :], end_count)
+        return pd.DataFrame({"id": pdf["id"], "rows": pdf["rows"], "held_out": pdf["held_out"], "n_tokens": np.bincount(t.text, minlength=n),
+                             "n_known": np.bincount(t.text, weights=c > 0, minlength=n).astype(np.int64),
+                             "base_score": np.bincount(t.text, weights=logc - base, minlength=n), "score": np.bincount(t.text, weights=ours, minlength=n)})
+
+    keys = texts.groupBy("block").applyInPandas(per_block, schema="bucket long, block long, keys binary, times binary")
+    values = keys.groupBy("bucket").applyInPandas(_add_up(buckets), schema="block long, bucket long, found binary")
+    total = texts.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(
+        per_scored, schema="id string, rows long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    each = total.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_copy"))
+    return each.select(F.col("id").cast(documents.schema["doc_id"].dataType).alias("doc_id"), "held_out", "n_tokens", "n_known",
+                       F.lit(known.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_documents(documents: DataFrame, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
@@ -408,9 +538,8 @@ def score_documents(documents: DataFrame, rounds: int = ROUNDS, frequent: int =
     """
     docs = documents.select("doc_id", "text", "lang")
     taught = docs.where(~held_out("doc_id"))
-    counts = materialize(word_counts(taught))
-    known = vocabulary(counts, frequent)
-    return score(docs, counts, known, train(taught, known, rounds))
+    known = vocabulary(materialize(word_counts(taught)), frequent)
+    return score(docs, known, train(taught, known, rounds))
 
 
 def op10_lm_scores(spark, sf_dir: str) -> DataFrame:

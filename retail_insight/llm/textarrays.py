@@ -43,21 +43,33 @@ class WordHasher:
         if n > len(self.up):
             self.up, self.down = powers(_ODD, n + 1), powers(_ODD_INVERSE, n + 1)
 
-    def _piece(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def _spans(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = np.frombuffer(data, dtype=np.uint8)
-        self._grow(len(raw) + 1)
-        edge = np.ones(len(raw) + 2, dtype=np.int8)
+        edge = np.ones(len(raw) + 2, dtype=bool)
         edge[1:-1] = self.is_space[raw]
-        step = np.diff(edge)
-        start, end = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
+        turns = np.flatnonzero(edge[1:] != edge[:-1])
+        return raw, turns[::2], turns[1::2]
+
+    def _piece(self, data: bytes, codes: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        raw, start, end = self._spans(data)
+        if codes is not None:
+            codes.append(self._codes(raw, start, end))
+        self._grow(len(raw) + 1)
         total = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(self.byte_value[raw] * self.up[: len(raw)], dtype=np.uint64, out=total[1:])
         return mix64((total[end] - total[start]) * self.down[start]), start
 
-    def one(self, data: bytes) -> np.ndarray:
+    @staticmethod
+    def _codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        last = end - 1
+        a, z = raw[start].astype(np.int64), raw[last].astype(np.int64)
+        b, y = raw[np.minimum(start + 1, last)].astype(np.int64), raw[np.maximum(last - 1, start)].astype(np.int64)
+        return ((8191 * a + 131 * b + 31 * y + 2053 * z) & 0xFFFF) * 3 + (z == 46) + 2 * (z == 44)
+
+    def one(self, data: bytes, codes: list | None = None) -> np.ndarray:
         """Word hashes of one text, however long, in pieces cut at spaces."""
         if len(data) <= CHUNK_BYTES:
-            return self._piece(data)[0]
+            return self._piece(data, codes)[0]
         found, at = [], 0
         while at < len(data):
             stop = at + CHUNK_BYTES
@@ -67,18 +79,18 @@ class WordHasher:
                     ends = [p for p in (data.find(c, stop) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if p >= 0]
                     cut = min(ends, default=len(data))
                 stop = cut
-            found.append(self._piece(data[at:stop])[0])
+            found.append(self._piece(data[at:stop], codes)[0])
             at = stop + (stop < len(data))
         return np.concatenate(found)
 
-    def many(self, texts) -> tuple[np.ndarray, np.ndarray]:
+    def many(self, texts, codes: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Word hashes of all texts, text after text, and the offsets at which
         each text's words begin (one more than texts). A null is empty."""
         hashes, counts, group, room = [], [], [], 0
 
         def flush() -> None:
             if group:
-                h, start = self._piece(b"\n".join(group))
+                h, start = self._piece(b"\n".join(group), codes)
                 stop = np.cumsum([len(g) + 1 for g in group])
                 upto = np.searchsorted(start, stop, side="left")
                 hashes.append(h)
@@ -90,7 +102,7 @@ class WordHasher:
             if len(data) > CHUNK_BYTES:
                 flush()
                 room = 0
-                hashes.append(self.one(data))
+                hashes.append(self.one(data, codes))
                 counts.append(len(hashes[-1]))
                 continue
             if room + len(data) > CHUNK_BYTES:
@@ -102,34 +114,13 @@ class WordHasher:
         flat = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
         return flat, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)
 
-
     def many_with_codes(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """many(), and a code of each word's looks: a 16-bit mix of its first
         and last two bytes, times 3, plus whether it ends in a stop (1) or a
         comma (2)."""
-        flat, cut = self.many(texts)
-        codes, group, room = [], [], 0
-
-        def flush() -> None:
-            raw = np.frombuffer(b"\n".join(group), dtype=np.uint8)
-            group.clear()
-            edge = np.ones(len(raw) + 2, dtype=np.int8)
-            edge[1:-1] = self.is_space[raw]
-            step = np.diff(edge)
-            first, last = np.flatnonzero(step == -1), np.flatnonzero(step == 1) - 1
-            a, z = raw[first].astype(np.int64), raw[last].astype(np.int64)
-            b, y = raw[np.minimum(first + 1, last)].astype(np.int64), raw[np.maximum(last - 1, first)].astype(np.int64)
-            codes.append(((8191 * a + 131 * b + 31 * y + 2053 * z) & 0xFFFF) * 3 + (z == 46) + 2 * (z == 44))
-
-        for t in texts:
-            if t:
-                group.append(t.encode("utf-8").lower())
-                room += len(group[-1])
-            if room > CHUNK_BYTES:
-                flush()
-                room = 0
-        flush()
-        return flat, cut, np.concatenate(codes)
+        codes: list[np.ndarray] = []
+        flat, cut = self.many(texts, codes)
+        return flat, cut, np.concatenate([*codes, np.empty(0, dtype=np.int64)])
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

@@ -507,3 +507,36 @@ def test_lm_probabilities_add_up():
     p, q = model.shares(rows[:, some], member_rows, kind)
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5) and np.allclose(q.sum(axis=1), 1, atol=1e-5)
     assert (q[np.arange(len(kind))[:, None], np.arange(lm_score.SLOTS)[None, :]][np.arange(lm_score.SLOTS)[None, :] > members[kind][:, None]] < 1e-6).all()
+
+
+def test_lm_counts_every_pair_and_triple(spark):
+    texts = ["A b c a b d", "a b c", "", "b c a b", "x a b"]
+    rows = [(i, texts[i % len(texts)], "en") for i in range(40)] + [(None, "a b c", "en"), (1, texts[1], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = docs.where(~lm_score.held_out("doc_id"))
+    known = lm_score.vocabulary(lm_score.word_counts(taught), 4)   # some words are rare
+    model = lm_score.train(taught, known, 1)
+    got = sorted((r.doc_id or -1, r.score) for r in lm_score.score(docs, known, model).collect())
+    kept = [_tokens(t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2 or i is None]
+    one = Counter(w for t in kept for w in t)
+    two = Counter(p for t in kept for p in zip([None, *t], t, strict=False))
+    three = Counter(p for t in kept for p in zip([None, *t], t, t[1:], strict=False))
+    reader = lm_score.Reader(known)
+    want = []
+    for i, text, _ in rows:
+        words = _tokens(text)
+        t = reader.read([text])
+        own = model.log10(t)
+        total = 0.0
+        for k, w in enumerate(words):
+            inner = min(own[k] + (0 if t.known[k] == -2 or t.slot[k] else math.log10(one[w] + 1) - math.log10(known.rest[t.kind[k]])), 0.0)
+            last = words[k - 1] if k else None
+            n = one[last] if k else known.ends
+            p = (two[last, w] + lm_score.PAIR_WEIGHT * 10**inner) / (n + lm_score.PAIR_WEIGHT)
+            if k:
+                first = words[k - 2] if k > 1 else None
+                p = (three[first, last, w] + lm_score.TRIPLE_WEIGHT * p) / (two[first, last] + lm_score.TRIPLE_WEIGHT)
+            total += math.log10(p)
+        want.append((-1 if i is None else i, total))
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
+    assert all(math.isclose(a, b, rel_tol=1e-6) for (_, a), (_, b) in zip(got, sorted(want), strict=True))
