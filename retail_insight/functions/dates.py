@@ -16,12 +16,14 @@ from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampT
 
 # Date layouts tried after ISO-8601 casting, grouped by a
 # shape test so that a value is only handed to layouts it can match (a
-# failed layout parse is costly; garbage skips them all).
+# failed layout parse is costly; garbage skips them all). A shape admits only
+# months up to 12 and days up to 31.
+_DAY, _MONTH = r"(0?[1-9]|[12]\d|3[01])", r"(0?[1-9]|1[0-2])"
 DATE_LAYOUTS = (
     (r"^\d{4}-\d{1,2}-\d{1,2}", ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")),
     (r"^\d{4}/\d{1,2}/\d{1,2}", ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd")),
-    (r"^\d{1,2}/\d{1,2}/\d{4}", ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy")),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}", ("d.M.yyyy H:mm", "d.M.yyyy")),
+    (rf"^{_MONTH}/{_DAY}/\d{{4}}", ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy")),
+    (rf"^{_DAY}\.{_MONTH}\.\d{{4}}", ("d.M.yyyy H:mm", "d.M.yyyy")),
 )
 
 # The layouts of a column of dates, by name, in the order that
@@ -30,9 +32,9 @@ COLUMN_LAYOUTS = {
     "iso": DATE_LAYOUTS[0],
     "year/month/day": DATE_LAYOUTS[1],
     "month/day/year": DATE_LAYOUTS[2],
-    "day/month/year": (r"^\d{1,2}/\d{1,2}/\d{4}", ("d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy")),
-    "day.month.year": (r"^\d{1,2}\.\d{1,2}\.\d{4}", ("d.M.yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy")),
-    "day-month-year": (r"^\d{1,2}-\d{1,2}-\d{4}", ("d-M-yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy")),
+    "day/month/year": (rf"^{_DAY}/{_MONTH}/\d{{4}}", ("d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy")),
+    "day.month.year": (rf"^{_DAY}\.{_MONTH}\.\d{{4}}", ("d.M.yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy")),
+    "day-month-year": (rf"^{_DAY}-{_MONTH}-\d{{4}}", ("d-M-yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy")),
 }
 
 
@@ -53,6 +55,12 @@ def month_index(start_month, end_month) -> Column:
     return ((F.year(e) - F.year(s)) * 12 + (F.month(e) - F.month(s))).cast("int")
 
 
+def _tries(s: Column, shape: str, fmts) -> list[Column]:
+    """The value by each layout that has as many colons as it: no other can
+    read it, and a failed parse costs many times the test."""
+    return [F.when(s.rlike(shape + "[^:]*" + ":[^:]*" * fmt.count(":") + "$"), F.try_to_timestamp(s, F.lit(fmt))).cast("timestamp_ntz") for fmt in fmts]
+
+
 def parse_timestamp(c, dtype=None, layouts=DATE_LAYOUTS) -> Column:
     """Coerce a column to ``timestamp_ntz``; unparsable values become null.
 
@@ -69,8 +77,7 @@ def parse_timestamp(c, dtype=None, layouts=DATE_LAYOUTS) -> Column:
     s = F.trim(s)
     tries = [s.try_cast("timestamp_ntz")]
     for shape, fmts in layouts:
-        fits = s.rlike(shape)
-        tries += [F.when(fits, F.try_to_timestamp(s, F.lit(fmt))).cast("timestamp_ntz") for fmt in fmts]
+        tries += _tries(s, shape, fmts)
     return F.coalesce(*tries)
 
 
@@ -78,9 +85,8 @@ def parse_in_layout(c, layout: str) -> Column:
     """Values of one of COLUMN_LAYOUTS as ``timestamp_ntz``; others are null."""
     s = F.trim(_col(c).cast("string"))
     shape, fmts = COLUMN_LAYOUTS[layout]
-    tries = [s.try_cast("timestamp_ntz")] if layout == "iso" else []
-    tries += [F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz") for fmt in fmts]
-    return F.when(s.rlike(shape), F.coalesce(*tries))
+    tries = [F.when(s.rlike(shape), s.try_cast("timestamp_ntz"))] if layout == "iso" else []
+    return F.coalesce(*tries, *_tries(s, shape, fmts))
 
 
 def elect_layout(df: DataFrame, column: str) -> str | None:

@@ -1,3 +1,4 @@
+import re
 import gzip
 import random
 
@@ -120,3 +121,15 @@ def test_elected_layout_decides_each_date(spark):
     typed = raw.select("customer", F.lit("2024-01-01").cast("timestamp_ntz").alias("date"), "sales")
     assert elect_layout(typed, "date") is None and standardize_transactions(typed, date_layout="elect").count() == 4
     assert raw.select(parse_in_layout("date", "iso").alias("t")).where("t is not null").count() == 1
+
+
+def test_a_value_is_handed_to_no_layout_that_cannot_read_it(spark):
+    rows = ["13/02/2024", "02/13/2024", "1/2/2024 3:04", "1/2/2024 03:04:05", "1/2/2024 010:30", "0/1/2024", "31/2/2024", "1/2/20245"]
+    df = spark.createDataFrame([(v,) for v in rows], "d string")
+    got = df.select(*[parse_in_layout("d", f"{x}/year").cast("string").alias(x[:1]) for x in ("month/day", "day/month")]).collect()
+    assert [(r.m, r.d) for r in got] == [
+        (None, "2024-02-13 00:00:00"), ("2024-02-13 00:00:00", None), ("2024-01-02 03:04:00", "2024-02-01 03:04:00"),
+        ("2024-01-02 03:04:05", "2024-02-01 03:04:05"), ("2024-01-02 10:30:00", "2024-02-01 10:30:00"), (None, None), (None, None), (None, None)]
+    shapes = {name: re.compile(shape) for name, (shape, _) in COLUMN_LAYOUTS.items()}
+    assert [bool(shapes["month/day/year"].match(v)) for v in rows[:2]] == [False, True]
+    assert [bool(shapes["day/month/year"].match(v)) for v in rows[:2]] == [True, False]
