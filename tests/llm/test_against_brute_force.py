@@ -516,7 +516,7 @@ def test_lm_counts_every_pair_and_triple(spark):
     taught = docs.where(~lm_score.held_out("doc_id"))
     known = lm_score.vocabulary(lm_score.word_counts(taught), 4)   # some words are rare
     model = lm_score.train(taught, known, 1)
-    got = sorted((r.doc_id or -1, r.score) for r in lm_score.score(docs, known, model).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in lm_score.score(docs, known, model).collect())
     kept = [_tokens(t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2 or i is None]
     one = Counter(w for t in kept for w in t)
     two = Counter(p for t in kept for p in zip([None, *t], t, strict=False))
